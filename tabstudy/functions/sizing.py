@@ -1,0 +1,60 @@
+"""Size gates: which exact algorithm fits the input at hand.
+
+Several operators have a one-aggregate form whose state grows with the number of distinct
+values, and a multi-pass form whose state is bounded.  Both are exact and give the same answer;
+the gate only picks the cheaper one.  The row limit is the session setting
+``tabstudy.smallRows`` (default 5,000,000; 0 forces the bounded form everywhere).
+"""
+
+from __future__ import annotations
+
+import os
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+SMALL_ROWS_KEY = "tabstudy.smallRows"
+SMALL_ROWS_DEFAULT = 5_000_000
+BYTES_PER_ROW = 64
+
+
+def small_rows(spark: SparkSession) -> int:
+    return int(spark.conf.get(SMALL_ROWS_KEY, str(SMALL_ROWS_DEFAULT)))
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of the optimized plan, without running a job."""
+    try:
+        stats = df._jdf.queryExecution().optimizedPlan().stats()
+        return int(stats.sizeInBytes().toString())
+    except Exception:  # no JVM handle (remote client)
+        return None
+
+
+def is_small(df: DataFrame) -> bool:
+    """True when the input provably has at most ``tabstudy.smallRows`` rows.
+
+    The plan estimate answers for plain scans; when it is too coarse (joins multiply their
+    inputs) the rows are counted.
+    """
+    limit = small_rows(df.sparkSession)
+    if limit <= 0:
+        return False
+    size = estimated_bytes(df)
+    if size is not None and size <= limit * BYTES_PER_ROW // 4:
+        return True
+    return df.count() <= limit
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder named by ``spark.checkpoint.dir``."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+            folder = os.path.join(tempfile.mkdtemp(prefix="tabstudy-"), "checkpoints")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()

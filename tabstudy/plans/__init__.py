@@ -1,0 +1 @@
+"""Multi-step studies built from the operators."""
