@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pvalues as P
-from ..functions.ranking import running_totals
+from ..functions.ranking import add_ranks, running_totals
 from ..functions.sizing import small_rows
 
 
@@ -60,6 +60,26 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
                     P.p_corr(r, F.col("n")).alias("p"), (r * r).alias("effect"))
 
 
+def rank_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(a, b, r, n): Spearman correlation of many column pairs.
+
+    Columns without nulls are ranked once and shared by all their pairs; a pair with nulls is ranked
+    on its own complete rows.
+    """
+    cols = list(dict.fromkeys(c for pair in pairs for c in pair))
+    counts = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(f"_{i}") for i, c in enumerate(cols)]).first()
+    full = {c for i, c in enumerate(cols) if counts[i + 1] == counts["rows"]}
+    shared = [p for p in pairs if set(p) <= full]
+    parts = []
+    if shared:
+        used = [c for c in cols if any(c in p for p in shared)]
+        ranked = add_ranks(df.select(*[_d(c).alias(c) for c in used]), used)
+        cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(f"rank_{a}", f"rank_{b}").alias("r"), F.count(F.lit(1)).alias("n")) for a, b in shared]
+        parts.append(ranked.agg(F.array(*cells).alias("_s")).select(F.inline("_s")))
+    parts += [spearman(df, a, b).select(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col("statistic").alias("r"), "n") for a, b in pairs if not {a, b} <= full]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _signed_pairs(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
     """Sum of w_i w_j sign(x_i - x_j) sign(y_i - y_j) over pairs, by divide and conquer on x."""
     codes = np.unique(x, return_inverse=True)[1]
@@ -266,36 +286,42 @@ def fisher(df: DataFrame, a: str, b: str, a_levels: Sequence, b_levels: Sequence
 
 # ---- normality ---------------------------------------------------------------------------------
 
-def k_squared(n: Column, g1: Column, g2: Column) -> Column:
-    """D'Agostino-Pearson K squared from n, population skewness and population excess kurtosis."""
-    y = g1 * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
-    beta = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
-    w2 = F.sqrt(2 * (beta - 1)) - 1
-    z_skew = F.asinh(y / F.sqrt(2 / (w2 - 1))) / F.sqrt(0.5 * F.log(w2))
-    mean = 3 * (n - 1) / (n + 1)
-    var = 24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
-    x = (g2 + 3 - mean) / F.sqrt(var)
-    rb = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
-    a = 6 + 8 / rb * (2 / rb + F.sqrt(1 + 4 / (rb * rb)))
-    denominator = 1 + x * F.sqrt(2 / (a - 4))
-    tail = F.signum(denominator) * F.cbrt((1 - 2 / a) / F.abs(denominator))
-    z_kurt = (1 - 2 / (9 * a) - tail) / F.sqrt(2 / (9 * a))
-    return z_skew * z_skew + z_kurt * z_kurt
-
-
-def normality_columns(v: Column) -> list[Column]:
-    """n, K squared, its p, Jarque-Bera, its p: all from one pass of moments.  n < 8 gives nulls."""
-    n = F.count(v).cast("double")
-    g1, g2 = F.skewness(v), F.kurtosis(v)
-    k2 = F.when((F.count(v) >= 8) & (F.stddev_pop(v) > 0), k_squared(F.greatest(n, F.lit(8.0)), g1, g2))
-    jb = F.when(F.stddev_pop(v) > 0, n / 6 * (g1 * g1 + g2 * g2 / 4))
-    return [F.count(v).alias("n"), k2.alias("k2"), F.exp(-k2 / 2).alias("k2_p"), jb.alias("jarque_bera"), F.exp(-jb / 2).alias("jarque_bera_p")]
+def with_k_squared(moments: DataFrame) -> DataFrame:
+    """Append K squared and Jarque-Bera, with p-values, to a frame of n, g1 (skewness), g2 (excess kurtosis).
+
+    Each step is a column of its own, so no expression repeats another; n < 8 or no spread gives nulls.
+    """
+    n, g1, g2 = F.greatest(F.col("n"), F.lit(8)).cast("double"), F.col("g1"), F.col("g2")
+    c = F.col
+    steps = [
+        ("_y", g1 * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))),
+        ("_beta", 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))),
+        ("_w2", F.sqrt(2 * (c("_beta") - 1)) - 1),
+        ("_zs", F.asinh(c("_y") / F.sqrt(2 / (c("_w2") - 1))) / F.sqrt(0.5 * F.log("_w2"))),
+        ("_x", (g2 + 3 - 3 * (n - 1) / (n + 1)) / F.sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5)))),
+        ("_rb", 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))),
+        ("_a", 6 + 8 / c("_rb") * (2 / c("_rb") + F.sqrt(1 + 4 / (c("_rb") * c("_rb"))))),
+        ("_den", 1 + c("_x") * F.sqrt(2 / (c("_a") - 4))),
+        ("_tail", F.signum("_den") * F.cbrt((1 - 2 / c("_a")) / F.abs("_den"))),
+        ("_zk", (1 - 2 / (9 * c("_a")) - c("_tail")) / F.sqrt(2 / (9 * c("_a")))),
+        ("k2", F.when(F.col("n") >= 8, c("_zs") * c("_zs") + c("_zk") * c("_zk"))),
+        ("k2_p", F.exp(-c("k2") / 2)),
+        ("jarque_bera", F.col("n") / 6 * (g1 * g1 + g2 * g2 / 4)),
+        ("jarque_bera_p", F.exp(-c("jarque_bera") / 2)),
+    ]
+    out = moments
+    for name, step in steps:
+        out = out.withColumn(name, step)
+    return out.drop("g1", "g2", *[name for name, _ in steps if name.startswith("_")])
 
 
 def normality(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
     """(group, n, k2, k2_p, jarque_bera, jarque_bera_p, normal at 5%)."""
     group = F.lit("all") if by is None else F.col(by).cast("string")
-    out = df.groupBy(group.alias("group")).agg(*normality_columns(_d(value)))
+    v = _d(value)
+    spread = F.stddev_pop(v) > 0
+    moments = df.groupBy(group.alias("group")).agg(F.count(v).alias("n"), F.when(spread, F.skewness(v)).alias("g1"), F.when(spread, F.kurtosis(v)).alias("g2"))
+    out = with_k_squared(moments)
     return out.withColumn("normal", F.coalesce(F.col("k2_p") > 0.05, F.lit(False)))
 
 

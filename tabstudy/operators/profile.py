@@ -230,11 +230,9 @@ def opportunities(df: DataFrame, target: str, features: Sequence[str], task: str
         if len(numeric) >= 2:
             findings.append(_finding(F.col("top") > 0.7, "strong_signal", "relationship", "opportunity", F.lit(""), F.col("top"), 0.7))
         if len(numeric) >= 3:
-            gaps = None
-            for c in numeric:
-                one = H.spearman(df, c, target).select(F.abs("statistic").alias("s"), F.lit(0).alias("_k")).join(
-                    H.pearson(df, c, target).select(F.abs("statistic").alias("r"), F.lit(0).alias("_k")), "_k").select((F.col("s") - F.col("r")).alias("gap"))
-                gaps = one if gaps is None else gaps.union(one)
+            ranks = H.rank_correlations(df, [(c, target) for c in numeric]).select(F.col("a").alias("column"), F.abs("r").alias("s"))
+            lines = per_column(df, numeric, lambda c: [F.abs(F.corr(F.col(c).cast("double"), F.col(target).cast("double"))).alias("l")])
+            gaps = ranks.join(lines, "column").select((F.col("s") - F.col("l")).alias("gap"))
             frame = frame.join(gaps.agg(F.avg("gap").alias("gap")).withColumn("_k", F.lit(0)), "_k")
             findings.append(_finding(F.col("gap") > 0.08, "nonlinear", "relationship", "opportunity", F.lit(""), F.col("gap"), 0.08))
     else:
