@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -155,6 +155,16 @@ def cut_points(df: DataFrame, keys: Sequence[str], ranks: dict[tuple, Sequence[i
     """
     first, second = keys
     by = list(by)
+    if is_small(df):
+        order = Window.partitionBy(*(by or [F.lit(0)])).orderBy("k1", "k2")
+        rows = df.select(*by, F.col(first).alias("k1"), F.col(second).alias("k2")).withColumn("_i", F.row_number().over(order) - 1)
+        wanted_ranks = sorted({r for rs in ranks.values() for r in rs})
+        small: dict[tuple, dict[int, tuple]] = {g: {} for g in ranks}
+        for row in rows.where(F.col("_i").isin(wanted_ranks)).collect():
+            group = tuple(row[b] for b in by)
+            if group in small and row["_i"] in ranks[group]:
+                small[group][row["_i"]] = (row["k1"], row["k2"])
+        return small
     base = df.select(*by, F.col(first).cast("double").alias("k1"), F.col(second).cast("double").alias("k2"))
     stage = base.select(*by, F.lit("k1").alias("column"), F.col("k1").alias("value"))
     wanted = {(*g, "k1"): set(r) for g, r in ranks.items()}
