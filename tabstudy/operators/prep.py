@@ -224,7 +224,11 @@ def target_encode_out_of_fold(train: DataFrame, c: str, target: str, id_col: str
     whole = per_fold.agg(*[F.sum(f"f{x}").alias(f"w{x}") for x in "nsq"]).withColumn("_k", F.lit(0))
     outside = per_fold.join(F.broadcast(whole), "_k").select("_f", *[(F.col(f"w{x}") - F.col(f"f{x}")).alias(f"o{x}") for x in "nsq"])
     on, os_, oq = F.col("on"), F.col("os"), F.col("oq")
-    grid = totals.join(cells, "_v").join(F.broadcast(outside), "_f")
+    # Every category meets every fold (k rows each), also where it has no labelled row in that fold.
+    wide = totals.withColumn("_f", F.explode(F.array(*[F.lit(i) for i in range(k)]))).alias("t")
+    cell = cells.alias("c")
+    grid = wide.join(cell, F.col("t._v").eqNullSafe(F.col("c._v")) & (F.col("t._f") == F.col("c._f")), "left").select(
+        "t.*", *[F.coalesce(F.col(f"c.{x}"), F.lit(0)).alias(x) for x in "nsq"]).join(F.broadcast(outside), "_f")
     n, s, q = (F.col(f"t{x}") - F.col(x) for x in "nsq")
     g = os_ / on
     mean = F.try_divide(s, n)

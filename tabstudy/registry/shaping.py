@@ -172,7 +172,7 @@ def _impute_query(how, fill):
         return rounded(P.impute(orders(t), P.fill_values(train_of(t), ["o_totalprice"], how)).select("o_orderkey", "o_totalprice"), {"o_totalprice": 4})
 
 
-for _how, _fill in (("mean", "avg(o_totalprice)"), ("median", "quantile_cont(o_totalprice, 0.5)"), ("constant", "0.0")):
+for _how, _fill in (("mean", "avg(o_totalprice)"), ("median", "quantile_cont(o_totalprice, 0.5)"), ("constant", "any_value(0.0)")):
     _impute_query(_how, _fill)
 
 
