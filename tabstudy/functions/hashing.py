@@ -14,6 +14,7 @@ MODULUS = 2147483647
 START = (48271, 69621, 12345)
 ROUND_MULTIPLIER = 40692
 ROUND_DIVISOR = 32768
+ROUND_SHIFT = 15  # divides by ROUND_DIVISOR
 ROUND_OFFSETS = (7919, 112648, 217377)
 # Cumulative Poisson(1) probabilities for weights 0..5; beyond the last the weight is 6.
 POISSON_CDF = (0.36788, 0.73576, 0.91970, 0.98101, 0.99634, 0.99941)
@@ -24,11 +25,15 @@ def _seed(seed) -> Column:
 
 
 def mix(key: Column, seed) -> Column:
-    """Integer in [0, MODULUS) from a non-negative integer key and a seed (number or column)."""
-    x = (F.pmod(key.cast("bigint"), F.lit(MODULUS)) * START[0] + _seed(seed).cast("bigint") * START[1] + START[2]) % MODULUS
-    for offset in ROUND_OFFSETS:
-        x = ((x * x) % MODULUS + F.floor(x / ROUND_DIVISOR) * ROUND_MULTIPLIER + offset) % MODULUS
-    return x.cast("bigint")
+    """Integer in [0, MODULUS) from a non-negative integer key and a seed (number or column).
+
+    The rounds are folded with ``aggregate``: written out they would repeat their argument three
+    times each, and a filter on the result would carry all copies.
+    """
+    start = (F.pmod(key.cast("bigint"), F.lit(MODULUS)) * START[0] + _seed(seed).cast("bigint") * START[1] + START[2]) % MODULUS
+    offsets = F.array(*[F.lit(o).cast("bigint") for o in ROUND_OFFSETS])
+    return F.aggregate(offsets, start.cast("bigint"), lambda x, o: (
+        ((x * x) % MODULUS + F.shiftright(x, ROUND_SHIFT) * ROUND_MULTIPLIER + o) % MODULUS).cast("bigint"))
 
 
 def uniform(key: Column, seed) -> Column:
@@ -37,11 +42,9 @@ def uniform(key: Column, seed) -> Column:
 
 def poisson_weight(key: Column, seed) -> Column:
     """Poisson(1) bootstrap weight of a row in one replicate."""
-    u = uniform(key, seed)
-    weight = F.lit(0)
-    for p in POISSON_CDF:
-        weight = weight + (u >= F.lit(p)).cast("int")
-    return weight
+    x = mix(key, seed)
+    steps = F.array(*[F.lit(p * MODULUS) for p in POISSON_CDF])
+    return F.size(F.filter(F.transform(steps, lambda s: s <= x), lambda hit: hit))
 
 
 def row_key(df, id_col: str | None) -> Column:

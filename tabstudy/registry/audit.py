@@ -209,7 +209,8 @@ OPP_CTE = "o AS (SELECT l_extendedprice, l_quantity, l_discount, l_tax, p_size,
 def priced(t):
     return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(
         "l_extendedprice", "l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice", F.exp(F.col("l_quantity") / 5).alias("q2"), "p_brand", "p_type",
-        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1009 + F.col("l_partkey") % 1009).alias("id"), "l_returnflag", "l_linestatus")
+        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1009 + F.col("l_partkey") % 1009).alias("id"), "l_returnflag", "l_linestatus",
+        (F.col("l_quantity") * F.col("p_retailprice") * (1 - F.col("l_discount")) + F.col("l_tax") * 10000).alias("amount"))
 
 
 def _rank_sql(c, table):
