@@ -148,7 +148,7 @@ def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
         parts = parts.union(mixed("yb", "y").groupBy("yb").applyInPandas(solve("xb", "y"), "s double"))
         # At most 512 x 512 block totals (plus cells for repeated cuts), whatever the data size.
         totals = blocked.groupBy("xb", "yb").agg(F.sum("w").alias("w"))
-        parts = parts.union(totals.groupBy(F.lit(0)).applyInPandas(solve("xb", "yb"), "s double"))
+        parts = parts.union(totals.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(solve("xb", "yb"), "s double"))
     s = parts.agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"))
 
     def ties(cols):
