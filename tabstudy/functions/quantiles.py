@@ -17,7 +17,10 @@ from pyspark.sql import types as T
 
 from .sizing import is_small
 
-SLICES = 1024
+SLICES = 4096
+# Above this the one-task merge of ``percentile`` maps costs more than the narrowing passes.
+PERCENTILE_ROWS = 200_000
+CASE_LIMIT = 48
 
 
 def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -30,7 +33,14 @@ def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
     )
 
 
-def select_ranks(long: DataFrame, wanted: dict[tuple, set[int]], by: Sequence[str], with_below: bool = False) -> dict[tuple, dict]:
+def value_ranges(long: DataFrame, by: Sequence[str]) -> dict[tuple, tuple]:
+    """{(by..., column): (rows, smallest, largest)} of a long frame."""
+    keys = [*by, "column"]
+    rows = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).collect()
+    return {tuple(r[k] for k in keys): (r.n, r.lo, r.hi) for r in rows}
+
+
+def select_ranks(long: DataFrame, wanted: dict[tuple, set[int]], by: Sequence[str], with_below: bool = False, ranges: dict[tuple, tuple] | None = None) -> dict[tuple, dict]:
     """Values at zero-based ranks, per (by..., column) key, from a long (by..., column, value) frame.
 
     ``wanted`` maps a key to its ranks.  Each open interval is (low, high, rows below it, ranks in it).
@@ -39,12 +49,8 @@ def select_ranks(long: DataFrame, wanted: dict[tuple, set[int]], by: Sequence[st
     spark = long.sparkSession
     keys = [*by, "column"]
     found: dict[tuple, dict[int, float]] = {k: {} for k in wanted}
-    bounds = long.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    open_: dict[tuple, list] = {}
-    for row in bounds.collect():
-        key = tuple(row[k] for k in keys)
-        if key in wanted:
-            open_[key] = [(row.lo, row.hi, 0, set(wanted[key]))]
+    ranges = value_ranges(long, by) if ranges is None else ranges
+    open_: dict[tuple, list] = {k: [(lo, hi, 0, set(wanted[k]))] for k, (_, lo, hi) in ranges.items() if k in wanted}
     schema = T.StructType(
         [long.schema[k] for k in keys]
         + [T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()), T.StructField("part", T.IntegerType())]
@@ -59,17 +65,24 @@ def select_ranks(long: DataFrame, wanted: dict[tuple, set[int]], by: Sequence[st
                     rows.append((*key, lo, hi, i))
         if not rows:
             break
-        intervals = F.broadcast(spark.createDataFrame(rows, schema))
-        joined = long.alias("l").join(
-            intervals.alias("i"),
-            on=[F.col(f"l.{k}").eqNullSafe(F.col(f"i.{k}")) for k in keys],
-        ).where(F.col("l.value").between(F.col("i.lo"), F.col("i.hi")))
+        if not by and len(rows) <= CASE_LIMIT:
+            # Few intervals: compare with literals instead of joining.
+            found_in = F.lit(None).cast("struct<lo:double,hi:double,part:int>")
+            for column, lo, hi, part in reversed(rows):
+                hit = (F.col("column") == F.lit(column)) & F.col("value").between(F.lit(lo), F.lit(hi))
+                found_in = F.when(hit, F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(part).alias("part"))).otherwise(found_in)
+            matched = long.withColumn("_i", found_in).where(F.col("_i").isNotNull()).select("column", "value", "_i.*")
+        else:
+            intervals = F.broadcast(spark.createDataFrame(rows, schema))
+            matched = long.alias("l").join(
+                intervals.alias("i"), on=[F.col(f"l.{k}").eqNullSafe(F.col(f"i.{k}")) for k in keys],
+            ).where(F.col("l.value").between(F.col("i.lo"), F.col("i.hi"))).select(
+                *[F.col(f"l.{k}").alias(k) for k in keys], F.col("l.value").alias("value"), F.col("i.lo").alias("lo"), F.col("i.hi").alias("hi"), F.col("i.part").alias("part"))
         # Halves keep the width finite for intervals that span most of the double range.
-        width = F.col("i.hi") / 2 - F.col("i.lo") / 2
-        cell = F.least(F.floor((F.col("l.value") / 2 - F.col("i.lo") / 2) / width * SLICES), F.lit(SLICES - 1))
+        width = F.col("hi") / 2 - F.col("lo") / 2
+        cell = F.least(F.floor((F.col("value") / 2 - F.col("lo") / 2) / width * SLICES), F.lit(SLICES - 1))
         counts = (
-            joined.select(*[F.col(f"l.{k}").alias(k) for k in keys], F.col("i.part").alias("part"),
-                          cell.cast("int").alias("cell"), F.col("l.value").alias("value"))
+            matched.select(*keys, "part", cell.cast("int").alias("cell"), "value")
             .groupBy(*keys, "part", "cell")
             .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
             .collect()
@@ -121,12 +134,18 @@ def quantile_exprs(cols: Sequence[str], probs: Sequence[float]) -> Column:
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """(by..., column, n, q array<double>) with linear interpolation, nulls ignored."""
     cols, by, probs = list(cols), list(by), [float(p) for p in probs]
-    if is_small(df.select(*by, *[c for c in cols if c not in by])):
+    if is_small(df.select(*by, *[c for c in cols if c not in by]), PERCENTILE_ROWS):
         packed = df.groupBy(*by).agg(quantile_exprs(cols, probs).alias("_s"))
         return packed.select(*by, F.inline("_s"))
     long = _long(df, cols, by)
     keys = [*by, "column"]
-    sizes = {tuple(r[k] for k in keys): r.n for r in long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).collect()}
+    if by:
+        ranges = value_ranges(long, by)
+    else:
+        clean = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
+        row = df.agg(*[F.struct(F.count(v), F.min(v), F.max(v)).alias(str(i)) for i, v in enumerate(clean.values())]).first()
+        ranges = {(c,): tuple(row[i]) for i, c in enumerate(cols) if row[i][0]}
+    sizes = {k: n for k, (n, _, _) in ranges.items()}
     wanted = {}
     for key, n in sizes.items():
         ranks: set[int] = set()
@@ -134,8 +153,9 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             low = int((n - 1) * p)
             ranks |= {low, min(low + 1, n - 1)}
         wanted[key] = ranks
-    found = select_ranks(long, wanted, by)
+    found = select_ranks(long, wanted, by, ranges=ranges)
     rows = [(*key, n, [_interpolate(found[key], n, p) for p in probs]) for key, n in sizes.items()]
+    rows += [(c, 0, None) for c in cols if not by and (c,) not in sizes]
     schema = T.StructType(
         [long.schema[k] for k in keys] + [T.StructField("n", T.LongType()), T.StructField("q", T.ArrayType(T.DoubleType()))]
     )

@@ -31,13 +31,14 @@ def estimated_bytes(df: DataFrame) -> int | None:
         return None
 
 
-def is_small(df: DataFrame) -> bool:
-    """True when the input provably has at most ``tabstudy.smallRows`` rows.
+def is_small(df: DataFrame, at_most: int | None = None) -> bool:
+    """True when the input provably has at most ``tabstudy.smallRows`` (and ``at_most``) rows.
 
     The plan estimate answers for plain scans; when it is too coarse (joins multiply their
     inputs) the rows are counted.
     """
     limit = small_rows(df.sparkSession)
+    limit = limit if at_most is None else min(limit, at_most)
     if limit <= 0:
         return False
     size = estimated_bytes(df)

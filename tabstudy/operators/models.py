@@ -360,7 +360,11 @@ def fit_all(df: DataFrame, recipe: Recipe, target: str, task: str, id_col: str,
     """Predictions (model, id, split, y, pred, proba) of many models on a table with a ``split`` column.
 
     Preparation and target transform are learned on training rows only; models that need scaling get it.
+    The table is cached while the fits read it again and again, and released before scoring.
     """
+    held = not df.is_cached
+    if held:
+        df.persist()
     train = df.where("split = 'train'")
     change = fit_target_transform(train, target, method) if task == "regression" else TargetTransform("none")
 
@@ -372,7 +376,11 @@ def fit_all(df: DataFrame, recipe: Recipe, target: str, task: str, id_col: str,
                                            change.inverse(F.col("pred")).alias("pred"), "proba")
         return rows, model
 
-    results = in_parallel([lambda k=k: run(k) for k in keys])
+    try:
+        results = in_parallel([lambda k=k: run(k) for k in keys])
+    finally:
+        if held:
+            df.unpersist()
     return reduce(DataFrame.unionByName, [r[0] for r in results]), [r[1] for r in results]
 
 
