@@ -192,6 +192,7 @@ def discriminant(train: DataFrame, features: Sequence[str], target: str) -> Fitt
 # ---- nearest neighbours ------------------------------------------------------------------------
 
 CHUNK_ROWS = 20_000
+QUERY_ROWS = 50_000
 
 
 def nearest_neighbours(train: DataFrame, queries: DataFrame, features: Sequence[str], k: int, train_id: str, query_id: str, carry: Sequence[str] = (),
@@ -236,8 +237,11 @@ def nearest_neighbours(train: DataFrame, queries: DataFrame, features: Sequence[
     many = F.element_at(chunks, F.col("cell"))
     left = placed.withColumn("chunk", F.pmod(F.xxhash64("_t"), many).cast("int"))
     right = queries.select(F.col(query_id).alias("_q"), vector.alias("_x")).withColumn("cell", F.explode(visit("_x")))
-    right = right.withColumn("chunk", F.explode(F.sequence(F.lit(0), many - 1))).withColumn("part", F.pmod(F.xxhash64("_q"), F.lit(8)).cast("int"))
-    left = left.withColumn("part", F.explode(F.array(*[F.lit(i) for i in range(8)])))
+    # Training rows are repeated only for cells visited by more queries than one task should hold.
+    visits = {r.cell: r.n for r in right.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = F.element_at(F.create_map(*[F.lit(int(x)) for c in ids for x in (c, max(1, -(-visits.get(c, 0) // QUERY_ROWS)))]), F.col("cell"))
+    right = right.withColumn("chunk", F.explode(F.sequence(F.lit(0), many - 1))).withColumn("part", F.pmod(F.xxhash64("_q"), parts).cast("int"))
+    left = left.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
     schema = ", ".join(["_q bigint", "_t bigint", "distance double", *[f"{c} {dict(train.dtypes)[c]}" for c in carry]])
 
     def closest(ts: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
@@ -299,9 +303,11 @@ def probe(df: DataFrame, features: Sequence[str], target: str, task: str, id_col
     train, test = split.where("_t"), split.where("not _t")
     keys = [("base_mean", {}), ("ols", {})] if task == "regression" else [("base_majority", {}), ("logit", {})]
     keys.append(("rf", {"trees": 10, "depth": 3}))
-    fitted = in_parallel([lambda k=k, p=p: fit(k, train, features, target, task, seed, **p) for k, p in keys])
-    out = score_rows(_stack(fitted, test, target, [id_col]), task, ["model"])
-    return out
+    try:
+        fitted = in_parallel([lambda k=k, p=p: fit(k, train, features, target, task, seed, **p) for k, p in keys])
+    finally:
+        split.unpersist()
+    return score_rows(_stack(fitted, test, target, [id_col]), task, ["model"])
 
 
 def _stack(models: Sequence[Fitted], df: DataFrame, target: str, keep: Sequence[str]) -> DataFrame:
@@ -320,7 +326,11 @@ def cross_validate(key: str, df: DataFrame, features: Sequence[str], target: str
         model = fit(key, train.withColumn("_y", change.forward(F.col(target).cast("double"))) if task == "regression" else train.withColumn("_y", F.col(target)), features, "_y", task, seed, **params)
         return model.predict(test).select(F.col(fold_col).alias("fold"), F.col(target).cast("double").alias("y"), change.inverse(F.col("pred")).alias("pred"))
 
-    stacked = reduce(DataFrame.unionByName, in_parallel([lambda i=i: run(i) for i in ids]))
+    try:
+        parts = in_parallel([lambda i=i: run(i) for i in ids])
+    finally:
+        rows.unpersist()
+    stacked = reduce(DataFrame.unionByName, parts)
     gap = F.col("y") - F.col("pred")
     score = F.sqrt(F.avg(gap * gap)) if task == "regression" else F.avg((gap == 0).cast("double"))
     return stacked.groupBy("fold").agg(score.alias("score")).select(F.lit(key).alias("model"), "fold", "score")
