@@ -250,15 +250,19 @@ def nearest_neighbours(train: DataFrame, queries: DataFrame, features: Sequence[
             return pd.DataFrame({n: [] for n in names})
         x = np.stack(ts["_x"].to_numpy())
         tid = ts["_t"].to_numpy()
-        out = []
+        qid, where, far = [], [], []
         for start in range(0, len(qs), 64):
             block = qs.iloc[start:start + 64]
             q = np.stack(block["_x"].to_numpy())
             d = np.sqrt(((q[:, None, :] - x[None]) ** 2).sum(2))
-            for row, qid in zip(d, block["_q"].to_numpy()):
+            for row, one in zip(d, block["_q"].to_numpy()):
                 keep = np.lexsort((tid, row))[:k]
-                out.append(pd.DataFrame({"_q": qid, "_t": tid[keep], "distance": row[keep], **{c: ts[c].to_numpy()[keep] for c in carry}}))
-        return pd.concat(out)[names]
+                qid.append(np.full(len(keep), one))
+                where.append(keep)
+                far.append(row[keep])
+        at = np.concatenate(where)
+        columns = {"_q": np.concatenate(qid), "_t": tid[at], "distance": np.concatenate(far), **{c: ts[c].to_numpy()[at] for c in carry}}
+        return pd.DataFrame(columns)[names]
 
     keys = ["cell", "chunk", "part"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(closest, schema)
