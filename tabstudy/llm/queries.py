@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import decontaminate, rules, simhash
 from .base import query, table
 
 
 @query("op2_simhash")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op5_quality_rules", rules.sql())
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.quality(table(spark, folder, "documents"))
+
+
+@query("op4_decontaminate", decontaminate.SQL)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("spans")
