@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, raw_texts
+from .common import map_batches, raw_texts, slices
 
 WINDOW = 13
 BLOCK_WORDS = 200_000  # words of items in one broadcast automaton
@@ -175,7 +175,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
         def run(batches, sent=sent):
             automaton = SuffixAutomaton(sent.value, window)
-            for batch in batches:
+            for batch in slices(batches):
                 counts, spans, items = [], [], []
                 for text in raw_texts(batch.column(2)):
                     words = words_of(text)

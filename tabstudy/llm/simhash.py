@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -138,23 +137,27 @@ def _links(members: list[int], queries: list[int], radius: int) -> list[tuple[in
 def _search(radius: int):
     """Over rows sorted by shard and tree: build each tree, query it with all rows of its shard."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, fps, own = None, [], []
 
-        def flush() -> pd.DataFrame | None:
+        def flush() -> pa.RecordBatch | None:
             members = [f for f, m in zip(fps, own) if m]
             found = _links(members, fps, radius) if members and len(fps) > 1 else []
-            return pd.DataFrame(np.array(found, dtype=np.uint64).view(np.int64).reshape(-1, 2), columns=["a", "b"]) if found else None
-
-        for frame in frames:
-            groups = zip(frame["mask"].tolist(), frame["value"].tolist(), frame["tree"].tolist())
-            for k, fp, member in zip(groups, frame["fp"].to_numpy().view(np.uint64).tolist(), frame["member"].tolist()):
+            if found:
+                pairs = np.array(found, dtype=np.uint64).view(np.int64).reshape(-1, 2)
+                return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            return None
+
+        for batch in batches:
+            mask, value, tree, fp, member = (batch.column(i) for i in range(5))
+            groups = zip(mask.to_pylist(), value.to_pylist(), tree.to_pylist())
+            for k, f, m in zip(groups, fp.to_numpy().view(np.uint64).tolist(), member.to_pylist()):
                 if k != key:
                     if (out := flush()) is not None:
                         yield out
                     key, fps, own = k, [], []
-                fps.append(fp)
-                own.append(member)
+                fps.append(f)
+                own.append(m)
         if (out := flush()) is not None:
             yield out
 
@@ -194,7 +197,7 @@ def links(fps: DataFrame, radius: int = 3, tree: int = TREE) -> DataFrame:
         trees = F.ceil(F.coalesce("n", F.lit(1)) / tree).cast("int")
         work = work.withColumn("own", F.pmod(F.xxhash64("fp"), trees)).withColumn("tree", F.explode(F.sequence(F.lit(0), trees - 1)))
         work = work.select("mask", "value", "tree", "fp", (F.col("own") == F.col("tree")).alias("member"))
-        part = work.repartition("mask", "value", "tree").sortWithinPartitions("mask", "value", "tree", "fp").mapInPandas(_search(radius), "a long, b long")
+        part = work.repartition("mask", "value", "tree").sortWithinPartitions("mask", "value", "tree", "fp").mapInArrow(_search(radius), "a long, b long")
         found = part if found is None else found.union(part)
         if last or not some:
             return found
