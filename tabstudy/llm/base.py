@@ -19,5 +19,9 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+BATCH_ROWS = 1000  # whole texts in one Arrow batch
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{folder}/{name}.parquet")

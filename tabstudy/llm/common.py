@@ -89,3 +89,47 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def crc_remainder(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
+
+
+class Ragged:
+    """Integer lists in one growing array, found by key; emptied before it exceeds ``limit`` keys."""
+
+    def __init__(self, limit: int = 300_000):
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.slots: dict = {}
+        self.flat, self.start, self.length = np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
+        self.used = 0
+
+    def find(self, keys: list, make: Callable[[list], list]) -> np.ndarray:
+        """Slot of each key; ``make`` gives the lists of the keys that are new."""
+        if len(self.slots) > self.limit:
+            self.clear()
+        get = self.slots.get
+        found = np.fromiter((get(k, -1) for k in keys), dtype=np.int64, count=len(keys))
+        gaps = np.flatnonzero(found < 0)
+        if len(gaps):
+            new = list(dict.fromkeys(keys[i] for i in gaps.tolist()))
+            self._add(new, make(new))
+            found[gaps] = np.fromiter((self.slots[keys[i]] for i in gaps.tolist()), dtype=np.int64, count=len(gaps))
+        return found
+
+    def _add(self, keys: list, lists: list) -> None:
+        at = len(self.slots)
+        self.slots.update(zip(keys, range(at, at + len(keys))))
+        lengths = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+        total = int(lengths.sum())
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while at + len(keys) > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        self.flat[self.used:self.used + total] = np.fromiter((i for x in lists for i in x), dtype=np.int32, count=total)
+        self.start[at:at + len(keys)] = self.used + np.cumsum(lengths) - lengths
+        self.length[at:at + len(keys)] = lengths
+        self.used += total
+
+    def gather(self, slots: np.ndarray) -> np.ndarray:
+        """The lists of these slots, one after the other."""
+        return self.flat[ranges(self.start[slots], self.length[slots])]

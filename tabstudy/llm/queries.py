@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, rules, simhash
+from . import decontaminate, rules, simhash, tokens
 from .base import query, table
+from .common import scratch
 
 
 @query("op2_simhash")
@@ -21,3 +23,10 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_decontaminate", decontaminate.SQL)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("spans")
+
+
+@query("op10_token_orc")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch(spark, "tokens")
+    tokens.write_tokens(table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return tokens.token_table(spark, path)
