@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, rules, simhash, tokens
+from . import decontaminate, rules, simhash, tokens, warc
 from .base import query, table
 from .common import scratch
 
@@ -30,3 +30,10 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch(spark, "tokens")
     tokens.write_tokens(table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return tokens.token_table(spark, path)
+
+
+@query("op7_warc_zip")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch(spark, "archives")
+    warc.write_archives(table(spark, folder, "pages"), path)
+    return warc.read_records(warc.index_table(spark, path)).drop("url")
