@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, rules, simhash, tokens, warc
+from . import classifier, decontaminate, langid, rules, simhash, tokens, warc
 from .base import query, table
 from .common import scratch
 
@@ -37,3 +37,13 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch(spark, "archives")
     warc.write_archives(table(spark, folder, "pages"), path)
     return warc.read_records(warc.index_table(spark, path)).drop("url")
+
+
+@query("op6_quality_classifier")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return classifier.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.identify(table(spark, folder, "documents"))
