@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontaminate, langid, rules, simhash, tokens, warc
+from . import classifier, decontaminate, html, langid, rules, simhash, tokens, warc
 from .base import query, table
 from .common import scratch
 
@@ -47,3 +47,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_language_id")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return langid.identify(table(spark, folder, "documents"))
+
+
+@query("op3_html_text")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return html.main_texts(table(spark, folder, "pages"))
