@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontaminate, html, langid, rules, simhash, tokens, warc
+from . import classifier, decontaminate, html, langid, pieces, rules, simhash, tokens, warc
 from .base import query, table
 from .common import scratch
 
@@ -52,3 +52,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_html_text")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return html.main_texts(table(spark, folder, "pages"))
+
+
+@query("op1_sentencepiece")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.round_trips(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
