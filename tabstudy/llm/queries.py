@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontaminate, html, langid, pieces, rules, simhash, tokens, warc
+from . import classifier, decontaminate, html, langid, pieces, rules, simhash, substrings, tokens, warc
 from .base import query, table
 from .common import scratch
 
@@ -57,3 +57,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_sentencepiece")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.round_trips(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op8_substring_dedup")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.repeated_passages(table(spark, folder, "documents")).drop("digest")
