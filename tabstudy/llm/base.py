@@ -22,6 +22,11 @@ def query(name: str, sql: str | None = None):
 BATCH_ROWS = 1000  # whole texts in one Arrow batch
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+def short_batches(spark: SparkSession) -> None:
+    """Bound the whole texts that a task holds at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
