@@ -91,44 +91,69 @@ def crc_remainder(doc_id: Column, mod: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod
 
 
-class Ragged:
-    """Integer lists in one growing array, found by key; emptied before it exceeds ``limit`` keys."""
+class _Numbers(dict):
+    """Numbers keys in the order of their first use; ``new`` has those that were numbered since it was last emptied."""
 
-    def __init__(self, limit: int = 300_000):
-        self.limit = limit
-        self.clear()
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        self.new.append(key)
+        return n
 
-    def clear(self) -> None:
-        self.slots: dict = {}
-        self.flat, self.start, self.length = np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
-        self.used = 0
 
-    def find(self, keys: list, make: Callable[[list], list]) -> np.ndarray:
-        """Slot of each key; ``make`` gives the lists of the keys that are new."""
+class Ragged:
+    """Integer lists, and further numbers, of keys that occur again and again. Beyond ``limit`` keys the most used half stays."""
+
+    def __init__(self, make: Callable[[list], tuple], limit: int = 500_000, extras: int = 0):
+        """``make`` gives for new keys their lists as (values, lengths, extra numbers...)."""
+        self.make, self.limit = make, limit
+        self.slots, self.used = _Numbers(), 0
+        self.flat = np.zeros(1 << 16, dtype=np.int32)
+        self.start, self.length, self.seen = (np.zeros(1 << 14, dtype=np.int64) for _ in range(3))
+        self.extra = [np.zeros(1 << 14) for _ in range(extras)]
+
+    def find(self, keys: list) -> np.ndarray:
+        """Slot of each key, until the next call."""
         if len(self.slots) > self.limit:
-            self.clear()
-        get = self.slots.get
-        found = np.fromiter((get(k, -1) for k in keys), dtype=np.int64, count=len(keys))
-        gaps = np.flatnonzero(found < 0)
-        if len(gaps):
-            new = list(dict.fromkeys(keys[i] for i in gaps.tolist()))
-            self._add(new, make(new))
-            found[gaps] = np.fromiter((self.slots[keys[i]] for i in gaps.tolist()), dtype=np.int64, count=len(gaps))
+            self._shrink()
+        found = np.fromiter(map(self.slots.__getitem__, keys), dtype=np.int64, count=len(keys))
+        if self.slots.new:
+            self._add(*self.make(self.slots.new))
+            self.slots.new = []
+        n = len(self.slots)
+        self.seen[:n] += np.bincount(found, minlength=n)
         return found
 
-    def _add(self, keys: list, lists: list) -> None:
-        at = len(self.slots)
-        self.slots.update(zip(keys, range(at, at + len(keys))))
-        lengths = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        total = int(lengths.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while at + len(keys) > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        self.flat[self.used:self.used + total] = np.fromiter((i for x in lists for i in x), dtype=np.int32, count=total)
-        self.start[at:at + len(keys)] = self.used + np.cumsum(lengths) - lengths
-        self.length[at:at + len(keys)] = lengths
-        self.used += total
+    def _add(self, values: np.ndarray, lengths: np.ndarray, *extras: np.ndarray) -> None:
+        n = len(self.slots)
+        at = n - len(lengths)
+        grown = lambda x, size: np.concatenate([x, np.zeros(max(size - len(x), len(x)), dtype=x.dtype)]) if size > len(x) else x
+        self.flat = grown(self.flat, self.used + len(values))
+        self.start, self.length, self.seen = grown(self.start, n), grown(self.length, n), grown(self.seen, n)
+        self.extra = [grown(x, n) for x in self.extra]
+        self.flat[self.used:self.used + len(values)] = values
+        self.start[at:n] = self.used + np.cumsum(lengths) - lengths
+        self.length[at:n] = lengths
+        self.seen[at:n] = 0
+        for x, own in zip(self.extra, extras):
+            x[at:n] = own
+        self.used += len(values)
+
+    def _shrink(self) -> None:
+        n = len(self.slots)
+        seen = self.seen[:n]
+        kept = np.flatnonzero((seen > 1) & (seen >= np.partition(seen, n // 2)[n // 2]))[-(self.limit // 2 + 1):]
+        keys = list(self.slots)
+        old = self.slots
+        self.slots = _Numbers()
+        self.slots.update((keys[i], k) for k, i in enumerate(kept.tolist()))
+        del old
+        values, lengths, extras = self.gather(kept), self.length[kept], [x[kept] for x in self.extra]
+        self.used = 0
+        self._add(values, lengths, *extras)
 
     def gather(self, slots: np.ndarray) -> np.ndarray:
         """The lists of these slots, one after the other."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,18 +18,53 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Ragged, raw_texts, slices
+from .common import Ragged, ranges, raw_texts, slices
 
 SCHEMA = "doc_id long, block int, place long, n_tokens long, ids array<int>"
 STRIPE_BYTES = 32 << 20
 
 
+MARK = "|"  # stands between words that are encoded in one call
+
+
+def _words_encoder(tokenizer):
+    """Encode new words, given as bytes, as (ids, lengths): many in one call, told apart by the mark's own id; words that hold the mark alone."""
+    mark = tokenizer.encode(MARK, add_special_tokens=False).ids
+
+    def one_by_one(words: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def make(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [w.decode() for w in words]
+        lengths = np.zeros(len(texts), dtype=np.int64)
+        plain = np.array([i for i, t in enumerate(texts) if MARK not in t and len(mark) == 1], dtype=np.int64)
+        others = np.array([i for i, t in enumerate(texts) if MARK in t or len(mark) != 1], dtype=np.int64)
+        parts = []
+        for at in range(0, len(plain), 5000):
+            some = plain[at:at + 5000]
+            ids = np.array(one_by_one([f" {MARK} ".join(texts[i] for i in some.tolist())])[0], dtype=np.int64)
+            ends = np.append(np.flatnonzero(ids == mark[0]), len(ids))
+            if len(ends) != len(some):
+                raise ValueError("the vocabulary joins words over white space")
+            lengths[some] = np.diff(ends, prepend=-1) - 1
+            parts.append(ids[ids != mark[0]])
+        lists = one_by_one([texts[i] for i in others.tolist()])
+        lengths[others] = [len(x) for x in lists]
+        values = np.concatenate([*parts, *(np.array(x, dtype=np.int64) for x in lists), np.zeros(0, dtype=np.int64)])
+        order = np.concatenate([plain, others])
+        starts = np.zeros(len(texts), dtype=np.int64)
+        starts[order] = np.cumsum(lengths[order]) - lengths[order]
+        return values[ranges(starts, lengths)], lengths
+
+    return make
+
+
 @lru_cache(maxsize=2)
-def _encoder(path: str):
+def _known_words(path: str) -> Ragged:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), Ragged()
+    return Ragged(_words_encoder(Tokenizer.from_file(path)))
 
 
 def encode_texts(path: str, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -36,12 +72,12 @@ def encode_texts(path: str, texts: list[bytes], end_id: int) -> tuple[np.ndarray
 
     The vocabulary drops white space and never joins what it parts, so words are encoded once and looked up afterwards.
     """
-    tokenizer, known = _encoder(path)
+    known = _known_words(path)
     words = [t.split() for t in texts]
-    slots = known.find([w for ws in words for w in ws], lambda new: [e.ids for e in tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)])
+    slots = known.find(list(chain.from_iterable(words)))
     reach = np.concatenate([[0], np.cumsum(known.length[slots])])
     ends = reach[np.cumsum([len(ws) for ws in words])]
-    ids = np.insert(known.gather(slots), ends, end_id).astype(np.int32)
+    ids = np.insert(known.gather(slots), ends, end_id)
     return ids, np.concatenate([[0], ends + np.arange(1, len(texts) + 1)])
 
 

@@ -41,3 +41,18 @@ def test_edges_and_lookup(spark, docs):
     assert all(pyarrow.orc.ORCFile(f).nstripes >= 1 for f in glob.glob(f"{path}/*.orc"))
     tokens.write_tokens(docs([]), empty := scratch(spark, "orc"), PATH, 2)
     assert tokens.token_table(spark, empty).count() == 0
+
+
+def test_kept_lists_survive_shrinking():
+    import numpy as np
+
+    from tabstudy.llm.common import Ragged
+
+    make = lambda keys: (np.array([int(k) for k in keys for _ in range(int(k) % 4)]), np.array([int(k) % 4 for k in keys]), np.array([float(k) for k in keys]))
+    kept, rng = Ragged(make, limit=40, extras=1), np.random.default_rng(0)
+    for _ in range(60):
+        keys = [str(int(x)) for x in rng.geometric(0.02, 50)]
+        slots = kept.find(keys)
+        assert kept.gather(slots).tolist() == [int(k) for k in keys for _ in range(int(k) % 4)]
+        assert kept.extra[0][slots].tolist() == [float(k) for k in keys]
+        assert len(kept.slots) <= 40 + 50
