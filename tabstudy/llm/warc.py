@@ -1,16 +1,17 @@
 """WARC records in ZIP packages, and a reader that locates them by the directories and reads byte ranges.
 
-A package holds two stored members: the records, and an index of their offsets. The reader parses the end record, the ZIP64
+A package holds two stored members: the records, each compressed by itself, and an index of their offsets. The reader parses the end record, the ZIP64
 locator and directory where there is one, and the central directory, finds the members' bytes in the package, reads the index and
 then only the ranges of the records it wants. Nothing is extracted. Sections of packages are read in parallel.
 
 Packages are written by Spark's text writer, one for each task, so retried tasks leave no half package. Each row that it writes is
-a piece of the package without its last line feed; the very last line feed is the package's comment.
+a piece of the package up to one of its line feeds; the very last line feed is the package's comment.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import re
@@ -26,10 +27,11 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-RECORDS, INDEX = "archive/data.warc", "indexes/index.cdxj"
+RECORDS, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 SECTION = 16 << 20  # bytes of a package that one task reads
+LEVEL = 3  # of compression
 READ = 4 << 20  # bytes of neighbouring records read at once
 MAX16, MAX32 = 0xFFFF, 0xFFFFFFFF
 # Signatures of the ZIP format.
@@ -177,15 +179,16 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
         package, index = Package(zip64), []
         pending = package.open(RECORDS)
         offset = 0
-        for batch in slices(batches, 100):
-            pieces = []
+        for batch in slices(batches, 50):
             for page_id, url, html, size, sha1, first, revisit in zip(*(batch.column(i).to_pylist() for i in range(7))):
-                data = package.add(record(page_id, url, html.encode(), size, base64.b32encode(bytes.fromhex(sha1)).decode(), first, revisit))
+                data = package.add(gzip.compress(record(page_id, url, html.encode(), size, base64.b32encode(bytes.fromhex(sha1)).decode(), first, revisit), LEVEL, mtime=0))
                 index.append({"page_id": page_id, "url": url, "offset": offset, "length": len(data)})
                 offset += len(data)
-                pieces.append((pending + data)[:-1])
-                pending = b""
-            yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.binary())], ["piece"])
+                pending += data
+            cut = pending.rfind(b"\n")
+            if cut >= 0:
+                yield pa.RecordBatch.from_arrays([pa.array([pending[:cut]], pa.binary())], ["piece"])
+                pending = pending[cut + 1:]
         last = pending + package.close() + package.open(INDEX)
         last += package.add("".join(json.dumps(x) + "\n" for x in index).encode()) + package.close() + package.end(b"\n")
         yield pa.RecordBatch.from_arrays([pa.array([last], pa.binary())], ["piece"])
@@ -221,7 +224,7 @@ def read_records(index: DataFrame, payloads: bool = False) -> DataFrame:
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
 
     def row(data: bytes, url: str | None):
-        headers, payload = parse_record(data)
+        headers, payload = parse_record(gzip.decompress(data))
         named = headers["warc-payload-digest"].removeprefix("sha1:")
         number = lambda key: int(headers[key]) if key in headers else None
         if headers["warc-type"] == "revisit":
