@@ -15,6 +15,7 @@ START = (48271, 69621, 12345)
 ROUND_MULTIPLIER = 40692
 ROUND_DIVISOR = 32768
 ROUND_SHIFT = 15  # divides by ROUND_DIVISOR
+FOLD_SHIFT, FOLD_MULTIPLIER = 31, 69069
 ROUND_OFFSETS = (7919, 112648, 217377)
 # Cumulative Poisson(1) probabilities for weights 0..5; beyond the last the weight is 6.
 POISSON_CDF = (0.36788, 0.73576, 0.91970, 0.98101, 0.99634, 0.99941)
@@ -30,7 +31,10 @@ def mix(key: Column, seed) -> Column:
     The rounds are folded with ``aggregate``: written out they would repeat their argument three
     times each, and a filter on the result would carry all copies.
     """
-    start = (F.pmod(key.cast("bigint"), F.lit(MODULUS)) * START[0] + _seed(seed).cast("bigint") * START[1] + START[2]) % MODULUS
+    key = key.cast("bigint")
+    # High bits are folded in, so that keys that differ by a multiple of the modulus part.
+    folded = F.pmod(F.pmod(key, F.lit(MODULUS)) + F.pmod(F.shiftright(key, FOLD_SHIFT), F.lit(MODULUS)) * FOLD_MULTIPLIER, F.lit(MODULUS))
+    start = (folded * START[0] + _seed(seed).cast("bigint") * START[1] + START[2]) % MODULUS
     offsets = F.array(*[F.lit(o).cast("bigint") for o in ROUND_OFFSETS])
     return F.aggregate(offsets, start.cast("bigint"), lambda x, o: (
         ((x * x) % MODULUS + F.shiftright(x, ROUND_SHIFT) * ROUND_MULTIPLIER + o) % MODULUS).cast("bigint"))
@@ -48,17 +52,18 @@ def poisson_weight(key: Column, seed) -> Column:
 
 
 def row_key(df, id_col: str | None) -> Column:
-    """Integer identity of a row: the id column, or a hash of all columns when there is none."""
+    """Integer identity of a row: the id column, or a hash of all columns where there is none or it is null."""
     if id_col is None:
         return F.abs(F.xxhash64(*[F.col(c) for c in df.columns]) % F.lit(1 << 53))
     if dict(df.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint"):
-        return F.col(id_col).cast("bigint")
+        return F.coalesce(F.col(id_col).cast("bigint"), F.abs(F.xxhash64(*[F.col(c) for c in df.columns]) % F.lit(1 << 53)))
     return F.abs(F.xxhash64(F.col(id_col)) % F.lit(1 << 53))
 
 
 def mix_sql(key: str, seed: str | int) -> str:
     """The same mix as a DuckDB expression."""
-    x = f"((({key}) % {MODULUS} * {START[0]} + ({seed}) * {START[1]} + {START[2]}) % {MODULUS})"
+    folded = f"((({key}) % {MODULUS} + (({key}) // {1 << FOLD_SHIFT}) % {MODULUS} * {FOLD_MULTIPLIER}) % {MODULUS})"
+    x = f"(({folded} * {START[0]} + ({seed}) * {START[1]} + {START[2]}) % {MODULUS})"
     for offset in ROUND_OFFSETS:
         x = f"(list_transform([{x}], lambda x: ((x * x) % {MODULUS} + (x // {ROUND_DIVISOR}) * {ROUND_MULTIPLIER} + {offset}) % {MODULUS})[1])"
     return f"({x})"

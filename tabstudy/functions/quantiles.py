@@ -1,26 +1,28 @@
 """Exact quantiles and order statistics that never gather a column in one place.
 
-Small inputs use Spark's exact ``percentile`` aggregate, whose state is one map of distinct
-values per group.  Larger inputs are narrowed instead: every pass counts the rows of the current
-value interval in a fixed number of slices (map-side combined), keeps the slice that holds the
-wanted rank, and stops when that slice holds a single value.  State per pass is
-``slices x open intervals`` numbers; nothing is sorted or shuffled.
+Whole columns are narrowed: every pass counts the rows of the current value interval in a fixed number of slices (map-side
+combined), keeps the slice that holds the wanted rank, and stops when that slice holds a single value. An interval that spans
+magnitudes or zero is sliced by magnitude, any other by width, so a handful of passes closes it whatever the distribution.
+State per pass is ``slices x open intervals`` numbers for the columns at hand; nothing is sorted or shuffled.
+
+Quantiles within groups stay on the executors: distinct values are counted, and running totals over them give the ranks.
+Nulls and NaN are left out; infinities are values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sizing import is_small
+from .ranking import running_totals
 
 SLICES = 4096
-# Above this the one-task merge of ``percentile`` maps costs more than the narrowing passes.
-PERCENTILE_ROWS = 200_000
 CASE_LIMIT = 48
+WIDE = 4096.0  # an interval whose ends differ by more than this factor is sliced by magnitude
+TINY = 1e-290  # magnitudes below it count as one
 
 
 def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -33,11 +35,36 @@ def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
     )
 
 
+INF = float("inf")
+
+
+def _range_exprs(v: Column) -> list[Column]:
+    """Rows, those that are -inf, those that are +inf, least and largest finite value."""
+    finite = F.when(F.abs(v) < INF, v)
+    return [F.count(v).alias("n"), F.count(F.when(v == -INF, 1)).alias("low"), F.count(F.when(v == INF, 1)).alias("high"), F.min(finite).alias("lo"), F.max(finite).alias("hi")]
+
+
 def value_ranges(long: DataFrame, by: Sequence[str]) -> dict[tuple, tuple]:
-    """{(by..., column): (rows, smallest, largest)} of a long frame."""
+    """{(by..., column): (rows, rows at -inf, rows at +inf, least, largest finite value)} of a long frame."""
     keys = [*by, "column"]
-    rows = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).collect()
-    return {tuple(r[k] for k in keys): (r.n, r.lo, r.hi) for r in rows}
+    rows = long.groupBy(*keys).agg(*_range_exprs(F.col("value"))).collect()
+    return {tuple(r[k] for k in keys): (r.n, r.low, r.high, r.lo, r.hi) for r in rows}
+
+
+def _magnitude(v: Column) -> Column:
+    """Monotone in the value and even in its exponent."""
+    return F.signum(v) * F.log1p(F.abs(v) / TINY)
+
+
+def _cell(v: Column, lo: Column, hi: Column) -> Column:
+    """Slice of a value between lo < hi: by magnitude where the ends differ in sign or by a large factor, else by width."""
+    small, large = F.least(F.abs(lo), F.abs(hi)), F.greatest(F.abs(lo), F.abs(hi))
+    far = (lo * F.signum(hi) <= 0) | (large / WIDE > small)
+    # Halves keep the width finite for intervals that span most of the double range.
+    width = (v / 2 - lo / 2) / (hi / 2 - lo / 2)
+    share = F.when(far, (_magnitude(v) - _magnitude(lo)) / (_magnitude(hi) - _magnitude(lo))).otherwise(width)
+    share = F.when(share.isNull() | F.isnan(share), width).otherwise(share)
+    return F.greatest(F.least(F.floor(share * SLICES), F.lit(SLICES - 1)), F.lit(0)).cast("int")
 
 
 def select_ranks(long: DataFrame, wanted: dict[tuple, set[int]], by: Sequence[str], with_below: bool = False, ranges: dict[tuple, tuple] | None = None) -> dict[tuple, dict]:
@@ -50,7 +77,15 @@ def select_ranks(long: DataFrame, wanted: dict[tuple, set[int]], by: Sequence[st
     keys = [*by, "column"]
     found: dict[tuple, dict[int, float]] = {k: {} for k in wanted}
     ranges = value_ranges(long, by) if ranges is None else ranges
-    open_: dict[tuple, list] = {k: [(lo, hi, 0, set(wanted[k]))] for k, (_, lo, hi) in ranges.items() if k in wanted}
+    open_: dict[tuple, list] = {}
+    for k, (n, low, high, lo, hi) in ranges.items():
+        ranks = set(wanted.get(k, ()))
+        for r in sorted(ranks):
+            if r < low or r >= n - high:
+                value, below = (-INF, 0) if r < low else (INF, n - high)
+                found[k][r] = (value, below) if with_below else value
+        if inside := {r for r in ranks if low <= r < n - high}:
+            open_[k] = [(lo, hi, low, inside)]
     schema = T.StructType(
         [long.schema[k] for k in keys]
         + [T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType()), T.StructField("part", T.IntegerType())]
@@ -73,16 +108,13 @@ def select_ranks(long: DataFrame, wanted: dict[tuple, set[int]], by: Sequence[st
                 found_in = F.when(hit, F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(part).alias("part"))).otherwise(found_in)
             matched = long.withColumn("_i", found_in).where(F.col("_i").isNotNull()).select("column", "value", "_i.*")
         else:
-            intervals = F.broadcast(spark.createDataFrame(rows, schema))
+            intervals = F.broadcast(spark.createDataFrame(rows, schema))  # a few for each column or class that the caller names
             matched = long.alias("l").join(
                 intervals.alias("i"), on=[F.col(f"l.{k}").eqNullSafe(F.col(f"i.{k}")) for k in keys],
             ).where(F.col("l.value").between(F.col("i.lo"), F.col("i.hi"))).select(
                 *[F.col(f"l.{k}").alias(k) for k in keys], F.col("l.value").alias("value"), F.col("i.lo").alias("lo"), F.col("i.hi").alias("hi"), F.col("i.part").alias("part"))
-        # Halves keep the width finite for intervals that span most of the double range.
-        width = F.col("hi") / 2 - F.col("lo") / 2
-        cell = F.least(F.floor((F.col("value") / 2 - F.col("lo") / 2) / width * SLICES), F.lit(SLICES - 1))
         counts = (
-            matched.select(*keys, "part", cell.cast("int").alias("cell"), "value")
+            matched.select(*keys, "part", _cell(F.col("value"), F.col("lo"), F.col("hi")).alias("cell"), "value")
             .groupBy(*keys, "part", "cell")
             .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
             .collect()
@@ -119,33 +151,39 @@ def _interpolate(values: dict[int, float], n: int, p: float) -> float:
     return (1 - share) * values[low] + share * values[high]
 
 
-def quantile_exprs(cols: Sequence[str], probs: Sequence[float]) -> Column:
-    """Array of (column, n, q) structs for use inside one aggregate over a small input."""
-    return F.array(*[
-        F.struct(
-            F.lit(c).alias("column"),
-            F.count(F.col(c)).alias("n"),
-            F.percentile(F.col(c).cast("double"), [float(p) for p in probs]).alias("q"),
-        )
-        for c in cols
-    ])
+def _grouped_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    """(by..., column, n, q) without any state in the driver: one row for every group, also those without values."""
+    keys = [*by, "column"]
+    clean = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
+    sizes = df.groupBy(*by).agg(*[F.count(v).alias(f"_n{i}") for i, v in enumerate(clean.values())])
+    sizes = sizes.select(*by, F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_n{i}").alias("n")) for i, c in enumerate(cols)])))
+    counts = _long(df, cols, by).groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("m"))
+    cum = running_totals(counts, "value", ["m"], keys)
+    match = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+    inside = cum.alias("c").join(sizes.alias("s"), match("c", "s")).select(*[F.col(f"c.{k}").alias(k) for k in keys], "c.value", (F.col("c.cum_m") - F.col("c.m")).alias("first"), F.col("c.cum_m").alias("stop"), "s.n")
+    at = lambda k: F.max(F.when((F.col("first") <= k) & (k < F.col("stop")), F.col("value")))
+    exact = lambda p: (F.col("n") - 1) * F.lit(p)
+    ends = [x for i, p in enumerate(probs) for x in (at(F.floor(exact(p))).alias(f"_a{i}"), at(F.least(F.floor(exact(p)) + 1, F.col("n") - 1)).alias(f"_b{i}"))]
+    picked = inside.groupBy(*keys).agg(*ends)
+    joined = sizes.alias("s").join(picked.alias("p"), match("s", "p"), "left")
+
+    def value(i: int, p: float) -> Column:
+        a, b, share = F.col(f"p._a{i}"), F.col(f"p._b{i}"), exact(p) - F.floor(exact(p))
+        return F.when((share == 0) | (a == b), a).otherwise((1 - share) * a + share * b)
+
+    return joined.select(*[F.col(f"s.{k}").alias(k) for k in keys], F.col("s.n").alias("n"), F.when(F.col("s.n") > 0, F.array(*[value(i, p) for i, p in enumerate(probs)])).alias("q"))
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """(by..., column, n, q array<double>) with linear interpolation, nulls ignored."""
+    """(by..., column, n, q array<double>) with linear interpolation; nulls and NaN are ignored, and n = 0 has no q."""
     cols, by, probs = list(cols), list(by), [float(p) for p in probs]
-    if is_small(df.select(*by, *[c for c in cols if c not in by]), PERCENTILE_ROWS):
-        packed = df.groupBy(*by).agg(quantile_exprs(cols, probs).alias("_s"))
-        return packed.select(*by, F.inline("_s"))
-    long = _long(df, cols, by)
-    keys = [*by, "column"]
     if by:
-        ranges = value_ranges(long, by)
-    else:
-        clean = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
-        row = df.agg(*[F.struct(F.count(v), F.min(v), F.max(v)).alias(str(i)) for i, v in enumerate(clean.values())]).first()
-        ranges = {(c,): tuple(row[i]) for i, c in enumerate(cols) if row[i][0]}
-    sizes = {k: n for k, (n, _, _) in ranges.items()}
+        return _grouped_quantiles(df, cols, probs, by)
+    long = _long(df, cols, by)
+    clean = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
+    row = df.agg(*[F.struct(*_range_exprs(v)).alias(str(i)) for i, v in enumerate(clean.values())]).first()
+    ranges = {(c,): tuple(row[i]) for i, c in enumerate(cols) if row[i][0]}
+    sizes = {k: r[0] for k, r in ranges.items()}
     wanted = {}
     for key, n in sizes.items():
         ranks: set[int] = set()
@@ -155,10 +193,8 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         wanted[key] = ranks
     found = select_ranks(long, wanted, by, ranges=ranges)
     rows = [(*key, n, [_interpolate(found[key], n, p) for p in probs]) for key, n in sizes.items()]
-    rows += [(c, 0, None) for c in cols if not by and (c,) not in sizes]
-    schema = T.StructType(
-        [long.schema[k] for k in keys] + [T.StructField("n", T.LongType()), T.StructField("q", T.ArrayType(T.DoubleType()))]
-    )
+    rows += [(c, 0, None) for c in cols if (c,) not in sizes]
+    schema = T.StructType([T.StructField("column", T.StringType()), T.StructField("n", T.LongType()), T.StructField("q", T.ArrayType(T.DoubleType()))])
     return df.sparkSession.createDataFrame(rows, schema)
 
 
@@ -167,46 +203,49 @@ def quantile_values(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     return {r["column"]: list(r["q"]) if r["n"] else [None] * len(probs) for r in exact_quantiles(df, cols, probs).collect()}
 
 
+def _halves(df: DataFrame, c: str, name: str) -> list[Column]:
+    """A key as doubles that sort alike and lose no bit: integers in two halves."""
+    v = F.col(c)
+    if df.schema[c].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        return [v.cast("double").alias(f"{name}h")]
+    v = v.cast("bigint")
+    return [F.shiftright(v, 32).cast("double").alias(f"{name}h"), v.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double").alias(f"{name}l")]
+
+
 def cut_points(df: DataFrame, keys: Sequence[str], ranks: dict[tuple, Sequence[int]], by: Sequence[str] = ()) -> dict[tuple, dict[int, tuple]]:
     """Composite key (k1, k2) found at zero-based ranks in the order k1, k2, per ``by`` group.
 
-    The rows themselves are not moved: two rounds of rank selection give the boundary keys, and
-    callers compare rows with them.  Keys must be numeric and below 2**53.
+    The rows themselves are not moved: rounds of rank selection over the parts of the key, each among the rows that tie with a
+    boundary so far, give the boundary keys, and callers compare rows with them.
     """
-    first, second = keys
     by = list(by)
-    if is_small(df):
-        order = Window.partitionBy(*(by or [F.lit(0)])).orderBy("k1", "k2")
-        rows = df.select(*by, F.col(first).alias("k1"), F.col(second).alias("k2")).withColumn("_i", F.row_number().over(order) - 1)
-        wanted_ranks = sorted({r for rs in ranks.values() for r in rs})
-        small: dict[tuple, dict[int, tuple]] = {g: {} for g in ranks}
-        for row in rows.where(F.col("_i").isin(wanted_ranks)).collect():
-            group = tuple(row[b] for b in by)
-            if group in small and row["_i"] in ranks[group]:
-                small[group][row["_i"]] = (row["k1"], row["k2"])
-        return small
-    base = df.select(*by, F.col(first).cast("double").alias("k1"), F.col(second).cast("double").alias("k2"))
-    stage = base.select(*by, F.lit("k1").alias("column"), F.col("k1").alias("value"))
-    wanted = {(*g, "k1"): set(r) for g, r in ranks.items()}
-    lead = select_ranks(stage, wanted, by, with_below=True)
-    tied_keys = sorted({(*g[:-1], v[0]) for g, vs in lead.items() for v in vs.values()}, key=str)
-    if not tied_keys:
-        return {g: {} for g in ranks}
-    schema = T.StructType([base.schema[b] for b in by] + [T.StructField("edge", T.DoubleType())])
-    edges = F.broadcast(df.sparkSession.createDataFrame(tied_keys, schema))
-    match = [F.col(f"b.{c}").eqNullSafe(F.col(f"e.{c}")) for c in by] + [F.col("b.k1") == F.col("e.edge")]
-    tied = base.alias("b").join(edges.alias("e"), match).select(
-        *[F.col(f"b.{c}").alias(c) for c in by], F.col("b.k1").alias("k1"), F.lit("k2").alias("column"), F.col("b.k2").alias("value"))
-    inner: dict[tuple, set[int]] = {}
-    for g, rs in ranks.items():
-        for r in rs:
-            value, below = lead[(*g, "k1")][r]
-            inner.setdefault((*g, value, "k2"), set()).add(r - below)
-    second_values = select_ranks(tied, inner, [*by, "k1"])
-    out: dict[tuple, dict[int, tuple]] = {}
-    for g, rs in ranks.items():
-        out[g] = {}
-        for r in rs:
-            value, below = lead[(*g, "k1")][r]
-            out[g][r] = (value, second_values[(*g, value, "k2")][r - below])
+    parts = {k: _halves(df, k, f"_k{i}") for i, k in enumerate(keys)}
+    names = [f"_k{i}{x}" for i, k in enumerate(keys) for x in "hl"[:len(parts[k])]]
+    base = df.select(*by, *[c for k in keys for c in parts[k]])
+    # (group, values of the parts so far, rank) -> rank among the rows that tie with them
+    state = {(g, (), r): r for g, rs in ranks.items() for r in rs}
+    for depth, name in enumerate(names):
+        done = names[:depth]
+        wanted: dict[tuple, set[int]] = {}
+        for (g, before, _), r in state.items():
+            wanted.setdefault((*g, *before, name), set()).add(r)
+        if not wanted:
+            break
+        tied = base
+        if depth:
+            schema = T.StructType([base.schema[c] for c in [*by, *done]])
+            edges = F.broadcast(df.sparkSession.createDataFrame(sorted({k[:-1] for k in wanted}, key=str), schema))  # as many as wanted ranks
+            tied = base.alias("b").join(edges.alias("e"), [F.col(f"b.{c}").eqNullSafe(F.col(f"e.{c}")) for c in [*by, *done]]).select("b.*")
+        stage = tied.select(*by, *done, F.lit(name).alias("column"), F.col(name).alias("value")).where(F.col("value").isNotNull())
+        lead = select_ranks(stage, wanted, [*by, *done], with_below=True)
+        state = {(g, (*before, lead[(*g, *before, name)][r][0]), first): r - lead[(*g, *before, name)][r][1]
+                 for (g, before, first), r in state.items() if r in lead.get((*g, *before, name), {})}
+    out: dict[tuple, dict[int, tuple]] = {g: {} for g in ranks}
+    for (g, values, first), _ in state.items():
+        if len(values) == len(names):
+            rest, key = list(values), []
+            for k in keys:
+                own, rest = rest[:len(parts[k])], rest[len(parts[k]):]
+                key.append((int(own[0]) << 32 | int(own[1])) if len(own) == 2 else own[0])
+            out[g][first] = tuple(key)
     return out

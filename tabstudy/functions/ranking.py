@@ -1,33 +1,44 @@
 """Running totals and ranks over a whole table without a single-partition window.
 
 The input is first reduced to one row per distinct value (ties and hot values collapse there).
-Large inputs are cut into equal-depth value ranges with approximate quantile boundaries; each range
+They are cut into equal-depth value ranges with approximate quantile boundaries; each range
 is summed, the few range totals are turned into offsets, and the exact running total inside a range
 is a window partitioned by range.  Boundaries only balance the work; the result is exact.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizing import is_small, small_rows
-
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 4096
+EDGES = 512  # approximate quantiles that come with the count; more ranges than that take a second pass
+
+
+def rows_per_range(df: DataFrame) -> int:
+    """Distinct values that one task orders; ``tabstudy.rowsPerRange`` changes the work of a task, never a result."""
+    return max(2, int(df.sparkSession.conf.get("tabstudy.rowsPerRange", str(ROWS_PER_RANGE))))
 
 
 def _with_range(df: DataFrame, order_col: str) -> DataFrame:
     """Add ``_range``: index of the value range, monotone in ``order_col``."""
-    n = df.count()
-    pieces = max(2, min(MAX_RANGES, n // max(1, min(ROWS_PER_RANGE, small_rows(df.sparkSession) or 1000))))
     numeric = df.withColumn("_o", F.col(order_col).cast("double"))
-    probs = [i / pieces for i in range(1, pieces)]
-    edges = numeric.agg(F.percentile_approx("_o", probs, F.lit(10 * pieces)).alias("e")).first()["e"] or []
-    splits = [float("-inf"), *sorted({float(e) for e in edges}), float("inf")]
+
+    def edges(pieces: int):
+        return F.percentile_approx("_o", [i / pieces for i in range(1, pieces)], F.lit(10 * pieces))
+
+    row = numeric.agg(F.count(F.lit(1)).alias("n"), edges(EDGES).alias("e")).first()
+    pieces = max(2, -(-row["n"] // rows_per_range(df)))
+    found = row["e"] or []
+    if pieces > EDGES:
+        found = numeric.agg(edges(pieces).alias("e")).first()["e"] or []
+    else:
+        found = found[EDGES // pieces - 1::max(1, EDGES // pieces)]
+    splits = [float("-inf"), *sorted({float(e) for e in found if math.isfinite(e)}), float("inf")]
     if len(splits) < 3:
         splits = [float("-inf"), 0.0, float("inf")]
     cut = Bucketizer(splits=splits, inputCol="_o", outputCol="_range", handleInvalid="keep")
@@ -41,9 +52,6 @@ def running_totals(df: DataFrame, order_col: str, sums: Sequence[str], by: Seque
     """
     by = list(by)
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    if is_small(df):
-        part = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(c).over(part).alias(f"cum_{c}") for c in sums])
     cut = _with_range(df, order_col)
     range_order = F.col("_range").desc() if descending else F.col("_range").asc()
     before = Window.partitionBy(*(by or [F.lit(0)])).orderBy(range_order).rowsBetween(Window.unboundedPreceding, -1)

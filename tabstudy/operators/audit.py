@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import PERCENTILE_ROWS, exact_quantiles, quantile_values
-from ..functions.sizing import is_small
+from ..functions.quantiles import exact_quantiles, quantile_values
 from .columns import is_numeric, numeric_names, per_column, to_number
 
 
@@ -33,10 +32,8 @@ def moments(df: DataFrame, c: str) -> list[Column]:
 
 
 def column_stats(df: DataFrame, cols: Sequence[str], make, probs: Sequence[float]) -> DataFrame:
-    """``per_column`` statistics plus ``q`` (array of exact quantiles), in one scan when the input is small."""
+    """``per_column`` statistics plus ``q`` (array of exact quantiles)."""
     cols = list(cols)
-    if is_small(df.select(*cols), PERCENTILE_ROWS):
-        return per_column(df, cols, lambda c: [*make(c), F.percentile(F.col(c).cast("double"), [float(p) for p in probs]).alias("q")])
     quantiles = exact_quantiles(df, cols, probs).select("column", "q")
     return per_column(df, cols, make).join(F.broadcast(quantiles), "column", "left")
 

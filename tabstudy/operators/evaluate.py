@@ -18,10 +18,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pvalues as P
-from ..functions.hashing import MODULUS, POISSON_CDF, ROUND_DIVISOR, ROUND_MULTIPLIER, ROUND_OFFSETS, START, row_key
+from ..functions.hashing import FOLD_MULTIPLIER, FOLD_SHIFT, MODULUS, POISSON_CDF, ROUND_DIVISOR, ROUND_MULTIPLIER, ROUND_OFFSETS, START, row_key
 from ..functions.quantiles import exact_quantiles, quantile_values
 from ..functions.ranking import running_totals
-from ..functions.sizing import is_small
 
 
 def _num(c: str) -> Column:
@@ -30,6 +29,15 @@ def _num(c: str) -> Column:
 
 # ---- regression --------------------------------------------------------------------------------
 
+def join_groups(a: DataFrame, b: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Columns of two tables that have one row per group; a null group meets the null group. Without groups both have one row."""
+    by = list(by)
+    if not by:
+        return a.withColumn("_k", F.lit(0)).join(b.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    keyed = b.select(*[F.col(k).alias(f"_j{i}") for i, k in enumerate(by)], *[c for c in b.columns if c not in by])
+    return a.join(keyed, [F.col(k).eqNullSafe(F.col(f"_j{i}")) for i, k in enumerate(by)], how).drop(*[f"_j{i}" for i in range(len(by))])
+
+
 def regression_metrics(df: DataFrame, y: str = "y", pred: str = "pred", by: Sequence[str] = ()) -> DataFrame:
     """(by..., n, mae, rmse, r2, median_ae)."""
     e = _num(y) - _num(pred)
@@ -37,9 +45,7 @@ def regression_metrics(df: DataFrame, y: str = "y", pred: str = "pred", by: Sequ
     base = df.groupBy(*by).agg(F.count(e).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
                                (1 - F.try_divide(F.avg(e * e), F.var_pop(_num(y)))).alias("r2"))
     medians = exact_quantiles(df.select(*by, F.abs(e).alias("e")), ["e"], [0.5], by).select(*by, F.get("q", F.lit(0)).alias("median_ae"))
-    if by:
-        return base.join(medians, by)
-    return base.withColumn("_k", F.lit(0)).join(medians.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    return join_groups(base, medians, by)
 
 
 RESIDUAL_PROBS = [0.05, 0.25, 0.5, 0.75, 0.95]
@@ -55,7 +61,7 @@ def residuals(df: DataFrame, y: str = "y", pred: str = "pred", by: Sequence[str]
     q = exact_quantiles(work, ["e"], RESIDUAL_PROBS, by)
     at = lambda i: F.get("q", F.lit(i))
     q = q.select(*by, at(2).alias("median_residual"), (at(3) - at(1)).alias("iqr"), at(0).alias("q5"), at(1).alias("q25"), at(3).alias("q75"), at(4).alias("q95"))
-    out = base.join(q, by) if by else base.withColumn("_k", F.lit(0)).join(q.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    out = join_groups(base, q, by)
     short = [*by, "n", "mean_residual", "std_residual", "min_residual", "max_residual", "median_residual"]
     return out if extended else out.select(*short)
 
@@ -155,7 +161,7 @@ def class_metrics(df: DataFrame, y: str = "y", pred: str = "pred", proba: str |
         return base
     p = F.least(F.greatest(_num(proba), F.lit(PROBA_FLOOR)), F.lit(1 - PROBA_FLOOR))
     loss = df.groupBy(*by).agg((-F.avg(_num(y) * F.log(p) + (1 - _num(y)) * F.log(1 - p))).alias("log_loss"))
-    return base.join(loss, by) if by else base.withColumn("_k", F.lit(0)).join(loss.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    return join_groups(base, loss, by)
 
 
 def score_curve(df: DataFrame, y: str = "y", score: str = "proba", by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
@@ -259,7 +265,8 @@ def with_replicates(df: DataFrame, id_col: str, replicates: int) -> DataFrame:
     on the weight would be pushed down with all the stages written out inside it.
     """
     key = row_key(df, id_col)
-    out = df.withColumn("_x", F.pmod(key, F.lit(MODULUS)) * START[0] + START[2]).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    folded = F.pmod(F.pmod(key, F.lit(MODULUS)) + F.pmod(F.shiftright(key, FOLD_SHIFT), F.lit(MODULUS)) * FOLD_MULTIPLIER, F.lit(MODULUS))
+    out = df.withColumn("_x", folded * START[0] + START[2]).withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     out = out.withColumn("_x", (F.col("_x") + F.col("replicate").cast("bigint") * START[1]) % MODULUS)
     for offset in ROUND_OFFSETS:
         x = F.col("_x")
@@ -293,8 +300,6 @@ def bootstrap_median_ae(df: DataFrame, id_col: str, y: str = "y", pred: str = "p
     by = list(by)
     rows = with_replicates(df.select(*by, id_col, F.abs(_num(y) - _num(pred)).alias("_a")), id_col, replicates)
     keys = [*by, "replicate"]
-    if is_small(df):
-        return rows.groupBy(*keys).agg(F.percentile("_a", 0.5, F.col("w")).alias("median_ae"))
     cum = running_totals(rows.groupBy(*keys, "_a").agg(F.sum("w").alias("n")), "_a", ["n"], keys)
     total = cum.groupBy(*keys).agg(F.sum("n").alias("t"))
     start = F.col("cum_n") - F.col("n")
@@ -322,48 +327,55 @@ def bootstrap_auc(df: DataFrame, id_col: str, y: str = "y", score: str = "proba"
     return ranking_metrics(rows, y, score, [*by, "replicate"], "w").select(*by, "replicate", "auc")
 
 
-def bca_interval(estimate: float, boots: Sequence[float], jack: Sequence[float], level: float = 0.95) -> tuple[float, float]:
-    """Bias-corrected and accelerated interval from replicate and jackknife values (small arrays)."""
+# Fixed value: the corrected quantiles are kept this far from 0 and 1.
+QUANTILE_FLOOR = 0.001
+
+
+def bca_interval(estimate: float, boots: Sequence[float], a: float, level: float = 0.95) -> tuple[float, float]:
+    """Bias-corrected and accelerated interval from replicate values and the acceleration ``a``."""
     b = np.asarray([x for x in boots if x is not None and x == x])
     z0 = P.normal_ppf(float(np.mean(b < estimate)))
     z0 = 0.0 if math.isinf(z0) else z0
-    d = np.mean(jack) - np.asarray(jack)
-    below = 6.0 * float(np.sum(d ** 2)) ** 1.5
-    a = float(np.sum(d ** 3)) / below if below else 0.0
 
     def share(z):
         s = z0 + z
         return P.normal_cdf(z0 + s / (1 - a * s)) if 1 - a * s else 0.5
 
     alpha = 1 - level
-    cuts = [min(0.999, max(0.001, share(P.normal_ppf(q)))) for q in (alpha / 2, 1 - alpha / 2)]
+    cuts = [min(1 - QUANTILE_FLOOR, max(QUANTILE_FLOOR, share(P.normal_ppf(q)))) for q in (alpha / 2, 1 - alpha / 2)]
     low, high = np.percentile(b, [c * 100 for c in cuts])
     return float(low), float(high)
 
 
-JACKKNIFE_ROWS = 200
+def accelerations(df: DataFrame, left_out: Mapping[str, Column]) -> dict[str, float]:
+    """Acceleration of each metric from its leave-one-out values of all rows, given as expressions on a row and the totals."""
+    means = df.agg(*[F.avg(c).alias(m) for m, c in left_out.items()]).first()
+    d = {m: F.lit(means[m]) - c for m, c in left_out.items()}
+    sums = df.agg(*[F.struct(F.sum(x * x).alias("d2"), F.sum(x * x * x).alias("d3")).alias(m) for m, x in d.items()]).first()
+    return {m: sums[m].d3 / (6.0 * sums[m].d2 ** 1.5) if sums[m].d2 else 0.0 for m in left_out}
 
 
 def bootstrap_intervals(df: DataFrame, id_col: str, y: str = "y", pred: str = "pred", replicates: int = 1000, level: float = 0.95) -> DataFrame:
     """(metric, estimate, ci_lower, ci_upper) of rmse, mae and r2.
 
-    The acceleration uses leave-one-out values of the first 200 ids, each the totals minus one row.
+    The acceleration uses the leave-one-out values of all rows, each the totals minus one row.
     """
     n_y = df.agg(F.avg(_num(y))).first()[0] or 0.0
     e, c = _num(y) - _num(pred), _num(y) - F.lit(n_y)
     t = df.agg(F.count(e).alias("n"), F.sum(e * e).alias("see"), F.sum(F.abs(e)).alias("sae"), F.sum(c).alias("sy"), F.sum(c * c).alias("syy")).first()
-    head = df.orderBy(id_col).limit(JACKKNIFE_ROWS).select(e.alias("e"), c.alias("c")).collect()
 
     def metrics(n, see, sae, sy, syy):
         return {"rmse": math.sqrt(see / n), "mae": sae / n, "r2": 1 - see / (syy - sy * sy / n)}
 
     estimate = metrics(t.n, t.see, t.sae, t.sy, t.syy)
-    jack = [metrics(t.n - 1, t.see - r.e ** 2, t.sae - abs(r.e), t.sy - r.c, t.syy - r.c ** 2) for r in head]
+    n1, see = F.lit(float(max(t.n - 1, 1))), F.lit(t.see) - e * e
+    left_out = {"rmse": F.sqrt(F.greatest(see, F.lit(0.0)) / n1), "mae": (F.lit(t.sae) - F.abs(e)) / n1,
+                "r2": 1 - F.try_divide(see, F.lit(t.syy) - c * c - (F.lit(t.sy) - c) * (F.lit(t.sy) - c) / n1)}
+    bend = accelerations(df, left_out)
     boots = bootstrap_regression(df, id_col, y, pred, replicates, centre=n_y).collect()
     rows = []
     for m, value in estimate.items():
-        js = [j[m] for j in jack]
-        rows.append((m, value, *bca_interval(value, [b[m] for b in boots], js, level)))
+        rows.append((m, value, *bca_interval(value, [b[m] for b in boots], bend[m], level)))
     return df.sparkSession.createDataFrame(rows, "metric string, estimate double, ci_lower double, ci_upper double")
 
 

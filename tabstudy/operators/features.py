@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import quantile_values
-from ..functions.ranking import running_totals
-from ..functions.sizing import is_small
+from ..functions.ranking import rows_per_range, running_totals
 from .columns import per_column
 
 LARGE, VERY_LARGE = 100, 500
@@ -141,23 +140,29 @@ def has_data(df: DataFrame, cols: Sequence[str] | None = None, threshold: float
 def value_codes(df: DataFrame, c: str) -> DataFrame:
     """(value, code): distinct non-null values numbered 1..k in sort order.
 
-    Many distinct strings are numbered range by range; the ranges come from the characters after the
-    prefix that the smallest and largest value (hence all values) share.
+    Values are numbered range by range. Ranges of strings are cut at quantiles of a hash sample of the distinct values, as many as
+    keep a range to the rows that one task orders; the cuts only balance the work.
     """
     values = df.where(F.col(c).isNotNull()).select(F.col(c).alias("value")).distinct()
-    if is_small(values):
-        return values.withColumn("code", F.row_number().over(Window.orderBy("value")))
     if values.schema["value"].dataType.typeName() != "string":
         counted = running_totals(values.withColumn("one", F.lit(1)), "value", ["one"])
-        return counted.select("value", F.col("cum_one").cast("int").alias("code"))
-    low, high = values.agg(F.min("value"), F.max("value")).first()
-    shared = next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
-    tail = F.rpad(F.hex(F.encode(F.substring("value", shared + 1, 6), "UTF-8")), 12, "0")
-    proxied = values.withColumn("proxy", F.conv(F.substring(tail, 1, 12), 16, 10).cast("double"))
-    counts = proxied.groupBy("proxy").agg(F.count(F.lit(1)).alias("n"))
-    before = running_totals(counts, "proxy", ["n"]).select("proxy", (F.col("cum_n") - F.col("n")).alias("_b"))
-    inside = F.row_number().over(Window.partitionBy("proxy").orderBy("value"))
-    return proxied.join(before, "proxy").select("value", (F.col("_b") + inside).cast("int").alias("code"))
+        return counted.select("value", F.col("cum_one").alias("code"))
+    n = values.count()
+    pieces = max(2, -(-n // rows_per_range(df)))
+    each = max(1, n // (64 * pieces))
+    drawn = sorted((r.value for r in values.where(F.pmod(F.xxhash64("value"), F.lit(each)) == 0).collect()), key=lambda v: v.encode())  # about 64 for each range
+    cuts = sorted({drawn[len(drawn) * i // pieces] for i in range(1, pieces)}, key=lambda v: v.encode()) if drawn else []
+    ranged = values.withColumn("_range", _position(F.array(*[F.lit(x) for x in cuts]), len(cuts), F.col("value")) if cuts else F.lit(0))
+    totals = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))
+    before = totals.select("_range", (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("_b"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("value"))
+    return ranged.join(before, "_range").select("value", (F.col("_b") + inside).alias("code"))
+
+
+def _position(cuts: Column, n: int, value: Column) -> Column:
+    """How many of the sorted cuts are at most the value, by bisection."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(cuts, at + step - 1) <= value), at + step).otherwise(at))
 
 
 def conditional_ordinal(df: DataFrame, cols: Sequence[str]) -> DataFrame:

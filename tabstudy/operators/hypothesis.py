@@ -16,8 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pvalues as P
-from ..functions.ranking import add_ranks, running_totals
-from ..functions.sizing import small_rows
+from ..functions.ranking import add_ranks, rows_per_range, running_totals
 
 
 def _d(c: str | Column) -> Column:
@@ -111,45 +110,46 @@ def _cuts(cells: DataFrame, c: str, pieces: int) -> list[float]:
     return sorted({float(e) for e in edges} | {float(np.nextafter(e, np.inf)) for e in repeated})
 
 
-def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Exact tau-b without forming pairs of rows.
+def _signed_sum(cells: DataFrame, limit: int) -> DataFrame:
+    """One row ``s``: sum of the signs of all pairs of weighted cells (x, y, w).
 
-    Equal pairs collapse first.  Distinct cells are then cut into depth-balanced x and y blocks, and
-    every pair of cells falls in exactly one of three classes: same x block (solved inside the
-    block), same y block but different x block (solved inside the y block with x reduced to its
-    block number), or different blocks in both (solved on the block-by-block totals).
+    Cells are cut into depth-balanced x and y blocks, and every pair falls in exactly one of three classes: same x block (solved
+    inside the block), same y block but different x block (solved inside the y block with x reduced to its block number), or
+    different blocks in both: these are pairs of the block totals, cells of the same kind again, until few enough are left.
     """
     from pyspark.ml.feature import Bucketizer
 
-    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(_d(a).alias("x"), _d(b).alias("y")).agg(
-        F.count(F.lit(1)).cast("double").alias("w"))
-    limit = max(2, small_rows(df.sparkSession) // 5)
-    pieces = min(512, cells.count() // limit + 1)
-    blocked = cells
-    for c, out in (("x", "xb"), ("y", "yb")):
-        cuts = _cuts(cells, c, pieces) if pieces > 1 else []
-        splits = [-float("inf"), *cuts, float("inf")]
-        if len(splits) < 3:
-            blocked = blocked.withColumn(out, F.lit(0.0))
-        else:
-            blocked = Bucketizer(splits=splits, inputCol=c, outputCol=out).transform(blocked)
-
     def solve(x, y):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             return pd.DataFrame({"s": [_signed_pairs(pdf[x].to_numpy(), pdf[y].to_numpy(), pdf["w"].to_numpy())]})
         return run
 
-    def mixed(group, other):  # blocks with a single value of their own axis hold ties only
-        live = blocked.groupBy(group).agg(F.min(other).alias("lo"), F.max(other).alias("hi")).where("lo < hi").select(F.col(group).alias("_g"))
-        return blocked.join(F.broadcast(live), F.col(group) == F.col("_g"), "left_semi")
-
-    parts = mixed("xb", "x").groupBy("xb").applyInPandas(solve("x", "y"), "s double")
-    if pieces > 1:
-        parts = parts.union(mixed("yb", "y").groupBy("yb").applyInPandas(solve("xb", "y"), "s double"))
-        # At most 512 x 512 block totals (plus cells for repeated cuts), whatever the data size.
-        totals = blocked.groupBy("xb", "yb").agg(F.sum("w").alias("w"))
-        parts = parts.union(totals.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(solve("xb", "yb"), "s double"))
-    s = parts.agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"))
+    parts = None
+    while True:
+        pieces = cells.count() // limit + 1
+        if pieces == 1:
+            last = cells.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(solve("x", "y"), "s double")  # at most ``limit`` cells
+            parts = last if parts is None else parts.union(last)
+            return parts.agg(F.coalesce(F.sum("s"), F.lit(0.0)).alias("s"))
+        blocked = cells
+        for c, out in (("x", "xb"), ("y", "yb")):
+            splits = [-float("inf"), *_cuts(cells, c, pieces), float("inf")]
+            blocked = Bucketizer(splits=splits, inputCol=c, outputCol=out).transform(blocked) if len(splits) > 2 else blocked.withColumn(out, F.lit(0.0))
+
+        def mixed(group, other):  # blocks with a single value of their own axis hold ties only
+            live = blocked.groupBy(group).agg(F.min(other).alias("lo"), F.max(other).alias("hi")).where("lo < hi").select(F.col(group).alias("_g"))
+            return blocked.join(F.broadcast(live), F.col(group) == F.col("_g"), "left_semi")  # one row for each block
+
+        own = mixed("xb", "x").groupBy("xb").applyInPandas(solve("x", "y"), "s double").union(mixed("yb", "y").groupBy("yb").applyInPandas(solve("xb", "y"), "s double"))
+        parts = own if parts is None else parts.union(own)
+        cells = blocked.groupBy(F.col("xb").alias("x"), F.col("yb").alias("y")).agg(F.sum("w").alias("w"))
+
+
+def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Exact tau-b without forming pairs of rows; equal pairs collapse first."""
+    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(_d(a).alias("x"), _d(b).alias("y")).agg(
+        F.count(F.lit(1)).cast("double").alias("w"))
+    s = _signed_sum(cells, rows_per_range(df))
 
     def ties(cols):
         t = F.col("t")

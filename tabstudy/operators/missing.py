@@ -11,11 +11,10 @@ from ..functions import pvalues as P
 from ..functions.ranking import running_totals
 
 HIGH_MISSING = 0.05
-COLUMN_LIMIT = 10
 
 
-def high_missing(df: DataFrame, cols: Sequence[str], limit: int | None = COLUMN_LIMIT) -> list[str]:
-    """Columns with more than 5% missing, in table order."""
+def high_missing(df: DataFrame, cols: Sequence[str], limit: int | None = None) -> list[str]:
+    """Columns with more than 5% missing, in table order; ``limit`` keeps the first of them."""
     row = df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(str(i)) for i, c in enumerate(cols)]).first()
     found = [c for i, c in enumerate(cols) if (row[i] or 0.0) > HIGH_MISSING]
     return found[:limit] if limit else found

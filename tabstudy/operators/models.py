@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.gram import grams, means_of
 from ..functions.hashing import mix, row_key
-from .evaluate import class_metrics, ranking_metrics, regression_metrics
+from .evaluate import class_metrics, join_groups, ranking_metrics, regression_metrics
 from .features import fit_kmeans
 from .prep import Recipe, TargetTransform, fit as fit_prep, fit_target_transform, recipe_for_model
 
@@ -134,8 +134,8 @@ def fit(key: str, train: DataFrame, features: Sequence[str], target: str, task:
 
     def predict(df: DataFrame) -> DataFrame:
         out = model.transform(vec.transform(df))
-        proba = F.get(vector_to_array("_prob"), F.lit(1)) if probabilistic else F.lit(None).cast("double")
-        return out.withColumn("proba", proba).select(*df.columns, F.col("pred").cast("double").alias("pred"), "proba")
+        probs = vector_to_array("_prob") if probabilistic else F.lit(None).cast("array<double>")
+        return out.select(*df.columns, F.col("pred").cast("double").alias("pred"), F.get(probs, F.lit(1)).alias("proba"), probs.alias("probs"))
 
     return Fitted(key, task, features, predict, coefficients)
 
@@ -298,7 +298,12 @@ def score_rows(predictions: DataFrame, task: str, by: Sequence[str]) -> DataFram
     if task == "regression":
         return regression_metrics(predictions, by=by)
     base = class_metrics(predictions.withColumn("y", F.col("y").cast("int")).withColumn("pred", F.col("pred").cast("int")), by=by)
-    return base.join(ranking_metrics(predictions, "y", "proba", by), list(by), "left")
+    # One class against the rest: every class where there are more than two, else class 1 alone.
+    each = F.transform("probs", lambda p, i: F.struct(i.cast("int").alias("class"), (F.col("y").cast("int") == i).cast("int").alias("hit"), p.alias("s")))
+    alone = F.array(F.struct(F.lit(1).alias("class"), F.col("y").cast("int").alias("hit"), F.col("proba").alias("s")))
+    long = predictions.select(*by, F.explode(F.when(F.size("probs") > 2, each).otherwise(alone)).alias("_c")).select(*by, "_c.*")
+    ranked = ranking_metrics(long, "hit", "s", [*by, "class"]).groupBy(*by).agg(F.avg("auc").alias("auc"), F.avg("pr_auc").alias("pr_auc"))
+    return join_groups(base, ranked, by, "left")
 
 
 def probe(df: DataFrame, features: Sequence[str], target: str, task: str, id_col: str, seed: int = 42) -> DataFrame:
@@ -314,8 +319,13 @@ def probe(df: DataFrame, features: Sequence[str], target: str, task: str, id_col
     return score_rows(_stack(fitted, test, target, [id_col]), task, ["model"])
 
 
+def with_probs(scored: DataFrame) -> DataFrame:
+    """Class probabilities as ``probs``; null for models that give none."""
+    return scored if "probs" in scored.columns else scored.withColumn("probs", F.lit(None).cast("array<double>"))
+
+
 def _stack(models: Sequence[Fitted], df: DataFrame, target: str, keep: Sequence[str]) -> DataFrame:
-    parts = [m.predict(df).select(F.lit(m.key).alias("model"), *keep, F.col(target).cast("double").alias("y"), "pred", "proba") for m in models]
+    parts = [with_probs(m.predict(df)).select(F.lit(m.key).alias("model"), *keep, F.col(target).cast("double").alias("y"), "pred", "proba", "probs") for m in models]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -371,7 +381,7 @@ def search(key: str, train: DataFrame, validation: DataFrame, features: Sequence
 
 def fit_all(df: DataFrame, recipe: Recipe, target: str, task: str, id_col: str, keys: Sequence[str], params: Mapping[str, Mapping] | None = None,
             method: str = "none", seed: int = 42) -> tuple[DataFrame, list[Fitted]]:
-    """Predictions (model, id, split, y, pred, proba) of many models on a table with a ``split`` column.
+    """Predictions (model, id, split, y, pred, proba, probs) of many models on a table with a ``split`` column.
 
     Preparation and target transform are learned on training rows only; models that need scaling get it.
     The table is cached while the fits read it again and again, and released before scoring.
@@ -386,8 +396,8 @@ def fit_all(df: DataFrame, recipe: Recipe, target: str, task: str, id_col: str,
         prep = fit_prep(train, recipe_for_model(recipe, key), target)
         ready = prep.apply(df).withColumn("_y", change.forward(F.col(target).cast("double")) if task == "regression" else F.col(target))
         model = fit(key, ready.where("split = 'train'"), prep.names, "_y", task, seed, **(params or {}).get(key, {}), **({"id_col": id_col} if key == "knn" else {}))
-        rows = model.predict(ready).select(F.lit(key).alias("model"), F.col(id_col).alias("id"), "split", F.col(target).cast("double").alias("y"),
-                                           change.inverse(F.col("pred")).alias("pred"), "proba")
+        rows = with_probs(model.predict(ready)).select(F.lit(key).alias("model"), F.col(id_col).alias("id"), "split", F.col(target).cast("double").alias("y"),
+                                           change.inverse(F.col("pred")).alias("pred"), "proba", "probs")
         return rows, model
 
     try:

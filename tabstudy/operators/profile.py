@@ -280,13 +280,12 @@ def entity_names(df: DataFrame, patterns: Sequence[str] = ENTITY_NAMES) -> list[
 
 
 def time_names(df: DataFrame, patterns: Sequence[str] = TIME_NAMES) -> list[str]:
-    """Time columns by name or type, or text whose first values parse as timestamps."""
+    """Time columns by name or type, or text whose values all parse as timestamps."""
     found = [c for c in df.columns if any(p in c.lower() for p in patterns) or is_temporal(df, c)]
     texts = [c for c in df.columns if isinstance(df.schema[c].dataType, T.StringType) and c not in found]
-    for c in texts:
-        head = df.where(F.col(c).isNotNull()).select(F.try_to_timestamp(F.col(c)).isNotNull().alias("ok")).limit(10).collect()
-        if head and all(r.ok for r in head):
-            found.append(c)
+    if texts:
+        row = df.agg(*[F.bool_and(F.when(F.col(c).isNotNull(), F.try_to_timestamp(F.col(c)).isNotNull())).alias(str(i)) for i, c in enumerate(texts)]).first()
+        found += [c for i, c in enumerate(texts) if row[i]]
     return [c for c in df.columns if c in found]
 
 

@@ -61,8 +61,8 @@ def leakage(df: DataFrame, target: str, features: Sequence[str], threshold: floa
     return target_correlations(df, target, features).where(F.col("strength") > threshold)
 
 
-def linearity(df: DataFrame, target: str, features: Sequence[str], top: int = 6) -> DataFrame:
-    """(feature, test, statistic, n, p): rank or linear correlation of the strongest features, by the target's normality."""
+def linearity(df: DataFrame, target: str, features: Sequence[str], top: int | None = 6) -> DataFrame:
+    """(feature, test, statistic, n, p): rank or linear correlation of the ``top`` strongest features (None: all), by the target's normality."""
     names = [r.feature for r in target_correlations(df, target, features, top).collect()]
     test = H.pearson if H.normality(df, target).first().normal else H.spearman
     return H.union_tests([test(df, c, target).select(F.lit(c).alias("feature"), "test", "statistic", "n", "p") for c in names])
@@ -107,21 +107,24 @@ def mutual_information(df: DataFrame, target: str, features: Sequence[str], task
     return ordered.limit(top) if top else ordered
 
 
-def interactions(df: DataFrame, target: str, features: Sequence[str], task: str = "regression", singles: int = 10, top: int = 5, bins: int = 10) -> DataFrame:
-    """(a, b, gain): product features that tell more about the target than the better of the two."""
+def interactions(df: DataFrame, target: str, features: Sequence[str], task: str = "regression", singles: int | None = 10, top: int | None = 5, bins: int = 10) -> DataFrame:
+    """(a, b, gain): product features that tell more about the target than the better of the two.
+
+    Products are made of the ``singles`` most telling features, and the ``top`` best are returned; None takes all.
+    """
     single = {r.feature: r.mi for r in mutual_information(df, target, features, task, bins, singles).collect()}
     pairs = list(combinations(single, 2))
     products = df.select(target, *[(_d(a) * _d(b)).alias(f"{a}|{b}") for a, b in pairs])
     table = mutual_information(products, target, [f"{a}|{b}" for a, b in pairs], task, bins)
     base = df.sparkSession.createDataFrame([(f"{a}|{b}", a, b, max(single[a], single[b])) for a, b in pairs], "feature string, a string, b string, best double")
-    return table.join(F.broadcast(base), "feature").select("a", "b", (F.col("mi") - F.col("best")).alias("gain")).where("gain > 0").orderBy(F.desc("gain"), "a", "b").limit(top)
+    return table.join(F.broadcast(base), "feature").select("a", "b", (F.col("mi") - F.col("best")).alias("gain")).where("gain > 0").orderBy(F.desc("gain"), "a", "b").limit(top if top is not None else max(1, len(pairs)))
 
 
-def dose_response(df: DataFrame, target: str, features: Sequence[str], top: int = 5, bins: int = 10) -> DataFrame:
-    """(feature, bin, low, high, middle, n, mean_target) over quantile bins of the strongest features."""
+def dose_response(df: DataFrame, target: str, features: Sequence[str], top: int | None = 5, bins: int = 10, least: int = 30) -> DataFrame:
+    """(feature, bin, low, high, middle, n, mean_target) over quantile bins of the ``top`` strongest features (None: all) with at least ``least`` values."""
     names = [r.feature for r in target_correlations(df, target, features, top).collect()]
     rows = {r["column"]: (r["n"], list(r["q"])) for r in exact_quantiles(df, names, [i / bins for i in range(bins + 1)]).collect()}
-    edges = {c: sorted(set(q)) for c, (n, q) in rows.items() if n >= 30 and len(set(q)) > 1}
+    edges = {c: sorted(set(q)) for c, (n, q) in rows.items() if n >= least and len(set(q)) > 1}
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), _right_closed(F.col(c), e[1:-1]).alias("bin")) for c, e in edges.items()]))
     stats = df.select(cells.alias("_c"), _d(target).alias("y")).select("_c.*", "y").where("bin is not null").groupBy("feature", "bin").agg(
         F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean_target"))
@@ -134,7 +137,7 @@ def dose_response(df: DataFrame, target: str, features: Sequence[str], top: int
 DEMOGRAPHIC_NAMES = ("age", "sex", "gender", "bmi")
 
 
-def by_demographics(df: DataFrame, target: str, cols: Sequence[str] | None = None, limit: int = 2) -> DataFrame:
+def by_demographics(df: DataFrame, target: str, cols: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
     """(column, group, n, min, q25, median, q75, max) of the target by category or tertile of demographic columns."""
     found = list(cols or [c for c in df.columns if any(k in c.lower() for k in DEMOGRAPHIC_NAMES) and (is_numeric(df, c) or is_categorical(df, c))])
     out = None

@@ -185,11 +185,11 @@ def _(t):
 SF = ["l_quantity", "l_discount", "l_tax", "p_size", "p_retailprice"]
 
 
-@query("sel_prep", f"WITH {LI} SELECT c AS \"column\", {r('m')} AS missing_rate, m > 0.2 AS flagged, {r('v', 3)} AS filled_mean FROM (" + union_sql(["l_quantity", "l_discount"], lambda c: f"SELECT '{c}' AS c, 1 - count({c}) / count(*)::DOUBLE AS m, avg(coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM li))) AS v FROM li") + ")")
+@query("sel_prep", f"WITH {LI} SELECT c AS \"column\", {r('m')} AS missing_rate, m > 0.2 AS flagged, {r('v', 6)} AS filled_mean FROM (" + union_sql(["l_quantity", "l_discount"], lambda c: f"SELECT '{c}' AS c, 1 - count({c}) / count(*)::DOUBLE AS m, avg(coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM li))) AS v FROM li") + ")")
 def _(t):
     rows, names, flags = SE.prepare(li(t), "l_extendedprice", ["l_quantity", "l_discount", "l_returnflag"])
     means = rows.agg(F.array(*[F.struct(F.lit(c).alias("column"), F.avg(c).alias("filled_mean")) for c in names]).alias("_s")).select(F.inline("_s"))
-    return rounded(flags.join(means, "column"), {"missing_rate": 6, "filled_mean": 3})
+    return rounded(flags.join(means, "column"), {"missing_rate": 6, "filled_mean": 6})
 
 
 @query("sel_lasso")

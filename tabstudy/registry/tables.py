@@ -2,6 +2,7 @@
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,9 +14,11 @@ from .base import LI, LI_NUM, ORD, Tables, li, orders, query, r, rnd, rounded, u
 
 
 def scratch(t: Tables, name: str) -> str:
-    """Folder for written results: the cluster's shared folder, or a fresh local one in tests."""
-    base = t.spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="tabstudy-")
-    return os.path.join(base, name)
+    """New folder for written results in the cluster's shared folder; under a local master without one, in the machine's."""
+    base = t.spark.conf.get("spark.checkpoint.dir", "")
+    if not base and not t.spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+    return os.path.join(base or tempfile.mkdtemp(prefix="tabstudy-"), uuid.uuid4().hex, name)
 
 
 # ---- sources -----------------------------------------------------------------------------------

@@ -21,8 +21,8 @@ def folder():
 
 
 @pytest.fixture
-def bounded(spark):
-    """Force the multi-pass, bounded-state form of every size-gated operator."""
-    spark.conf.set("tabstudy.smallRows", "0")
+def many_ranges(spark):
+    """Cut running totals and codes into many small ranges, as large inputs are."""
+    spark.conf.set("tabstudy.rowsPerRange", "50")
     yield
-    spark.conf.unset("tabstudy.smallRows")
+    spark.conf.unset("tabstudy.rowsPerRange")

@@ -73,50 +73,79 @@ def test_hash_and_replicate_weights_agree(spark):
         assert r.w == r.again and r.x == python_mix(r.id, r.replicate)
 
 
-@pytest.mark.parametrize("small", ["0", "1000000"])
-def test_quantiles_with_ties_nulls_and_heavy_tail(spark, small):
+@pytest.mark.parametrize("rows", ["40", "1000000"])
+def test_quantiles_with_ties_nulls_and_heavy_tail(spark, rows):
     rng = random.Random(3)
     values = [None] * 5 + [1.0] * 400 + [rng.gauss(0, 1) for _ in range(300)] + [10.0 ** k for k in range(12)] + [-1e9]
     df = frame(spark, [(("x" if i % 3 else "y"), v) for i, v in enumerate(values)], "g string, v double")
-    spark.conf.set("tabstudy.smallRows", small)
+    spark.conf.set("tabstudy.rowsPerRange", rows)
     try:
         got = {r.g: list(r.q) for r in exact_quantiles(df, ["v"], [0, 0.1, 0.5, 0.75, 0.99, 1], ["g"]).collect()}
     finally:
-        spark.conf.unset("tabstudy.smallRows")
+        spark.conf.unset("tabstudy.rowsPerRange")
     for g in "xy":
         mine = [v for i, v in enumerate(values) if v is not None and ("x" if i % 3 else "y") == g]
         assert got[g] == pytest.approx(list(np.percentile(mine, [0, 10, 50, 75, 99, 100])))
 
 
-def test_cut_points_with_tied_first_key(spark, bounded):
+def test_cut_points_with_tied_first_key(spark, many_ranges):
     rows = [(i % 3, i) for i in range(300)]
     got = cut_points(frame(spark, rows, "a bigint, b bigint"), ["a", "b"], {(): [0, 99, 100, 150, 299]})[()]
     order = sorted(rows)
     assert {k: tuple(int(x) for x in v) for k, v in got.items()} == {k: order[k] for k in (0, 99, 100, 150, 299)}
 
 
-def test_average_ranks(spark, bounded):
+INF = float("inf")
+
+
+@pytest.mark.parametrize("values", [
+    [1.0, 2.0, 3.0, math.nan, None], [1.0, 2.0, 3.0, 4.0, 5.0, INF], [-INF, -INF, 0.0, -0.0, 1.0, INF], [None, None], [math.nan], [], [7.0] * 300, [2.0 ** -k for k in range(0, 1000, 7)] + [-(3.0 ** k) for k in range(0, 600, 11)],
+    [5e-324, 1e-323, 1e-300, 1e300, 1.7e308, -1.7e308], [float(2 ** 53 + 2 * i) for i in range(50)],
+])
+def test_quantiles_of_any_distribution(spark, many_ranges, values):
+    probs = [0, 0.3, 0.5, 0.9, 1]
+    df = frame(spark, [("a", v) for v in values] + [(None, v) for v in values] + [("none", None)], "g string, v double")
+    mine = sorted(v for v in values if v is not None and v == v)
+    want = []
+    for p in probs if mine else ():
+        at = (len(mine) - 1) * p
+        a, b, share = mine[int(at)], mine[min(int(at) + 1, len(mine) - 1)], at - int(at)
+        want.append(a if share == 0 or a == b else (1 - share) * a + share * b)
+    whole = exact_quantiles(df.where("g = 'a'"), ["v"], probs).first()
+    assert whole.n == len(mine) and list(whole.q or []) == want
+    groups = {r.g: (r.n, list(r.q or [])) for r in exact_quantiles(df, ["v"], probs, ["g"]).collect()}
+    assert groups == {"none": (0, []), **({"a": (len(mine), want), None: (len(mine), want)} if values else {})}
+
+
+def test_cut_points_of_ids_above_two_to_the_53(spark):
+    rows = [(0, 2 ** 53 + i) for i in range(1000)] + [(-1, -(2 ** 60) - i) for i in range(100)]
+    got = cut_points(frame(spark, rows, "a bigint, b bigint"), ["a", "b"], {(): [0, 99, 100, 700, 1099]})[()]
+    order = sorted(rows)
+    assert got == {k: order[k] for k in (0, 99, 100, 700, 1099)}
+
+
+def test_average_ranks(spark, many_ranges):
     df = frame(spark, [(v,) for v in [3.0, 1.0, 3.0, 2.0, 3.0, None]], "v double")
     assert {r.value: r.rank for r in value_ranks(df, "v").collect()} == {1.0: 1.0, 2.0: 2.0, 3.0: 4.0}
 
 
-@pytest.mark.parametrize("small", ["0", "1000000"])
-def test_kendall_against_all_pairs(spark, small):
+@pytest.mark.parametrize("rows", ["40", "1000000"])
+def test_kendall_against_all_pairs(spark, rows):
     rng = random.Random(5)
     pairs = [(7.0 if rng.random() < 0.35 else round(rng.gauss(0, 2), 1), rng.randint(0, 9)) for _ in range(400)]
     pairs = [(float(a), float(b)) for a, b in pairs]
     s = sum(np.sign(a[0] - b[0]) * np.sign(a[1] - b[1]) for i, a in enumerate(pairs) for b in pairs[:i])
     n = len(pairs) * (len(pairs) - 1) / 2
     ties = [sum(c * (c - 1) / 2 for c in np.unique([p[k] for p in pairs], return_counts=True)[1]) for k in (0, 1)]
-    spark.conf.set("tabstudy.smallRows", small)
+    spark.conf.set("tabstudy.rowsPerRange", rows)
     try:
         got = H.kendall(frame(spark, pairs, "a double, b double"), "a", "b").first()
     finally:
-        spark.conf.unset("tabstudy.smallRows")
+        spark.conf.unset("tabstudy.rowsPerRange")
     assert got.statistic == pytest.approx(s / math.sqrt((n - ties[0]) * (n - ties[1])))
 
 
-def test_string_codes_in_ranges(spark, bounded):
+def test_string_codes_in_ranges(spark, many_ranges):
     words = [f"Customer#{i:05d}" for i in range(300)] + ["Customer", "Custom"]
     got = {r.value: r.code for r in FE.value_codes(frame(spark, [(w,) for w in words + [None]], "c string"), "c").collect()}
     assert got == {w: i + 1 for i, w in enumerate(sorted(words))}
@@ -202,16 +231,16 @@ def test_bootstrap_interval_brackets_estimate(spark):
 
 # ---- splits ------------------------------------------------------------------------------------
 
-@pytest.mark.parametrize("small", ["0", "1000000"])
-def test_split_shares_and_disjointness(spark, small):
+@pytest.mark.parametrize("rows", ["40", "1000000"])
+def test_split_shares_and_disjointness(spark, rows):
     df = spark.range(1000).select("id", (F.col("id") % 3 == 0).alias("c"), (F.col("id") % 50).alias("e"))
-    spark.conf.set("tabstudy.smallRows", small)
+    spark.conf.set("tabstudy.rowsPerRange", rows)
     try:
         counts = {r["split"]: r["count"] for r in SP.random_split(df, "id", exact=True).groupBy("split").count().collect()}
         by_class = {(r["c"], r["split"]): r["count"] for r in SP.stratified_split(df, "c", "id").groupBy("c", "split").count().collect()}
         folds = {r["fold"]: r["count"] for r in SP.folds(df, 4, "id").groupBy("fold").count().collect()}
     finally:
-        spark.conf.unset("tabstudy.smallRows")
+        spark.conf.unset("tabstudy.rowsPerRange")
     assert counts == {"train": 700, "val": 150, "test": 150}
     assert by_class[(True, "train")] == int(334 * 0.7) and by_class[(False, "val")] == int(666 * 0.15)
     assert folds == {0: 250, 1: 250, 2: 250, 3: 250}
@@ -342,3 +371,46 @@ def test_mapper_covers_every_row(table):
     nodes, edges = R.mapper(table, ["a", "b", "noise"], intervals=5)
     assert nodes.count() >= 5 and edges.count() >= 1
     assert edges.agg(F.sum("shared")).first()[0] > 0
+
+
+# ---- nulls and several classes -----------------------------------------------------------------
+
+def test_null_groups_keep_their_metrics(spark):
+    df = frame(spark, [(None, 1.0, 2.0), (None, 3.0, 3.5), ("a", 1.0, 1.5), ("a", 2.0, 2.5)], "g string, y double, pred double")
+    assert {r.g: r.n for r in E.regression_metrics(df, by=["g"]).collect()} == {None: 2, "a": 2}
+    assert {r.g for r in E.residuals(df, by=["g"]).collect()} == {None, "a"}
+
+
+def test_null_ids_spread_over_parts(spark):
+    df = frame(spark, [(None, float(i)) for i in range(400)], "id bigint, v double")
+    counts = {r["split"]: r["count"] for r in SP.random_split(df, "id").groupBy("split").count().collect()}
+    assert counts["train"] > 230 and counts["val"] > 30 and counts["test"] > 30
+    assert SP.folds(df, 4, "id").where("fold is null").count() == 0
+
+
+def test_ids_that_differ_by_the_modulus_part(spark):
+    df = spark.range(200).select("id", (F.col("id") + hashing.MODULUS).alias("far"))
+    assert df.where(hashing.mix(F.col("id"), 3) == hashing.mix(F.col("far"), 3)).count() < 5
+
+
+def test_auc_of_several_classes(spark):
+    rng = random.Random(4)
+    rows = [(i, "test" if i % 3 == 0 else "train", rng.gauss(i % 3, 0.6), rng.gauss(0, 1), i % 3) for i in range(300)]
+    df = frame(spark, rows, "id bigint, split string, a double, b double, k int")
+    got = M.fit_all(df, prep.Recipe(numeric=["a", "b"]), "k", "classification", "id", ["logit", "rf"])[0]
+    for r in M.score_rows(got, "classification", ["model", "split"]).collect():
+        assert 0.7 < r.auc <= 1 and 0.4 < r.pr_auc <= 1
+
+
+def test_acceleration_uses_all_rows(spark):
+    rng = random.Random(2)
+    y = [rng.gauss(0, 1) for _ in range(60)]
+    pred = [v + rng.expovariate(1) for v in y]
+    df = frame(spark, list(zip(range(60), y, pred)), "id bigint, y double, pred double")
+    sq = [(a - b) ** 2 for a, b in zip(y, pred)]
+    jack = np.array([math.sqrt((sum(sq) - s) / 59) for s in sq])
+    d = jack.mean() - jack
+    want = (d ** 3).sum() / (6 * (d ** 2).sum() ** 1.5)
+    e = F.col("y") - F.col("pred")
+    got = E.accelerations(df, {"rmse": F.sqrt((F.lit(sum(sq)) - e * e) / 59)})
+    assert got["rmse"] == pytest.approx(want)
