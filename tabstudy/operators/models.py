@@ -394,7 +394,11 @@ def fit_all(df: DataFrame, recipe: Recipe, target: str, task: str, id_col: str,
 
     def run(key):
         prep = fit_prep(train, recipe_for_model(recipe, key), target)
-        ready = prep.apply(df).withColumn("_y", change.forward(F.col(target).cast("double")) if task == "regression" else F.col(target))
+        if any(op == "target" for op, _ in prep.steps):
+            ready = prep.apply_to_training(train, id_col).unionByName(prep.apply(df.where(F.col("split").isNull() | (F.col("split") != "train"))))
+        else:
+            ready = prep.apply(df)
+        ready = ready.withColumn("_y", change.forward(F.col(target).cast("double")) if task == "regression" else F.col(target))
         model = fit(key, ready.where("split = 'train'"), prep.names, "_y", task, seed, **(params or {}).get(key, {}), **({"id_col": id_col} if key == "knn" else {}))
         rows = with_probs(model.predict(ready)).select(F.lit(key).alias("model"), F.col(id_col).alias("id"), "split", F.col(target).cast("double").alias("y"),
                                            change.inverse(F.col("pred")).alias("pred"), "proba", "probs")

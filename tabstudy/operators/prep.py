@@ -1,7 +1,7 @@
 """Preprocessing learned on training rows and applied anywhere.
 
-``fit`` reads the training rows a few times and keeps only constants (JSON-able); ``apply`` is a pure
-projection built from those constants, so it never starts a job and can be pushed into any plan.
+``fit`` reads the training rows a few times and keeps constants (JSON-able) and, for encodings of any number of categories, written
+tables. ``apply`` is a projection built from the constants and joins with those tables; it never reads the training rows again.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import row_key, uniform
 from ..functions.quantiles import quantile_values
+from ..functions.storage import written
 from . import features as FE
 from .outliers import capping_bounds, clip
 from .plausibility import conversion_factors, gate, plausible_bounds
@@ -151,7 +152,7 @@ def categories(df: DataFrame, cols: Sequence[str], limit: int = CATEGORY_LIMIT)
     for c in cols:
         values = [r[0] for r in df.where(F.col(c).isNotNull()).select(F.col(c).cast("string")).distinct().limit(limit + 1).collect()]
         if len(values) > limit:
-            raise ValueError(f"{c} has more than {limit} categories; use encode='ordinal' or 'target'")
+            raise ValueError(f"{c} has more than {limit} categories; use encode='ordinal' or 'target', which have no limit")
         out[c] = sorted(values)
     return out
 
@@ -318,16 +319,37 @@ class FittedPrep:
     recipe: Recipe
     steps: list = field(default_factory=list)  # (operation, constants) in order
     names: list = field(default_factory=list)
-    target_tables: dict = field(default_factory=dict)
+    tables: dict = field(default_factory=dict)  # column -> written table of its encoding
+    paths: dict = field(default_factory=dict)
+    target: str | None = None
 
     def apply(self, df: DataFrame) -> DataFrame:
+        """The prepared table. Encodings are read from their written tables, so no training row is read again."""
         out = df
         for op, k in self.steps:
             out = _apply_step(out, op, k, self)
         return out
 
+    def apply_to_training(self, train: DataFrame, id_col: str) -> DataFrame:
+        """The prepared training rows: a target encoding comes from the other folds only, never from a row's own target."""
+        out = train
+        for op, k in self.steps:
+            if op == "target":
+                for c in k:
+                    out = target_encode_out_of_fold(out, c, self.target, id_col)
+            else:
+                out = _apply_step(out, op, k, self)
+        return out
+
     def to_json(self) -> str:
-        return json.dumps({"recipe": asdict(self.recipe), "steps": self.steps, "names": self.names})
+        """Constants, and the places of the written encodings."""
+        return json.dumps({"recipe": asdict(self.recipe), "steps": self.steps, "names": self.names, "target": self.target, "encodings": self.paths})
+
+    @staticmethod
+    def from_json(spark, text: str) -> FittedPrep:
+        k = json.loads(text)
+        tables = {c: spark.read.parquet(p) for c, p in k["encodings"].items()}
+        return FittedPrep(Recipe(**k["recipe"]), [tuple(s) for s in k["steps"]], k["names"], tables, k["encodings"], k["target"])
 
     def describe(self, spark) -> DataFrame:
         """(position, step, columns): what is done, in order."""
@@ -363,16 +385,14 @@ def _apply_step(df: DataFrame, op: str, k, fitted: FittedPrep) -> DataFrame:
         return onehot(df, k)
     if op == "ordinal":
         out = df
-        for c, values in k.items():
-            code = F.lit(-1)
-            for i, v in enumerate(values):
-                code = F.when(F.col(c) == F.lit(v), i).otherwise(code)
-            out = out.withColumn(c, code)
+        for c in k:
+            codes = fitted.tables[c].select(F.col("value").alias("_v"), (F.col("code") - 1).alias("_c"))
+            out = out.join(codes, F.col(c) == F.col("_v"), "left").withColumn(c, F.coalesce(F.col("_c"), F.lit(-1))).drop("_v", "_c")
         return out
     if op == "target":
         out = df
         for c, overall in k.items():
-            known = fitted.target_tables[c].select(F.col("value").alias("_v"), F.col("encoding").alias("_e"))
+            known = fitted.tables[c].select(F.col("value").alias("_v"), F.col("encoding").alias("_e"))
             out = out.join(known, F.col(c).eqNullSafe(F.col("_v")), "left").withColumn(c, F.coalesce("_e", F.lit(overall))).drop("_v", "_e")
         return out
     if op == "kmeans":
@@ -436,13 +456,17 @@ def fit(train: DataFrame, recipe: Recipe, target: str | None = None) -> FittedPr
             step("onehot", values)
         elif recipe.encode == "ordinal":
             names += cats
-            step("ordinal", categories(work, cats))
+            for c in cats:
+                fitted.tables[c], fitted.paths[c] = written(FE.value_codes(work, c), "codes")
+            step("ordinal", cats)
         else:
             if target is None:
                 raise ValueError("target encoding needs the target")
             names += cats
-            fitted.target_tables = {c: target_means(work, c, target) for c in cats}
-            step("target", {c: (t.select("overall").first() or [0.0])[0] for c, t in fitted.target_tables.items()})
+            fitted.target = target
+            for c in cats:
+                fitted.tables[c], fitted.paths[c] = written(target_means(work, c, target), "encoding")
+            step("target", {c: (fitted.tables[c].select("overall").first() or [0.0])[0] for c in cats})
     names += through
     if recipe.kmeans:
         centres = FE.fit_kmeans(work, names, recipe.kmeans, recipe.seed)

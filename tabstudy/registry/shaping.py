@@ -135,7 +135,7 @@ def _(t):
 
 @query("fe_cond_ordinal", f"WITH {ORD}, k AS (SELECT o_orderpriority, dense_rank() OVER (ORDER BY o_orderpriority)::INTEGER AS i FROM (SELECT DISTINCT o_orderpriority FROM ord WHERE o_orderpriority IS NOT NULL)) SELECT o_orderkey, coalesce(i, 0) AS o_orderpriority_ordinal FROM ord LEFT JOIN k USING (o_orderpriority)")
 def _(t):
-    return FE.conditional_ordinal(orders(t), ["o_orderpriority"]).select("o_orderkey", "o_orderpriority_ordinal")
+    return FE.conditional_ordinal(orders(t), ["o_orderpriority"]).select("o_orderkey", F.col("o_orderpriority_ordinal").cast("int").alias("o_orderpriority_ordinal"))
 
 
 PRICED = ["l_extendedprice", "l_quantity", "l_discount", "p_size", "p_retailprice"]
@@ -235,7 +235,7 @@ def _(t):
 
 @query("pre_ordinal", f"WITH {ORD}, k AS (SELECT o_orderpriority, dense_rank() OVER (ORDER BY o_orderpriority)::INTEGER - 1 AS i FROM (SELECT DISTINCT o_orderpriority FROM ord WHERE o_orderpriority <> '5-LOW')) SELECT o_orderkey, coalesce(i, -1) AS o_orderpriority FROM ord LEFT JOIN k USING (o_orderpriority)")
 def _(t):
-    return P.ordinal(orders(t), orders(t).where("o_orderpriority <> '5-LOW'"), ["o_orderpriority"]).select("o_orderkey", "o_orderpriority")
+    return P.ordinal(orders(t), orders(t).where("o_orderpriority <> '5-LOW'"), ["o_orderpriority"]).select("o_orderkey", F.col("o_orderpriority").cast("int").alias("o_orderpriority"))
 
 
 @query("pre_target_encode", f"""WITH {ORD}, {TRAIN}, c AS (SELECT o_orderpriority AS v, count(*) AS n, avg(o_totalprice) AS m, var_pop(o_totalprice) AS s FROM tr WHERE o_totalprice IS NOT NULL GROUP BY 1), g AS (SELECT avg(o_totalprice) AS g, var_pop(o_totalprice) AS gv FROM tr)
@@ -289,7 +289,7 @@ def _(t):
 
 @query("pre_label_encode", "SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderpriority)::INTEGER - 1 AS o_orderpriority_code FROM orders")
 def _(t):
-    return P.label_encode(t.orders, "o_orderpriority").select("o_orderkey", "o_orderpriority_code")
+    return P.label_encode(t.orders, "o_orderpriority").select("o_orderkey", F.col("o_orderpriority_code").cast("int").alias("o_orderpriority_code"))
 
 
 @query("pre_basic", f"""WITH {ORD}, b AS (SELECT o_orderkey, o_totalprice, o_custkey, CASE WHEN {U} < 0.8 THEN 'train' ELSE 'test' END AS split FROM ord WHERE o_totalprice IS NOT NULL OR o_orderkey % 2 = 0),

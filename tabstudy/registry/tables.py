@@ -1,11 +1,10 @@
 """Sources, column filters, joins."""
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.storage import new_folder
 from ..operators import columns as C
 from ..operators import joins as J
 from ..operators import plausibility as PL
@@ -14,11 +13,7 @@ from .base import LI, LI_NUM, ORD, Tables, li, orders, query, r, rnd, rounded, u
 
 
 def scratch(t: Tables, name: str) -> str:
-    """New folder for written results in the cluster's shared folder; under a local master without one, in the machine's."""
-    base = t.spark.conf.get("spark.checkpoint.dir", "")
-    if not base and not t.spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return os.path.join(base or tempfile.mkdtemp(prefix="tabstudy-"), uuid.uuid4().hex, name)
+    return new_folder(t.spark, name)
 
 
 # ---- sources -----------------------------------------------------------------------------------

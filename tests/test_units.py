@@ -395,7 +395,7 @@ def test_ids_that_differ_by_the_modulus_part(spark):
 
 def test_auc_of_several_classes(spark):
     rng = random.Random(4)
-    rows = [(i, "test" if i % 3 == 0 else "train", rng.gauss(i % 3, 0.6), rng.gauss(0, 1), i % 3) for i in range(300)]
+    rows = [(i, "test" if i % 4 == 0 else "train", rng.gauss(i % 3, 0.6), rng.gauss(0, 1), i % 3) for i in range(300)]
     df = frame(spark, rows, "id bigint, split string, a double, b double, k int")
     got = M.fit_all(df, prep.Recipe(numeric=["a", "b"]), "k", "classification", "id", ["logit", "rf"])[0]
     for r in M.score_rows(got, "classification", ["model", "split"]).collect():
@@ -414,3 +414,22 @@ def test_acceleration_uses_all_rows(spark):
     e = F.col("y") - F.col("pred")
     got = E.accelerations(df, {"rmse": F.sqrt((F.lit(sum(sq)) - e * e) / 59)})
     assert got["rmse"] == pytest.approx(want)
+
+
+def test_encodings_of_many_categories_and_back_from_json(spark):
+    df = spark.range(6000).select("id", F.concat(F.lit("c"), (F.col("id") % 2500).cast("string")).alias("c"), (F.col("id") % 7).cast("double").alias("y"))
+    for encode in ("ordinal", "target"):
+        fitted = prep.fit(df, prep.Recipe(categorical=["c"], encode=encode), "y")
+        again = prep.FittedPrep.from_json(spark, fitted.to_json())
+        rows = lambda p: {r.id: r.c for r in p.apply(df).collect()}
+        assert rows(fitted) == rows(again)
+        if encode == "ordinal":
+            order = {f"c{i}": k for k, i in enumerate(sorted(range(2500), key=lambda i: f"c{i}"))}
+            assert rows(fitted) == {i: order[f"c{i % 2500}"] for i in range(6000)}
+
+
+def test_training_rows_are_encoded_by_other_folds(spark):
+    df = frame(spark, [(i, "only" if i == 0 else "rest", 1000.0 if i == 0 else float(i % 5)) for i in range(100)], "id bigint, c string, y double")
+    fitted = prep.fit(df, prep.Recipe(categorical=["c"], encode="target"), "y")
+    rows = {r.id: r.c for r in fitted.apply_to_training(df, "id").collect()}
+    assert len(rows) == 100 and rows[0] < 10  # a category's only row tells nothing of its own target
