@@ -203,13 +203,22 @@ def quantile_values(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     return {r["column"]: list(r["q"]) if r["n"] else [None] * len(probs) for r in exact_quantiles(df, cols, probs).collect()}
 
 
-def _halves(df: DataFrame, c: str, name: str) -> list[Column]:
-    """A key as doubles that sort alike and lose no bit: integers in two halves."""
-    v = F.col(c)
-    if df.schema[c].dataType.typeName() not in ("byte", "short", "integer", "long"):
-        return [v.cast("double").alias(f"{name}h")]
-    v = v.cast("bigint")
-    return [F.shiftright(v, 32).cast("double").alias(f"{name}h"), v.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double").alias(f"{name}l")]
+EXACT = 2.0 ** 53  # integers up to here are doubles
+
+
+def _parts(df: DataFrame, keys: Sequence[str]) -> dict[str, list[Column]]:
+    """Each key as doubles that sort alike and lose no bit: integers beyond 2**53 in two halves."""
+    whole = [k for k in keys if df.schema[k].dataType.typeName() in ("byte", "short", "integer", "long")]
+    ends = df.agg(*[F.max(F.greatest(F.col(k).cast("double"), -F.col(k).cast("double"))).alias(k) for k in whole]).first() if whole else {}
+    out = {}
+    for i, k in enumerate(keys):
+        v = F.col(k)
+        if k in whole and (ends[k] or 0.0) >= EXACT:
+            v = v.cast("bigint")
+            out[k] = [F.shiftright(v, 32).cast("double").alias(f"_k{i}h"), v.bitwiseAND(F.lit(0xFFFFFFFF)).cast("double").alias(f"_k{i}l")]
+        else:
+            out[k] = [v.cast("double").alias(f"_k{i}h")]
+    return out
 
 
 def cut_points(df: DataFrame, keys: Sequence[str], ranks: dict[tuple, Sequence[int]], by: Sequence[str] = ()) -> dict[tuple, dict[int, tuple]]:
@@ -219,7 +228,7 @@ def cut_points(df: DataFrame, keys: Sequence[str], ranks: dict[tuple, Sequence[i
     boundary so far, give the boundary keys, and callers compare rows with them.
     """
     by = list(by)
-    parts = {k: _halves(df, k, f"_k{i}") for i, k in enumerate(keys)}
+    parts = _parts(df, keys)
     names = [f"_k{i}{x}" for i, k in enumerate(keys) for x in "hl"[:len(parts[k])]]
     base = df.select(*by, *[c for k in keys for c in parts[k]])
     # (group, values of the parts so far, rank) -> rank among the rows that tie with them

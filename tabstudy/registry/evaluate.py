@@ -183,9 +183,10 @@ def _(t):
     return rounded(E.bootstrap_auc(scores(t), "id", "b", "proba", B), {"auc": 6})
 
 
-@query("ev_boot_median")
+@query("ev_boot_median", f"""WITH {S}, {boot_cte()}, q AS (SELECT replicate, abs(y - pred) AS a, sum(w) AS n FROM w WHERE w > 0 GROUP BY 1, 2), c AS (SELECT *, sum(n) OVER (PARTITION BY replicate ORDER BY a ROWS UNBOUNDED PRECEDING) AS e, sum(n) OVER (PARTITION BY replicate) AS t FROM q)
+  SELECT replicate::INTEGER AS replicate, {r('(max(a) FILTER (e - n <= floor((t - 1) / 2.0) AND floor((t - 1) / 2.0) < e) + max(a) FILTER (e - n <= ceil((t - 1) / 2.0) AND ceil((t - 1) / 2.0) < e)) / 2', 4)} AS median_ae FROM c GROUP BY 1""")
 def _(t):
-    return E.bootstrap_median_ae(scores(t), "id", replicates=B)
+    return rounded(E.bootstrap_median_ae(scores(t), "id", replicates=B), {"median_ae": 4})
 
 
 @query("ev_boot_ci")
