@@ -1,6 +1,7 @@
 """Main text of web pages by two passes of rules over blocks.
 
-The first pass decides blocks by where they stand, their length, their share of stop words and of link text. In the second, blocks
+The first pass decides blocks by where they stand, their length, their share of stop words and of link text; article and main
+elements that hold most of the good text are one more signal. In the second, blocks
 too short or too full of links to decide take the label of their nearest decided neighbours, in page order.
 """
 
@@ -137,18 +138,18 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
-def first_pass(block: Block, framed: bool) -> int:
-    """GOOD, BAD or OPEN. framed: the page has an article or main element with text, so what stands outside it is not the article."""
-    if block.margin or framed and not block.inside:
-        return BAD
+def measures(block: Block) -> tuple[int, float, float]:
+    """Characters, share of them in links, and share of stop words."""
     n = len("".join(block.text.split()))
-    links = block.linked / n
-    if framed:
-        return OPEN if links > LINKS_MANY else GOOD
-    if links > LINKS_MANY:
-        return BAD
     words = LETTERS.findall(block.text.lower())
-    stops = sum(w in STOPS for w in words) / max(1, len(words))
+    return n, block.linked / n, sum(w in STOPS for w in words) / max(1, len(words))
+
+
+def first_pass(block: Block) -> int:
+    """GOOD, BAD or OPEN by margin part, length, links and stop words."""
+    n, links, stops = measures(block)
+    if block.margin or links > LINKS_MANY:
+        return BAD
     if n < SHORT:
         return BAD if links > LINKS_FEW else OPEN
     if stops >= STOPS_HIGH or n >= LONG and stops >= STOPS_LOW:
@@ -156,6 +157,26 @@ def first_pass(block: Block, framed: bool) -> int:
     return OPEN if links <= LINKS_FEW else BAD
 
 
+def framed_pass(found: list[Block], labels: list[int]) -> list[int]:
+    """Labels with article and main elements as one more signal.
+
+    They count where they hold at least as much good text as the rest of the page, or any open text while the rest holds no good
+    text. Then open blocks inside are good, and outside only long blocks full of stop words stay good; else the labels stay.
+    """
+    inside = [b.inside and not b.margin for b in found]
+    held, rest = (sum(len(b.text) for b, x, i in zip(found, labels, inside) if x == GOOD and i == k) for k in (True, False))
+    if not any(i and x != BAD for i, x in zip(inside, labels)) or rest > held:
+        return labels
+    out = []
+    for b, x, i in zip(found, labels, inside):
+        if i:
+            out.append(GOOD if x == OPEN else x)
+        else:
+            n, _, stops = measures(b)
+            out.append(GOOD if x == GOOD and n >= LONG and stops >= STOPS_HIGH else BAD)
+    return out
+
+
 def second_pass(found: list[Block], labels: list[int]) -> list[int]:
     """Each open block takes the label of its nearest decided neighbours; where they differ, headings look ahead and others need the nearer one to be good."""
     n = len(labels)
@@ -182,9 +203,8 @@ def extract(html: str | None) -> str:
     if not html:
         return ""
     found = blocks(html)
-    framed = any(b.inside and not b.margin for b in found)
-    labels = [first_pass(b, framed) for b in found]
-    if not framed and GOOD not in labels and OPEN in labels:  # nothing is sure: the longest open blocks stand for the article
+    labels = framed_pass(found, [first_pass(b) for b in found])
+    if GOOD not in labels and OPEN in labels:  # nothing is sure: the longest open blocks stand for the article
         most = max(len(b.text) for b, x in zip(found, labels) if x == OPEN)
         if most >= SHORT:
             labels = [GOOD if x == OPEN and len(b.text) * 4 >= most else x for b, x in zip(found, labels)]

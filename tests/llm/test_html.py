@@ -68,3 +68,13 @@ def test_hostile_pages_end(bad):
     start = time.time()
     html.extract(bad)
     assert time.time() - start < 10
+
+
+def test_article_elements_are_one_signal_of_several():
+    body = "".join(f"<p>{b}</p>" for b in BODY)
+    cards = "<article><h3>More news</h3><p>Read on</p></article>"
+    assert html.extract(f"<body>{cards}<div>{body}</div></body>").endswith(WANT)
+    box = "<main><p>It is the box of the day and of the week for all of you.</p></main>"
+    assert html.extract(f"<body><div>{body}</div>{box}</body>").startswith(WANT)
+    links = "<p>" + " ".join(f"<a href='/{i}'>Another story</a>" for i in range(8)) + "</p>"
+    assert html.extract(f"<body><article>{body}{links}</article></body>") == WANT
