@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontaminate, html, langid, pieces, rules, simhash, substrings, tokens, warc
+from . import classifier, decontaminate, html, langid, phrases, pieces, rules, simhash, substrings, tokens, warc, whitening
 from .base import query, table
 from .common import scratch
 
@@ -62,3 +62,13 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_substring_dedup")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.repeated_passages(table(spark, folder, "documents")).drop("digest")
+
+
+@query("op12_phrases", phrases.SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whitened(table(spark, folder, "embeddings"))
