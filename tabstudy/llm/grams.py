@@ -35,14 +35,22 @@ def wide_rows(spark: SparkSession, rows: int = 8) -> Iterator[None]:
         spark.conf.set(ROWS, before)
 
 
+def _width(v: np.ndarray) -> int:
+    return next(w for w in (1, 2, 4, 8) if w == 8 or not len(v) or (0 <= v.min() and v.max() < 1 << (8 * w)))
+
+
 def pack(*columns: np.ndarray) -> bytes:
-    """Columns of equal length in few bytes: differences of neighbours in the narrowest type, byte by byte, compressed."""
+    """Columns of equal length in few bytes: as they are or as differences of neighbours, in the narrowest type, byte by byte, compressed."""
     out = [np.int64(len(columns[0])).tobytes()]
     for c in columns:
-        d = np.diff(c.astype(np.int64), prepend=0)
+        c = c.astype(np.int64)
+        d = np.diff(c, prepend=0)
+        rising = len(d) and d.min() >= 0
         d = (d << 1) ^ (d >> 63)  # small for small differences of either sign
-        width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(d) or (0 <= d.min() and d.max() < 1 << (8 * w)))
-        out += [bytes([width]), np.ascontiguousarray(d.astype(f"<i{width}" if width == 8 else f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()]
+        differences = bool(rising or _width(d) < _width(c))
+        v = d if differences else c
+        width = _width(v)
+        out += [bytes([width, differences]), np.ascontiguousarray(v.astype(f"<i{width}" if width == 8 else f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
@@ -50,11 +58,11 @@ def unpack(packed: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(packed)
     n, at, out = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
     while at < len(raw):
-        width = raw[at]
-        flat = np.frombuffer(raw, np.uint8, n * width, at + 1).reshape(width, n).T
-        d = np.ascontiguousarray(flat).view(f"<i{width}" if width == 8 else f"<u{width}").ravel().astype(np.int64)
-        out.append(np.cumsum((d >> 1 & 0x7FFFFFFFFFFFFFFF) ^ -(d & 1)))
-        at += 1 + n * width
+        width, differences = raw[at], raw[at + 1]
+        flat = np.frombuffer(raw, np.uint8, n * width, at + 2).reshape(width, n).T
+        v = np.ascontiguousarray(flat).view(f"<i{width}" if width == 8 else f"<u{width}").ravel().astype(np.int64)
+        out.append(np.cumsum((v >> 1 & 0x7FFFFFFFFFFFFFFF) ^ -(v & 1)) if differences else v)
+        at += 2 + n * width
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontaminate, html, langid, phrases, pieces, rules, simhash, substrings, tokens, warc, whitening
+from . import classifier, decontaminate, html, langid, phrases, pieces, rules, simhash, substrings, tokens, trie_lm, warc, whitening
 from .base import query, table
 from .common import scratch
 
@@ -72,3 +72,8 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_whitening")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whitened(table(spark, folder, "embeddings"))
+
+
+@query("op11_trie_lm")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return trie_lm.text_scores(table(spark, folder, "documents"))
