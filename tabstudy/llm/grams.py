@@ -35,12 +35,8 @@ def wide_rows(spark: SparkSession, rows: int = 8) -> Iterator[None]:
         spark.conf.set(ROWS, before)
 
 
-def _width(v: np.ndarray) -> int:
-    return next(w for w in (1, 2, 4, 8) if w == 8 or not len(v) or (0 <= v.min() and v.max() < 1 << (8 * w)))
-
-
 def pack(*columns: np.ndarray) -> bytes:
-    """Columns of equal length in few bytes: as they are or as differences of neighbours, in the narrowest type, byte by byte, compressed."""
+    """Columns of equal length in few bytes: as they are or as differences of neighbours, in as few bytes as the largest needs, byte by byte, compressed."""
     out = [np.int64(len(columns[0])).tobytes()]
     for c in columns:
         c = c.astype(np.int64)
@@ -50,17 +46,23 @@ def pack(*columns: np.ndarray) -> bytes:
         differences = bool(rising or _width(d) < _width(c))
         v = d if differences else c
         width = _width(v)
-        out += [bytes([width, differences]), np.ascontiguousarray(v.astype(f"<i{width}" if width == 8 else f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()]
+        out += [bytes([width, differences]), np.ascontiguousarray(v.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
 
 
+def _width(v: np.ndarray) -> int:
+    """Bytes that hold every number; all eight where one is negative."""
+    return 8 if len(v) and v.min() < 0 else max(1, -(-int(v.max(initial=0)).bit_length() // 8))
+
+
 def unpack(packed: bytes) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(packed)
     n, at, out = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
     while at < len(raw):
         width, differences = raw[at], raw[at + 1]
-        flat = np.frombuffer(raw, np.uint8, n * width, at + 2).reshape(width, n).T
-        v = np.ascontiguousarray(flat).view(f"<i{width}" if width == 8 else f"<u{width}").ravel().astype(np.int64)
+        flat = np.zeros((n, 8), dtype=np.uint8)
+        flat[:, :width] = np.frombuffer(raw, np.uint8, n * width, at + 2).reshape(width, n).T
+        v = flat.view("<i8").ravel()
         out.append(np.cumsum((v >> 1 & 0x7FFFFFFFFFFFFFFF) ^ -(v & 1)) if differences else v)
         at += 2 + n * width
     return out
