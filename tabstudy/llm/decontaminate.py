@@ -245,10 +245,17 @@ def cut_spans(text: str | None, spans: list[int] | None) -> str | None:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
     """Rows of ``docs`` that are not contaminated, all columns kept; hit spans below the coverage limit are cut from the text. Clean texts stay as they are."""
     found = hits(docs, benchmark, id_col=id_col, text_col=text_col, **columns).where("size(spans) > 0").select(F.col("doc_id").alias("_hit_id"), F.col("key").alias("_hit_key"), F.col("n_words").alias("_hit_words"), F.col("spans").alias("_hit_spans")).distinct()
-    cut = F.udf(cut_spans, "string")
     joined = docs.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("_hit_id")) & (F.xxhash64(text_col) == F.col("_hit_key")), "left")
-    clean = joined.where(F.col("_hit_id").isNull() & F.col("_hit_key").isNull() | (COVERAGE * _covered(F.col("_hit_spans")) < F.col("_hit_words")))
-    return clean.withColumn(text_col, cut(text_col, "_hit_spans")).select(*docs.columns)
+    columns_of, at = docs.columns, docs.columns.index(text_col)
+
+    def cut(batches):
+        for batch in slices(batches):
+            texts = [cut_spans(t, s) for t, s in zip(batch.column(at).to_pylist(), batch.column(len(columns_of)).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(columns_of))], columns_of)
+
+    clean = joined.where(F.col("_hit_key").isNull()).select(*columns_of)
+    some = joined.where(F.col("_hit_key").isNotNull() & (COVERAGE * _covered(F.col("_hit_spans")) < F.col("_hit_words"))).select(*columns_of, "_hit_spans")
+    return clean.union(some.mapInArrow(cut, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)))
 
 
 SQL = """

@@ -1,8 +1,8 @@
 """Main text of web pages by two passes of rules over blocks.
 
-The first pass decides blocks by where they stand, their length, their share of stop words and of link text; article and main
-elements that hold most of the good text are one more signal. In the second, blocks
-too short or too full of links to decide take the label of their nearest decided neighbours, in page order.
+The first pass decides blocks by their length, their share of stop words and of link text, and leaves out menus, forms and other
+margin parts. In the second, blocks too short or with too few stop words to decide take the label of their nearest decided
+neighbours, in page order. Article and main elements decide nothing.
 """
 
 from __future__ import annotations
@@ -157,44 +157,30 @@ def first_pass(block: Block) -> int:
     return OPEN if links <= LINKS_FEW else BAD
 
 
-def framed_pass(found: list[Block], labels: list[int]) -> list[int]:
-    """Labels with article and main elements as one more signal.
+def second_pass(found: list[Block], labels: list[int]) -> list[int]:
+    """Each open block takes the label of its nearest decided neighbours among the blocks outside margin parts.
 
-    They count where they hold at least as much good text as the rest of the page, or any open text while the rest holds no good
-    text. Then open blocks inside are good, and outside only long blocks full of stop words stay good; else the labels stay.
+    Where they differ, headings look ahead, and others take the nearer one, or the good one of two as near. Without any decided
+    neighbour an open block is all there is of an article, and good.
     """
-    inside = [b.inside and not b.margin for b in found]
-    held, rest = (sum(len(b.text) for b, x, i in zip(found, labels, inside) if x == GOOD and i == k) for k in (True, False))
-    if not any(i and x != BAD for i, x in zip(inside, labels)) or rest > held:
-        return labels
-    out = []
-    for b, x, i in zip(found, labels, inside):
-        if i:
-            out.append(GOOD if x == OPEN else x)
+    flow = [i for i, b in enumerate(found) if not b.margin]
+    out = list(labels)
+    before: list[tuple[int, int] | None] = []
+    last = None
+    for k, i in enumerate(flow):
+        before.append(last)
+        last = (labels[i], k) if labels[i] != OPEN else last
+    last = None
+    for k in range(len(flow) - 1, -1, -1):
+        i = flow[k]
+        if labels[i] != OPEN:
+            last = (labels[i], k)
+            continue
+        near = [x for x in (before[k], last) if x is not None]
+        if found[i].heading and last is not None:
+            out[i] = last[0]
         else:
-            n, _, stops = measures(b)
-            out.append(GOOD if x == GOOD and n >= LONG and stops >= STOPS_HIGH else BAD)
-    return out
-
-
-def second_pass(found: list[Block], labels: list[int]) -> list[int]:
-    """Each open block takes the label of its nearest decided neighbours; where they differ, headings look ahead and others need the nearer one to be good."""
-    n = len(labels)
-    before, after = [(BAD, n)] * n, [(BAD, n)] * n
-    last = (BAD, -n)
-    for i, x in enumerate(labels):
-        before[i] = (last[0], i - last[1])
-        last = (x, i) if x != OPEN else last
-    last = (BAD, 2 * n)
-    for i in range(n - 1, -1, -1):
-        after[i] = (last[0], last[1] - i)
-        last = (labels[i], i) if labels[i] != OPEN else last
-    out = []
-    for i, x in enumerate(labels):
-        if x == OPEN:
-            (a, da), (b, db) = before[i], after[i]
-            x = a if a == b else b if found[i].heading else a if da < db else b if db < da else BAD
-        out.append(x)
+            out[i] = min(near, key=lambda x: (abs(x[1] - k), x[0] != GOOD))[0] if near else GOOD
     return out
 
 
@@ -203,12 +189,8 @@ def extract(html: str | None) -> str:
     if not html:
         return ""
     found = blocks(html)
-    labels = framed_pass(found, [first_pass(b) for b in found])
-    if GOOD not in labels and OPEN in labels:  # nothing is sure: the longest open blocks stand for the article
-        most = max(len(b.text) for b, x in zip(found, labels) if x == OPEN)
-        if most >= SHORT:
-            labels = [GOOD if x == OPEN and len(b.text) * 4 >= most else x for b, x in zip(found, labels)]
-    return " ".join(b.text for b, x in zip(found, second_pass(found, labels)) if x == GOOD)
+    labels = second_pass(found, [first_pass(b) for b in found])
+    return " ".join(b.text for b, x in zip(found, labels) if x == GOOD)
 
 
 def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -10,14 +10,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_remainder, map_batches, slices
 
 BITS = 15
-SAMPLE = 600  # documents of each language that the weights and the temperature are fitted on, about
-LANGUAGES = 256  # most frequent languages that are learned
+CELLS = 1 << 24  # weights of all languages; where these are very many, n-grams share fewer buckets
+SAMPLE = 600  # distinct texts of each language that the weights and the temperature are fitted on
+TOTAL = 1 << 14  # distinct texts of all languages together, but two of each at least
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.5, 1.0, 0.02, 0.1
 CALIBRATION = 5  # each so-manieth row of the sample is for the temperature
 CHUNK = 1 << 20
@@ -25,10 +26,10 @@ CHUNK = 1 << 20
 MULTIPLIERS = np.array([2654435761, 2246822519, 3266489917], dtype=np.uint32)
 
 
-def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+def grams(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the text's 1-, 2- and 3-character grams in lower case, and how often each occurs."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
-    counts = np.zeros(1 << BITS, dtype=np.int64)
+    counts = np.zeros(1 << bits, dtype=np.int64)
     for at in range(0, len(codes), CHUNK):
         part = codes[at:at + CHUNK + 2]
         own = min(CHUNK, len(codes) - at)
@@ -36,7 +37,7 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
         for n in range(min(3, len(part))):
             # a gram that starts in this chunk may end in the next
             h = h[:len(part) - n] * np.uint32(31) + part[n:] * MULTIPLIERS[n] + np.uint32(n)
-            counts += np.bincount((h[:own] * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS), minlength=1 << BITS)
+            counts += np.bincount((h[:own] * np.uint32(0x9E3779B1)) >> np.uint32(32 - bits), minlength=1 << bits)
     buckets = np.flatnonzero(counts)
     return buckets, counts[buckets]
 
@@ -54,7 +55,7 @@ class Model:
     temperature: float = 1.0
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        buckets, counts = grams(text)
+        buckets, counts = grams(text, len(self.idf).bit_length() - 1)
         return buckets, weigh(buckets, counts, self.idf)
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -77,9 +78,9 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit_ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], n_classes: int, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and bias. rows: (class, buckets, values); each epoch takes them in its own fixed order."""
-    z = np.zeros((1 + (1 << BITS), n_classes))
+def fit_ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], n_classes: int, idf: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias. rows: (class, buckets, counts); each epoch takes them in its own fixed order."""
+    z = np.zeros((1 + len(idf), n_classes))
     n = np.zeros_like(z)
 
     def solve(z: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -87,8 +88,8 @@ def fit_ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], n_classes: int, epo
 
     for epoch in range(epochs):
         for r in np.random.default_rng(epoch).permutation(len(rows)):
-            label, buckets, values = rows[r]
-            at, x = np.append(buckets + 1, 0), np.append(values, 0.1)  # place 0 is the bias
+            label, buckets, counts = rows[r]
+            at, x = np.append(buckets + 1, 0), np.append(weigh(buckets, counts, idf), 0.1)  # place 0 is the bias
             w = solve(z[at], n[at])
             error = softmax(x @ w)
             error[label] -= 1
@@ -112,59 +113,69 @@ def fit_temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
-def document_frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+def document_frequencies(docs: DataFrame, text_col: str = "text", bits: int = BITS) -> np.ndarray:
     """How many texts hold each bucket; every task sends its sums once."""
 
     def run(batches):
-        seen = np.zeros(1 << BITS, dtype=np.int64)
+        seen = np.zeros(1 << bits, dtype=np.int64)
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
-                seen[grams(text or "")[0]] += 1
+                seen[grams(text or "", bits)[0]] += 1
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["bucket", "n"])
 
-    out = np.zeros(1 << BITS)
+    out = np.zeros(1 << bits)
     for r in docs.select(text_col).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r.bucket] = r.n
     return out
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Fit on the rows of ``docs`` that have a language. Documented bound: about ``sample`` rows of each of the ``LANGUAGES`` most frequent languages are fitted on."""
+def drawn_texts(known: DataFrame, each: int) -> DataFrame:
+    """Rows (text, lang): of each language the ``each`` distinct texts of least hash, one row for each, however often it occurs."""
+    hashed = known.withColumn("h", F.xxhash64("text", F.lit("sample")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = hashed.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= each).drop("place")  # at most TOTAL rows, or two a language
+    return hashed.join(F.broadcast(chosen), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.min("text").alias("text")).select("text", "lang")
+
+
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, total: int = TOTAL) -> Model:
+    """Fit on the rows of ``docs`` that have a language, all languages.
+
+    Documented bound: the weights are fitted on ``sample`` distinct texts of each language, fewer where all together would pass
+    ``total`` (two at least). Document frequencies are those of all rows.
+    """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    counts = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
+    bits = min(BITS, max(8, (CELLS // max(1, len(languages))).bit_length() - 1))
     if not languages:
-        return Model([], np.zeros(1 << BITS), np.zeros((1 << BITS, 0)), np.zeros(0))
-    idf = np.log((1 + sum(counts.values())) / (1 + document_frequencies(known))) + 1
-    share = F.create_map(*[x for v in languages for x in (F.lit(v), F.lit(min(1.0, sample / counts[v])))])[F.col("lang")]
-    drawn = known.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1_000_000)) < share * 1_000_000)
+        return Model([], np.zeros(1 << bits), np.zeros((1 << bits, 0)), np.zeros(0))
+    idf = np.log((1 + sum(counts.values())) / (1 + document_frequencies(known, bits=bits))) + 1
+    number = {v: k for k, v in enumerate(languages)}
 
     def featurise(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [grams(t) for t in batch.column(0).to_pylist()]
+        found = [grams(t, bits) for t in batch.column(0).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(1), pa.array([b.astype(np.int32) for b, _ in found], pa.list_(pa.int32())), pa.array([c.astype(np.int32) for _, c in found], pa.list_(pa.int32()))], ["lang", "buckets", "counts"])
 
     def train(batches):
         rows = []
         for batch in batches:
-            for lang, b, c in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
-                b, c = b.values.to_numpy(), c.values.to_numpy()
-                rows.append((languages.index(lang), b, weigh(b, c, idf)))
+            rows += [(number[lang], b.values.to_numpy(), c.values.to_numpy()) for lang, b, c in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2))]
         if not rows:
             return
-        rows.sort(key=lambda r: (r[0], len(r[1]), float(r[2].sum())))  # not by arrival
-        own = [r for i, r in enumerate(rows) if i % CALIBRATION or len(rows) < 50]
-        aside = [r for i, r in enumerate(rows) if not i % CALIBRATION and len(rows) >= 50]
-        weights, bias = fit_ftrl(own, len(languages))
-        logits = np.array([x @ weights[b] + bias for _, b, x in aside]).reshape(len(aside), len(languages))
+        rows.sort(key=lambda r: (r[0], len(r[1]), r[1].tobytes(), r[2].tobytes()))  # not by arrival
+        # the temperature is that of weights which have not seen the rows it is fitted on; then all rows are fitted
+        aside = rows[::CALIBRATION]
+        weights, bias = fit_ftrl([r for i, r in enumerate(rows) if i % CALIBRATION], len(languages), idf)
+        logits = np.array([weigh(b, c, idf) @ weights[b] + bias for _, b, c in aside]).reshape(len(aside), len(languages))
         temperature = fit_temperature(logits, np.array([r[0] for r in aside], dtype=np.int64))
+        weights, bias = fit_ftrl(rows, len(languages), idf)
         yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f8").tobytes()]), pa.array([bias.astype("<f8").tobytes()]), pa.array([temperature])], ["weights", "bias", "temperature"])
 
-    sparse = map_batches(drawn, featurise, "lang string, buckets array<int>, counts array<int>")
+    each = max(2, min(sample, total // len(languages)))
+    sparse = map_batches(drawn_texts(known, each), featurise, "lang string, buckets array<int>, counts array<int>")
     fitted = sparse.repartition(1).mapInArrow(train, "weights binary, bias binary, temperature double").first()
-    if fitted is None:  # no row was drawn
-        return Model([], idf, np.zeros((1 << BITS, 0)), np.zeros(0))
-    weights = np.frombuffer(fitted.weights, dtype="<f8").reshape(1 << BITS, len(languages))
+    weights = np.frombuffer(fitted.weights, dtype="<f8").reshape(1 << bits, len(languages))
     return Model(languages, idf, weights, np.frombuffer(fitted.bias, dtype="<f8"), fitted.temperature)
 
 

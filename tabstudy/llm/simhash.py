@@ -206,6 +206,16 @@ def links(fps: DataFrame, radius: int = 3, tree: int = TREE) -> DataFrame:
     return found
 
 
+def _components(docs: DataFrame, id_col: str, text_col: str, words_per_shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, fp) of all documents, and (fp, component_id, root) of all fingerprints."""
+    marked = materialise(fingerprints(docs, id_col, text_col, words_per_shingle), "fingerprints")
+    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    roots = materialise(connected_components(links(distinct.select("fp"), radius)), "roots")
+    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return marked, named.join(least, "root").select("fp", "component_id", "root")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, radius: int = 3) -> DataFrame:
     """Rows (doc_id, fingerprint, component_id), one for each row of ``docs``.
 
@@ -213,19 +223,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     included. Null and empty texts have fingerprint 0 and link like others. Repeated rows stay repeated. A null doc_id stays null and
     never is the least one; where a component has no other id, component_id is null. Other columns are ignored; an empty table gives an empty one.
     """
-    marked = materialise(fingerprints(docs, id_col, text_col, words_per_shingle), "fingerprints")
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = materialise(connected_components(links(distinct.select("fp"), radius)), "roots")
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    table = named.join(least, "root").select("fp", "component_id")
-    return marked.join(table, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    marked, table = _components(docs, id_col, text_col, words_per_shingle, radius)
+    return marked.join(table.drop("root"), "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
-    """Rows of ``docs`` that are the least doc_id of their component, one row each; all columns stay. Rows without an id are kept once per distinct text."""
-    groups = near_duplicates(docs, id_col, text_col, radius=radius)
-    keepers = groups.where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_keeper_id")).distinct()
-    kept = docs.join(keepers, F.col(id_col).cast("long").eqNullSafe(F.col("_keeper_id")), "left_semi")
-    order = Window.partitionBy(F.col(id_col).cast("long"), F.when(F.col(id_col).isNull(), F.xxhash64(text_col))).orderBy(F.xxhash64(text_col), F.length(text_col))
-    return kept.withColumn("_row_in_id", F.row_number().over(order)).where("_row_in_id = 1").drop("_row_in_id")
+    """One row of each component of ``docs``, one with the least doc_id, all columns kept.
+
+    Among rows of that id in the component the one whose text has the least hash stays; a component without any id keeps one row likewise.
+    Rows that share an id but lie in different components each stand for their own. Null and empty texts form a component; an empty
+    table gives an empty one.
+    """
+    marked, table = _components(docs, id_col, text_col, 3, radius)
+    # of each component one fingerprint: the least of those with the least id
+    own = marked.distinct().join(table, "fp").where(F.col("component_id").eqNullSafe(F.col("doc_id")))
+    keepers = own.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("k")).select(F.col("k.doc_id").alias("_keeper_id"), F.col("k.fp").alias("_keeper_fp"))
+    times = marked.groupBy("doc_id").agg(F.count("*").alias("_times"))
+    keepers = materialise(keepers.join(times, keepers["_keeper_id"].eqNullSafe(times["doc_id"])).drop("doc_id"), "keepers")
+    same = lambda k: F.col(id_col).cast("long").eqNullSafe(k["_keeper_id"])
+    once, often = keepers.where("_times = 1"), keepers.where("_times > 1")
+    # rows that share an id are told apart by their own fingerprints
+    rows = with_fingerprints(docs.join(often, same(often), "left_semi"), text_col, "_row_fp")
+    kept = rows.join(often, same(often) & (F.col("_row_fp") == often["_keeper_fp"]), "left_semi")
+    order = Window.partitionBy(F.col(id_col).cast("long"), "_row_fp").orderBy(F.xxhash64(text_col), text_col)
+    first = kept.withColumn("_row_of_group", F.row_number().over(order)).where("_row_of_group = 1").select(*docs.columns)
+    return docs.join(once, same(once), "left_semi").union(first)
+
+
+def with_fingerprints(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``docs`` with the fingerprint of each row's text as a further column."""
+    columns, at = docs.columns, docs.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        values = np.array([fingerprint(t) for t in raw_texts(batch.column(at))], dtype=np.uint64)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(values.view(np.int64))], [*columns, name])
+
+    return map_batches(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{name}` long")

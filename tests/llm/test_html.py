@@ -70,7 +70,13 @@ def test_hostile_pages_end(bad):
     assert time.time() - start < 10
 
 
-def test_article_elements_are_one_signal_of_several():
+def test_article_elements_alone_change_nothing(spark, folder):
+    pages = [r.html for r in spark.read.parquet(f"{folder}/pages.parquet").collect()]
+    opened = 0
+    for page in pages:
+        opened += any(html.first_pass(b) == html.OPEN for b in html.blocks(page))
+        assert html.extract(re.sub("(</?)article>", r"\1div>", page)) == html.extract(page)
+    assert opened > len(pages) / 2
     body = "".join(f"<p>{b}</p>" for b in BODY)
     cards = "<article><h3>More news</h3><p>Read on</p></article>"
     assert html.extract(f"<body>{cards}<div>{body}</div></body>").endswith(WANT)
@@ -78,3 +84,14 @@ def test_article_elements_are_one_signal_of_several():
     assert html.extract(f"<body><div>{body}</div>{box}</body>").startswith(WANT)
     links = "<p>" + " ".join(f"<a href='/{i}'>Another story</a>" for i in range(8)) + "</p>"
     assert html.extract(f"<body><article>{body}{links}</article></body>") == WANT
+
+
+def test_open_blocks_take_the_label_of_neighbours():
+    block = lambda text, margin=False, heading=False: html.Block(text, 0, margin, False, heading)
+    good, bad, open_ = html.GOOD, html.BAD, html.OPEN
+    cases = [([good, open_, open_, open_, bad], [good, good, good, bad, bad]), ([bad, open_, good], [bad, good, good]), ([open_, bad, open_], [bad, bad, bad]), ([open_, open_], [good, good])]
+    for labels, want in cases:
+        assert html.second_pass([block("x")] * len(labels), labels) == want
+    # headings look ahead; margin parts are nobody's neighbours
+    assert html.second_pass([block("x"), block("h", heading=True), block("x")], [good, open_, bad]) == [good, bad, bad]
+    assert html.second_pass([block("x"), block("y"), block("m", margin=True)], [good, open_, bad]) == [good, good, bad]

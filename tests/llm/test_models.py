@@ -38,6 +38,44 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in langid.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_more_languages_than_rows_of_one(spark):
+    """Every language is learned, however many there are and however often one text makes up all of it."""
+    word = lambda k: "".join(chr(97 + (k * 7 + j * (k % 11 + 3)) % 26) for j in range(9))
+    rows = [(i, f"{word(k)} {word(k + 1000)} {word(k)}", f"l{k:03}") for i, k in enumerate([k for k in range(300) for _ in range(2)])]
+    rows += [(10_000 + i, "the very same text of one language", "same") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert len(model.languages) == 301 and model.predict("the very same text of one language")[0] == "same"
+    assert np.mean([model.predict(t)[0] == x for _, t, x in rows[:600]]) > 0.9
+    drawn = langid.drawn_texts(df.select("text", "lang"), 5)
+    assert drawn.where("lang = 'same'").count() == 1 and drawn.count() == 301
+
+
+def test_weights_against_a_plain_follow_the_leader():
+    """The same updates one number at a time, on dense rows."""
+    rng = np.random.default_rng(2)
+    idf = rng.uniform(1, 3, 32)
+    rows = [(int(rng.integers(0, 3)), np.sort(rng.choice(32, 6, replace=False)), rng.integers(1, 5, 6)) for _ in range(40)]
+    weights, bias = langid.fit_ftrl(rows, 3, idf, epochs=2)
+    z, n = np.zeros((33, 3)), np.zeros((33, 3))
+    solve = lambda: np.array([[0.0 if abs(z[f, k]) <= langid.L1 else -(z[f, k] - np.sign(z[f, k]) * langid.L1) / ((langid.BETA + n[f, k] ** 0.5) / langid.ALPHA + langid.L2) for k in range(3)] for f in range(33)])
+    for epoch in range(2):
+        for r in np.random.default_rng(epoch).permutation(40):
+            label, at, counts = rows[r]
+            x = np.zeros(33)
+            x[0] = 0.1
+            tfidf = (1 + np.log(counts)) * idf[at]
+            x[at + 1] = tfidf / np.linalg.norm(tfidf)
+            w = solve()
+            p = np.exp(x @ w) / np.exp(x @ w).sum()
+            for f in np.flatnonzero(x):
+                for k in range(3):
+                    g = x[f] * (p[k] - (k == label))
+                    z[f, k] += g - ((n[f, k] + g * g) ** 0.5 - n[f, k] ** 0.5) / langid.ALPHA * w[f, k]
+                    n[f, k] += g * g
+    assert np.allclose(weights, solve()[1:]) and np.allclose(bias, 0.1 * solve()[0])
+
+
 def test_grams_across_chunks(monkeypatch):
     text = "abcdefghij" * 5
     want = langid.grams(text)

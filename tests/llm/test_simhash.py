@@ -94,3 +94,12 @@ def test_one_row_of_each_group(docs):
     long = " ".join(f"word{i}" for i in range(60))
     rows = [(4, long), (2, long), (2, long), (9, "other words entirely in here"), (None, None)]
     assert sorted((r.doc_id or 0) for r in simhash.one_per_group(docs(rows, ["_x"])).collect()) == [0, 2, 9]
+
+
+def test_shared_ids_and_missing_ids(docs):
+    """Texts that share an id but not a group each stand for their own; a copy without an id goes where its group has one."""
+    one, two, three = (" ".join(f"{x}{i}" for i in range(60)) for x in ("one", "two", "three"))
+    rows = [(1, one), (1, two), (1, two), (2, two), (3, three), (None, three), (None, one + " x"), (None, "alone and without any id at all"), (None, "alone and without any id at all")]
+    out = sorted(((r.doc_id, r.text) for r in simhash.one_per_group(docs(rows, ["_x", "fp"])).collect()), key=repr)
+    assert out == sorted([(1, one), (1, two), (3, three), (None, "alone and without any id at all")], key=repr)
+    assert simhash.one_per_group(docs([])).count() == 0
