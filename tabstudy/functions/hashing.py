@@ -40,6 +40,14 @@ def mix(key: Column, seed) -> Column:
         ((x * x) % MODULUS + F.shiftright(x, ROUND_SHIFT) * ROUND_MULTIPLIER + o) % MODULUS).cast("bigint"))
 
 
+def mixed(key: int, seed: int) -> int:
+    """``mix`` of a number on the driver."""
+    x = ((key % MODULUS + (key >> FOLD_SHIFT) % MODULUS * FOLD_MULTIPLIER) % MODULUS * START[0] + seed * START[1] + START[2]) % MODULUS
+    for offset in ROUND_OFFSETS:
+        x = (x * x % MODULUS + (x >> ROUND_SHIFT) * ROUND_MULTIPLIER + offset) % MODULUS
+    return x
+
+
 def uniform(key: Column, seed) -> Column:
     return mix(key, seed) / F.lit(float(MODULUS))
 

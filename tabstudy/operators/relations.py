@@ -7,10 +7,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.gram import covariance, grams, means_of, solve_ols
+from ..functions.gram import covariance, doubles, grams, means_of, pairwise_correlations, solve_ols
 from ..functions.pvalues import normal_ppf
 from ..functions.quantiles import exact_quantiles, quantile_values
 from . import features as FE
@@ -18,8 +19,6 @@ from . import hypothesis as H
 from .audit import box_by_tertile, box_summary
 from .columns import is_categorical, is_numeric, numeric_names, per_column
 
-PAIRS_PER_SCAN = 1000
-
 
 def _d(c: str) -> Column:
     return F.col(c).cast("double")
@@ -28,18 +27,13 @@ def _d(c: str) -> Column:
 # ---- correlation -------------------------------------------------------------------------------
 
 def correlations(df: DataFrame, cols: Sequence[str] | None = None, method: str = "pearson") -> DataFrame:
-    """(a, b, r, n) for every pair, on rows complete in that pair; a thousand pairs share a scan."""
+    """(a, b, r, n) for every pair, on rows complete in that pair: one scan whatever the number of columns."""
     cols = list(cols or numeric_names(df))
-    pairs = list(combinations(cols, 2))
     if method == "spearman":
-        return H.rank_correlations(df, pairs)
-    out = None
-    for start in range(0, len(pairs), PAIRS_PER_SCAN):
-        cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(_d(a), _d(b)).alias("r"), F.count(F.when(F.col(a).isNotNull(), F.col(b))).alias("n"))
-                 for a, b in pairs[start:start + PAIRS_PER_SCAN]]
-        part = df.agg(F.array(*cells).alias("_s")).select(F.inline("_s"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        return H.rank_correlations(df, list(combinations(cols, 2)))
+    r, n = pairwise_correlations(df, cols)
+    rows = [(a, b, None if np.isnan(r[i, j]) else float(r[i, j]), int(n[i, j])) for (i, a), (j, b) in combinations(enumerate(cols), 2)]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, r double, n long")
 
 
 def top_pairs(table: DataFrame, top: int | None = None, threshold: float | None = None) -> DataFrame:
@@ -183,17 +177,17 @@ def influence(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
     Leverage is a quadratic form in a small fixed matrix, evaluated row by row.
     """
     rows, _, shift, g = ols(df, target, cols)
-    inverse = np.linalg.pinv(g[:-1, :-1])
-    parts = [F.lit(1.0), *[F.col(c) - F.lit(float(s)) for c, s in zip(cols, shift)]]
-    h = F.lit(0.0)
-    for i, a in enumerate(parts):
-        inner = F.lit(0.0)
-        for j, b in enumerate(parts):
-            inner = inner + F.lit(float(inverse[i, j])) * b
-        h = h + a * inner
-    k, n = len(parts), float(g[0, 0])
+    inverse, own = np.linalg.pinv(g[:-1, :-1]), np.array(shift[:len(cols)], dtype=float)
+    k, n = len(cols) + 1, float(g[0, 0])
+
+    def leverage(batches):
+        for batch in batches:
+            for part, x in doubles(batch):
+                z = np.column_stack([np.ones(len(x)), x[:, 1:] - own])
+                yield pa.RecordBatch.from_arrays([pa.array(np.einsum("ij,ij->i", z @ inverse, z)), part.column(0)], ["h", "residual"])
+
     mse = rows.agg(F.avg(F.col("residual") * F.col("residual"))).first()[0] + 1e-12
-    scored = rows.select(h.alias("h"), "residual")
+    scored = rows.select("residual", *[_d(c).alias(f"_{i}") for i, c in enumerate(cols)]).mapInArrow(leverage, "h double, residual double")
     cook = F.col("residual") * F.col("residual") / F.lit(k * mse) * (F.col("h") / ((1 - F.col("h")) * (1 - F.col("h"))))
     return scored.withColumn("cook", cook).agg(F.count(F.lit(1)).alias("n"), F.max("h").alias("max_leverage"), F.max("cook").alias("max_cooks"),
                                                F.count_if(F.col("h") > F.lit(2 * k / n)).alias("high_leverage"), F.count_if(F.col("cook") > 1).alias("high_cooks"))
@@ -221,14 +215,11 @@ def vif(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     live = d > 0
     corr = c[np.ix_(live, live)] / np.outer(d[live], d[live])
     values = np.full(len(cols), np.nan)
-    if np.linalg.matrix_rank(corr) < corr.shape[0]:
-        # Exactly dependent columns: a column is infinite when leaving it out keeps the rank.
-        rank = np.linalg.matrix_rank(corr)
-        inner = np.diag(np.linalg.pinv(corr))
-        keep = [np.linalg.matrix_rank(np.delete(np.delete(corr, i, 0), i, 1)) < rank for i in range(len(corr))]
-        values[live] = [inner[i] if k else np.inf for i, k in enumerate(keep)]
-    else:
-        values[live] = np.diag(np.linalg.inv(corr))
+    e, v = np.linalg.eigh(corr) if len(corr) else (np.zeros(0), np.zeros((0, 0)))
+    null = e <= len(corr) * np.finfo(float).eps * max(e.max(initial=0), 1.0)
+    # exactly dependent columns are those that take part in a vector which the matrix sends to zero
+    inner = (v[:, ~null] ** 2 / e[~null]).sum(axis=1)
+    values[live] = np.where(np.abs(v[:, null]).max(axis=1, initial=0) > 1e-7, np.inf, inner)
     rows = [(c, float(v) if np.isfinite(v) else INFINITE_VIF) for c, v in zip(cols, values)]
     return df.sparkSession.createDataFrame(rows, "feature string, vif double")
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.gram import covariance, grams, lasso, means_of, solve_ols, squared_error
-from ..functions.hashing import mix, row_key
+from ..functions.hashing import mix, mixed, row_key
+from ..functions.logistic import logistic_fits
+from ..functions.storage import written
 from . import hypothesis as H
 from .columns import numeric_names, per_column
 from .features import standardised
@@ -70,16 +70,61 @@ def lasso_path(df: DataFrame, target: str, features: Sequence[str], id_col: str,
     return df.sparkSession.createDataFrame(rows, "penalty double, feature string, coefficient double, cv_error double, best boolean, selected boolean")
 
 
-def lasso_logistic(df: DataFrame, target: str, features: Sequence[str], strength: float = 1.0) -> DataFrame:
-    """(feature, coefficient, selected) of an L1 logistic fit with inverse penalty C."""
-    names = list(features)
-    work = _scaled(df, target, names, []).persist()
-    names = [c for c in work.columns if c != target]
-    n = work.count()
-    rows = VectorAssembler(inputCols=names, outputCol="_v").transform(work)
-    model = LogisticRegression(featuresCol="_v", labelCol=target, elasticNetParam=1.0, regParam=1.0 / (n * strength), standardization=False).fit(rows)
-    work.unpersist()
-    return df.sparkSession.createDataFrame([(c, float(b), abs(float(b)) > 1e-10) for c, b in zip(names, model.coefficients)], "feature string, coefficient double, selected boolean")
+def _classes(df: DataFrame, target: str, names: Sequence[str], id_col: str) -> tuple[DataFrame, list[str], list]:
+    """Written table of (id, target as 0/1, standardised features), the names that vary, and both classes in order."""
+    labels = sorted(r[0] for r in df.where(F.col(target).isNotNull()).select(target).distinct().limit(3).collect())
+    if len(labels) != 2:
+        raise ValueError(f"{target} has {'more than two classes' if len(labels) > 2 else 'one class'}; pass one class against the rest as 0 and 1")
+    coded = df.where(F.col(target).isNotNull()).withColumn(target, (F.col(target) == F.lit(labels[1])).cast("int"))
+    work = _scaled(coded, target, list(names), [id_col])
+    return work, [c for c in work.columns if c not in (id_col, target)], labels
+
+
+def lasso_class_path(df: DataFrame, target: str, features: Sequence[str], id_col: str, penalties: int = 30, folds: int = 5, seed: int = 42) -> DataFrame:
+    """(penalty, feature, coefficient, cv_error, best, selected) of logistic fits along log-spaced L1 penalties of the mean log loss.
+
+    ``target`` has two classes; cv_error is the mean log loss on the folds left out. All folds and penalties take their steps from the same scans.
+    """
+    work, names, _ = _classes(df, target, features, id_col)
+    work, _path = written(hash_folds(work, folds, id_col, seed), "class_rows")
+    mean = means_of(work, [target])[0]
+    g = grams(work, [*names, target], [0.0] * len(names) + [float(mean)])[None]
+    top = float(np.max(np.abs(g[1:-1, -1] / max(g[0, 0], 1.0)), initial=0.0)) or 1.0
+    grid = np.logspace(np.log10(top), np.log10(top * 1e-3), penalties)
+    uses = np.vstack([np.ones((1, folds), dtype=bool), ~np.eye(folds, dtype=bool)])
+    start = np.zeros(((folds + 1) * penalties, len(names) + 1))
+    start[:, 0] = np.log(mean / (1 - mean))
+    fits = logistic_fits(work, names, target, "fold", np.repeat(uses, penalties, axis=0), np.tile(grid, folds + 1), np.zeros((folds + 1) * penalties), start=start)
+    sizes = {r.fold: r.n for r in work.groupBy("fold").agg(F.count("*").alias("n")).collect()}
+    weights = np.array([sizes.get(f, 0) for f in range(folds)], dtype=float)
+    losses = np.nan_to_num(fits.held_out_loss[penalties:].reshape(folds, penalties))
+    errors = weights @ losses / weights.sum()
+    best = int(np.argmin(errors))
+    beta = fits.coefficients[:penalties, 1:]
+    rows = [(float(lam), c, float(b), float(errors[i]), i == best, bool(i == best and abs(b) > 1e-10)) for i, lam in enumerate(grid) for c, b in zip(names, beta[i])]
+    return df.sparkSession.createDataFrame(rows, "penalty double, feature string, coefficient double, cv_error double, best boolean, selected boolean")
+
+
+def eliminate_classes(df: DataFrame, target: str, features: Sequence[str], id_col: str, folds: int = 5, seed: int = 42, ridge: float = 1.0) -> DataFrame:
+    """As ``recursive_elimination`` for two classes: logistic fits with a ridge penalty on the summed loss, the fold error is the mean log loss."""
+    work, names, _ = _classes(df, target, features, id_col)
+    work, _path = written(hash_folds(work, folds, id_col, seed), "class_rows")
+    sizes = {r.fold: r.n for r in work.groupBy("fold").agg(F.count("*").alias("n")).collect()}
+    weights = np.array([sizes.get(f, 0) for f in range(folds)], dtype=float)
+    uses = np.vstack([np.ones((1, folds), dtype=bool), ~np.eye(folds, dtype=bool)])
+    penalty = ridge / np.maximum(uses @ weights, 1.0)
+    left, history, start = list(range(len(names))), [], None
+    while left:
+        free = np.zeros((folds + 1, len(names)), dtype=bool)
+        free[:, left] = True
+        fits = logistic_fits(work, names, target, "fold", uses, np.zeros(folds + 1), penalty, free, start)
+        error = float(np.nan_to_num(fits.held_out_loss[1:]) @ weights / weights.sum())
+        weakest = min(left, key=lambda f: abs(fits.coefficients[0, f + 1]))
+        history.append((weakest, error, list(left)))
+        left.remove(weakest)
+        start = fits.coefficients.copy()
+        start[:, weakest + 1] = 0.0
+    return _elimination_table(df, names, history)
 
 
 def recursive_elimination(df: DataFrame, target: str, features: Sequence[str], id_col: str, folds: int = 5, seed: int = 42, ridge: float = 1.0) -> DataFrame:
@@ -100,6 +145,10 @@ def recursive_elimination(df: DataFrame, target: str, features: Sequence[str], i
         weakest = left[int(np.argmin(np.abs(beta)))]
         history.append((weakest, float(error), list(left)))
         left.remove(weakest)
+    return _elimination_table(df, names, history)
+
+
+def _elimination_table(df: DataFrame, names: Sequence[str], history: list[tuple[int, float, list[int]]]) -> DataFrame:
     best = min(history, key=lambda h: (h[1], len(h[2])))[2]
     dropped = [h[0] for h in history]
     rows = [(names[f], 1 if f in best else len(names) - dropped.index(f) - len(best) + 1, history[dropped.index(f)][1], f in best) for f in range(len(names))]
@@ -120,20 +169,37 @@ def univariate(df: DataFrame, target: str, features: Sequence[str], task: str =
     return H.adjust_bh(scored, alpha=alpha) if correction == "bh" else H.adjust_bonferroni(scored, alpha=alpha)
 
 
-def stability(df: DataFrame, target: str, features: Sequence[str], id_col: str, rounds: int = 100, threshold: float = 0.6, penalty: float = 0.01, seed: int = 42) -> DataFrame:
-    """(feature, probability, selected): how often L1 keeps a feature on hash-defined half samples.
+def _halves(buckets: int, rounds: int, seed: int) -> np.ndarray:
+    """(rounds x buckets): which buckets each half sample takes, by the portable hash."""
+    return np.array([[mixed(b, r + seed) % 2 == 1 for b in range(buckets)] for r in range(rounds)])
 
-    Rows meet each round inside one aggregate; the hundred fits then work on small matrices.
+
+def stability(df: DataFrame, target: str, features: Sequence[str], id_col: str, rounds: int = 100, threshold: float = 0.6, penalty: float = 0.01, seed: int = 42, task: str = "regression", buckets: int = 1024) -> DataFrame:
+    """(feature, probability, selected): how often L1 keeps a feature on half samples of the hash buckets that rows fall in.
+
+    One scan sums a matrix for each bucket; a half sample is the sum of its buckets' matrices. For two classes each scan gives all half
+    samples their Newton step. ``penalty`` is that of the mean squared error halved, or of the mean log loss.
     """
-    work = _scaled(df, target, list(features), [id_col])
-    names = [c for c in work.columns if c not in (id_col, target)]
-    shift = [0.0] * len(names) + [float(means_of(work, [target])[0])]
-    base = work.withColumn("_k", row_key(work, id_col)).withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    half = base.withColumn("_w", (mix(F.col("_k"), F.col("_round") + seed) % 2).cast("double"))
-    hits = np.zeros(len(names))
-    for g in grams(half, [*names, target], shift, "_round", F.col("_w")).values():
-        cov, xy, _ = _parts(g)
-        hits += np.abs(lasso(cov, xy, penalty)) > 1e-10
+    if task == "regression":
+        work = _scaled(df, target, list(features), [id_col])
+        names = [c for c in work.columns if c not in (id_col, target)]
+    else:
+        work, names, _ = _classes(df, target, features, id_col)
+    work = work.withColumn("_bucket", (mix(row_key(work, id_col), seed) % buckets).cast("int"))
+    halves = _halves(buckets, rounds, seed)
+    if task == "regression":
+        shift = [0.0] * len(names) + [float(means_of(work, [target])[0])]
+        cells = grams(work, [*names, target], shift, "_bucket")
+        hits = np.zeros(len(names))
+        for half in halves:
+            own = [g for b, g in cells.items() if half[b]]
+            if own:
+                cov, xy, _ = _parts(sum(own))
+                hits += np.abs(lasso(cov, xy, penalty)) > 1e-10
+    else:
+        table, _path = written(work, "class_rows")
+        fits = logistic_fits(table, names, target, "_bucket", halves, np.full(rounds, penalty), np.zeros(rounds))
+        hits = (np.abs(fits.coefficients[:, 1:]) > 1e-10).sum(axis=0)
     rows = [(c, float(h / rounds), bool(h / rounds >= threshold)) for c, h in zip(names, hits)]
     return df.sparkSession.createDataFrame(rows, "feature string, probability double, selected boolean")
 

@@ -4,6 +4,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from ..functions.hashing import mix_sql, uniform_sql
 from ..operators import evaluate as E
 from ..operators import explain as X
 from ..operators import features as FE
@@ -197,9 +198,46 @@ def _(t):
     return SE.lasso_path(priced(t), "amount", SF, "id")
 
 
-@query("sel_lasso_class")
+# One 0/1 feature: the optimality conditions fix how far the fitted rates stand from the observed ones.
+HOT = f"{PR}, hot AS (SELECT id, (p_size > 25)::INTEGER AS big, (l_quantity * p_retailprice * (1 - l_discount) + l_tax * 10000 + l_extendedprice / 10 > 40000)::INTEGER AS hot FROM pr)"
+BIG = f"""{HOT}, z AS (SELECT 1 / sqrt(avg(big) * (1 - avg(big))) AS d, count(*) AS n FROM hot), f AS (SELECT floor({uniform_sql('id', 42)} * 5)::INTEGER AS fold, big, hot FROM hot),
+  c AS (SELECT fold, big, count(*) AS n, sum(hot) AS y FROM f GROUP BY ALL), m AS (SELECT k AS model, big, sum(n) FILTER (fold <> k) AS n, sum(y) FILTER (fold <> k) AS y, coalesce(sum(n) FILTER (fold = k), 0) AS hn, coalesce(sum(y) FILTER (fold = k), 0) AS hy FROM c, (VALUES (-1), (0), (1), (2), (3), (4)) v(k) GROUP BY ALL),
+  w AS (SELECT model, sum(n) AS n, max(n) FILTER (big = 1) AS nb, max(n) FILTER (big = 0) AS na, max(y) FILTER (big = 1) AS yb, max(y) FILTER (big = 0) AS ya, sum(y) AS y, max(hn) FILTER (big = 1) AS hnb, max(hn) FILTER (big = 0) AS hna, max(hy) FILTER (big = 1) AS hyb, max(hy) FILTER (big = 0) AS hya FROM m GROUP BY 1),
+  t AS (SELECT (SELECT d FROM z) AS d, abs(yb - nb * y / n::DOUBLE) * (SELECT d FROM z) / n AS top FROM w WHERE model = -1), g AS (SELECT i, top * 10 ** (-3.0 * i / 29) AS lam, d FROM t, range(30) r(i)),
+  q AS (SELECT w.*, g.*, yb - nb * y / n::DOUBLE AS most, n * lam / d AS least FROM w, g), e AS (SELECT *, CASE WHEN abs(most) <= least THEN most ELSE sign(most) * least END AS rb FROM q),
+  p AS (SELECT *, (yb - rb) / nb AS pb, (ya + rb) / na AS pa FROM e),
+  o AS (SELECT i, sum(-hyb * ln(pb) - (hnb - hyb) * ln(1 - pb) - hya * ln(pa) - (hna - hya) * ln(1 - pa)) / sum(hnb + hna) AS err FROM p WHERE model >= 0 GROUP BY 1)"""
+
+
+@query("sel_lasso_class", f"WITH {BIG} SELECT {r('lam', 8)} AS penalty, 'big' AS feature, {r('CASE WHEN abs(most) <= least THEN 0 ELSE (ln(pb / (1 - pb)) - ln(pa / (1 - pa))) / d END', 5)} AS coefficient, {r('err', 6)} AS cv_error FROM p JOIN o USING (i) WHERE model = -1")
+def _(t):
+    big = hot(t).withColumn("big", (F.col("p_size") > 25).cast("int"))
+    return rounded(SE.lasso_class_path(big, "hot", ["big"], "id").select("penalty", "feature", "coefficient", "cv_error"), {"penalty": 8, "coefficient": 5, "cv_error": 6})
+
+
+@query("sel_lasso_class_path")
+def _(t):
+    return SE.lasso_class_path(hot(t), "hot", SF, "id")
+
+
+@query("sel_rfe_class")
+def _(t):
+    return SE.eliminate_classes(hot(t), "hot", SF, "id")
+
+
+@query("sel_stability_class")
+def _(t):
+    return SE.stability(hot(t), "hot", SF, "id", rounds=30, task="classification")
+
+
+# One feature is kept where its covariance with the target passes the penalty.
+STAB = f"""{PR}, s AS (SELECT (p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER () AS x, l_extendedprice AS y, {mix_sql('id', 42)} % 64 AS b FROM pr), c AS (SELECT b, count(*) AS n, sum(x) AS sx, sum(y - 30000) AS sy, sum(x * (y - 30000)) AS sxy FROM s GROUP BY 1),
+  h AS (SELECT rd, sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxy) AS sxy FROM c, range(40) r(rd) WHERE {mix_sql('b', '(rd + 42)')} % 2 = 1 GROUP BY 1)"""
+
+
+@query("sel_stability_one", f"WITH {STAB} SELECT 'p_size' AS feature, {r('avg((abs(sxy / n - sx / n * sy / n) > 60)::INTEGER)')} AS probability FROM h")
 def _(t):
-    return SE.lasso_logistic(hot(t), "hot", SF)
+    return rounded(SE.stability(priced(t), "l_extendedprice", ["p_size"], "id", rounds=40, penalty=60.0, buckets=64).select("feature", "probability"), {"probability": 6})
 
 
 @query("sel_rfe")
