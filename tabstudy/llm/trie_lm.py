@@ -1,6 +1,6 @@
 """Language-model scores from Elias-Fano tries of word pairs and triples.
 
-Words are numbered within blocks of documents. The pairs of a block, with their counts in training texts, go to parts of the key space;
+Words are numbered by falling count, so that counts are a step function of the numbers and need not travel with them. The pairs of a block of documents, with their counts in training texts, go to parts of the key space;
 each part adds them up, lays smoothed, quantised probabilities out as a trie, and answers the block's pairs from it. Triples follow
 under the pairs that were found at least twice. Probabilities take the shorter context as a Dirichlet prior: (count + weight * p(shorter)) /
 (count of the context + weight), so each context's sum is one before quantisation.
@@ -9,6 +9,7 @@ under the pairs that were found at least twice. Probabilities take the shorter c
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +17,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _Numbers, crc_remainder, discard, materialise, raw_texts, runs, slices
+from .common import _Numbers, crc_remainder, discard, materialise, raw_texts, slices
 from .elias_fano import Trie
-from .grams import BLOCK, SHIFT, dealt, merged_parts, n_parts, pack, parts_of, summed, unpack, vocabulary, wide_rows, with_totals, word_totals
+from .grams import BLOCK, SHIFT, dealt, merged_parts, n_parts, occurrences, pack, parts_of, summed, unpack, wide_rows
 
 FOLDS, HELD_OUT = 10, 0
 ADDED = 0.1  # to the count of each word
@@ -80,108 +81,165 @@ def _blocks(docs: DataFrame, folds: int, held_out: int, id_col: str, text_col: s
     return rows.mapInArrow(run, "block long, ids binary, words array<binary>, counts array<bigint>, doc_ids array<bigint>, lengths array<bigint>, training array<boolean>, tokens long")
 
 
+@dataclass
+class Counts:
+    """Training counts of words by their number: ``c[i]`` for numbers from ``first[i]`` on. There are fewer than sqrt(2 N) + 1 steps, as different counts add up to N at most."""
+
+    first: np.ndarray
+    c: np.ndarray
+    tokens: int
+    words: int
+
+    def of(self, gid: np.ndarray) -> np.ndarray:
+        """Counts, 0 for the number -1 of words without any."""
+        if not len(self.first):
+            return np.zeros(len(gid), dtype=np.int64)
+        return np.where(gid < 0, 0, self.c[np.searchsorted(self.first, gid, "right") - 1])
+
+    def floor(self, c: np.ndarray) -> np.ndarray:
+        """Probability of a word with this count, whatever stands before it."""
+        return (c + ADDED) / (self.tokens + ADDED * (self.words + 1))
+
+
+def ranked_words(blocks: DataFrame, parts: int) -> tuple[DataFrame, Counts]:
+    """Rows (word, gid) of training words, numbered by falling count, and their counts."""
+    counted = materialise(occurrences(blocks).groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "word_counts")
+    order = [F.desc("c"), F.col("word")]
+    placed = materialise(counted.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("word", "c", F.monotonically_increasing_id().alias("at")), "word_places")
+    discard(counted)
+    part, row = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = {r.part: r.n for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # one for each task
+    before, offsets = 0, []
+    for k in range(max(sizes, default=-1) + 1):
+        offsets.append(before)
+        before += sizes.get(k, 0)
+    numbered = placed.select("word", "c", (F.get(F.array(*[F.lit(o).cast("long") for o in offsets or [0]]), part.cast("int")) + row).alias("gid"))
+    steps = sorted((r.gid, r.c, r.n) for r in numbered.groupBy("c").agg(F.min("gid").alias("gid"), F.count("*").alias("n")).collect())
+    return numbered.select("word", "gid"), Counts(np.array([g for g, _, _ in steps], dtype=np.int64), np.array([c for _, c, _ in steps], dtype=np.int64), sum(c * n for _, c, n in steps), before)
+
+
 class Block:
     """Tokens of a block with what is known of their words; words are renumbered in order of their gid, so that pairs are sorted by those too."""
 
-    def __init__(self, ids: bytes, vocab: pa.Scalar, lengths: pa.Scalar, training: pa.Scalar):
+    def __init__(self, ids: bytes, vocab: pa.Scalar, lengths: pa.Scalar, training: pa.Scalar, counts: Counts):
         t = unpack(ids)[0]
         n = int(t.max()) + 1
-        gid, c = vocabulary(vocab, n)
+        gid = np.full(n, -1, dtype=np.int64)
+        if vocab.is_valid and len(vocab.values):
+            gid[vocab.values.field(0).to_numpy(zero_copy_only=False)] = vocab.values.field(1).to_numpy(zero_copy_only=False)
         order = np.argsort(np.where(gid < 0, np.iinfo(np.int64).max, gid), kind="stable")
         number = np.empty(n, dtype=np.int64)
         number[order] = np.arange(n)
-        self.t, self.gid, self.c = number[t], gid[order], c[order]
+        self.t, self.gid = number[t], gid[order]
+        self.c = counts.of(self.gid)
+        self.floor = counts.floor(self.c)
         self.before = np.concatenate([number[:1], self.t[:-1]])
         lengths = lengths.values.to_numpy(zero_copy_only=False).astype(np.int64)
         self.start = np.cumsum(lengths) - lengths
         self.train = np.repeat(training.values.to_numpy(zero_copy_only=False).astype(bool), lengths)
-        # pairs of known words
-        self.at = np.flatnonzero((self.c[self.t] > 0) & (self.c[self.before] > 0))
+        # pairs of known words: known ones have the least numbers
+        known = int((self.gid >= 0).sum())
+        self.at = np.flatnonzero((self.t < known) & (self.before < known))
         self.keys, self.pair = np.unique(self.before[self.at] << SHIFT | self.t[self.at], return_inverse=True)
         self.x, self.y = self.keys >> SHIFT, self.keys & ((1 << SHIFT) - 1)
 
-    def pair_runs(self, parts: int, floor: Callable[[np.ndarray], np.ndarray]) -> Iterator[tuple[int, bytes]]:
-        n = np.bincount(self.pair, weights=self.train[self.at], minlength=len(self.keys)).astype(np.int64)
+    def pair_runs(self, parts: int) -> Iterator[tuple[int, bytes]]:
+        n = np.bincount(self.pair[self.train[self.at]], minlength=len(self.keys))
         x, y = self.gid[self.x], self.gid[self.y]
-        return dealt(parts_of(x, y, parts), x, y, n, self.c[self.x], quantised(floor(self.c[self.y])))
-
-    def take_pairs(self, replies: list[tuple[int, bytes]], parts: int, floor: Callable[[np.ndarray], np.ndarray]) -> None:
-        """Probability of each token after the word before it (p), and count and id of the pair (n, pair id)."""
-        code, n, ident = _ordered(replies, parts_of(self.gid[self.x], self.gid[self.y], parts))
-        first = floor(self.c[self.y])
-        own = np.where(code > 0, probability(code), PRIOR2 / (self.c[self.x] + PRIOR2) * first)
-        self.p = np.where(self.c[self.before] > 0, PRIOR2 / (self.c[self.before] + PRIOR2), 1.0) * floor(self.c[self.t])
+        return dealt(parts_of(x, y, parts), x, y, n)
+
+    def take_pairs(self, replies: list[tuple[int, bytes]], parts: int) -> None:
+        """Probability of each token after the word before it (p), and count and id of the pairs that training texts repeat."""
+        part = parts_of(self.gid[self.x], self.gid[self.y], parts)
+        order = np.argsort(part, kind="stable")
+        columns = [_split(r) for _, r in sorted(replies)]
+        code, n, ident = np.zeros(len(part), dtype=np.int64), np.zeros(len(part), dtype=np.int64), np.full(len(part), -1, dtype=np.int64)
+        if columns:
+            code[order] = np.concatenate([c[0][0] for c in columns])
+            many = order[np.concatenate([c[0][1] for c in columns]) > 0]
+            n[many], ident[many] = (np.concatenate([c[1][k] for c in columns]) for k in (0, 1))
+        own = np.where(code > 0, probability(code), PRIOR2 / (self.c[self.x] + PRIOR2) * self.floor[self.y])
+        of_before = self.c[self.before]
+        self.p = np.where(of_before > 0, PRIOR2 / (of_before + PRIOR2), 1.0) * self.floor[self.t]
         self.p[self.at] = own[self.pair]
-        self.n, self.ident = np.zeros(len(self.t), dtype=np.int64), np.full(len(self.t), -1, dtype=np.int64)
-        self.n[self.at], self.ident[self.at] = n[self.pair], ident[self.pair]
         # triples: known words after a pair that training texts repeat, within one text
-        context = np.concatenate([[0], self.n[:-1]])
-        context[self.start] = 0
-        self.context = context
-        self.triple_at = np.flatnonzero((context >= REPEATED) & (self.c[self.t] > 0))
-        x, y = self.ident[self.triple_at - 1], self.t[self.triple_at]
-        order = np.lexsort((y, x))
-        cut = runs(x[order], y[order])[:-1] if len(order) else order
-        number = np.zeros(len(order), dtype=np.int64)
-        number[cut] = 1
-        self.triple = np.empty(len(order), dtype=np.int64)
-        self.triple[order] = np.cumsum(number) - 1
-        self.triple_first = self.triple_at[order[cut]]  # a place of each triple
-        self.tx, self.ty = x[order[cut]], self.gid[y[order[cut]]]
+        before = np.full(len(self.t) + 1, -1, dtype=np.int64)  # place among the pairs of the two words before a token
+        before[self.at + 1] = self.pair
+        before = before[:-1]
+        before[self.start] = -1
+        self.context = np.where(before >= 0, n[before], 0)
+        self.triple_at = np.flatnonzero((self.context >= REPEATED) & (self.c[self.t] > 0))
+        number = np.cumsum(n >= REPEATED) - 1  # of the repeated pairs
+        keys, first, self.triple = np.unique(number[before[self.triple_at]] << SHIFT | self.t[self.triple_at], return_index=True, return_inverse=True)
+        self.triple_first = self.triple_at[first]  # a place of each triple
+        self.tx, self.ty = ident[before[self.triple_first]], self.gid[keys & ((1 << SHIFT) - 1)]
 
     def triple_runs(self, parts: int) -> Iterator[tuple[int, bytes]]:
-        n = np.bincount(self.triple, weights=self.train[self.triple_at], minlength=len(self.tx)).astype(np.int64)
+        n = np.bincount(self.triple[self.train[self.triple_at]], minlength=len(self.tx))
         return dealt(parts_of(self.tx, self.ty, parts), self.tx, self.ty, n, self.context[self.triple_first], quantised(self.p[self.triple_first]))
 
     def take_triples(self, replies: list[tuple[int, bytes]], parts: int) -> None:
-        code = _ordered(replies, parts_of(self.tx, self.ty, parts))[0]
+        code = np.zeros(len(self.tx), dtype=np.int64)
+        if replies:
+            code[np.argsort(parts_of(self.tx, self.ty, parts), kind="stable")] = np.concatenate([_split(r)[0][0] for _, r in sorted(replies)])
         unknown = np.flatnonzero((self.context >= REPEATED) & (self.c[self.t] == 0))
         self.p[unknown] *= PRIOR3 / (self.context[unknown] + PRIOR3)
         prior = PRIOR3 / (self.context[self.triple_at] + PRIOR3)
         self.p[self.triple_at] = np.where(code[self.triple] > 0, probability(code[self.triple]), prior * self.p[self.triple_at])
 
 
-def _ordered(replies: list[tuple[int, bytes]], part: np.ndarray) -> list[np.ndarray]:
-    """Columns of all replies in the order of the rows that were dealt out."""
-    if not replies:
-        return [np.zeros(0, dtype=np.int64)] * 3
-    order = np.argsort(part, kind="stable")
-    out = []
-    for column in zip(*(unpack(r) for _, r in sorted(replies))):
-        values = np.empty(len(part), dtype=np.int64)
-        values[order] = np.concatenate(column)
-        out.append(values)
+def _joined(*packed: bytes) -> bytes:
+    return b"".join(len(b).to_bytes(8, "little") + b for b in packed)
+
+
+def _split(joined: bytes) -> list[list[np.ndarray]]:
+    out, at = [], 0
+    while at < len(joined):
+        n = int.from_bytes(joined[at:at + 8], "little")
+        out.append(unpack(joined[at + 8:at + 8 + n]))
+        at += 8 + n
     return out
 
 
-def _answer(prior: float):
-    """Add up a part's runs (x, y, n, count of x, code of the shorter context), build its trie, and answer each run with (code, n, id)."""
+def _answer(prior: float, counts: Counts | None, part_of: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+    """Add up a part's runs (x, y, n), build its trie, and answer each run with codes and, of pairs, the counts and ids of those that repeat.
+
+    The counts of contexts and the probabilities of the shorter context come from ``counts``, or without it as further columns of the runs.
+    """
 
     def merge(blocks: list[int], own: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         x, y, n, place = summed(own)
-        some = np.empty(len(x), dtype=np.int64)
-        some[place] = np.arange(len(place))
-        of_x, shorter = (np.concatenate([r[k] for r in own])[some] for k in (3, 4))
+        if counts is None:
+            some = np.empty(len(x), dtype=np.int64)
+            some[place] = np.arange(len(place))
+            of_x, shorter = (np.concatenate([r[k] for r in own])[some] for k in (3, 4))
+            shorter = probability(shorter)
+        else:
+            of_x, shorter = counts.of(x), counts.floor(counts.of(y))
         known = n > 0
-        value = quantised((n[known] + prior * probability(shorter[known])) / (of_x[known] + prior))
-        levels = Trie.build(x[known], y[known], value)
+        levels = Trie.build(x[known], y[known], quantised((n[known] + prior * shorter[known]) / (of_x[known] + prior)))
         code = Trie.mapped(levels).find(x, y)
         ident = (TaskContext.get().partitionId() << 40) + merge.done + np.arange(len(x))
         merge.done += len(x)
-        part, at = int(merge.part(x[:1], y[:1])[0]), 0
+        part, at = int(part_of(x[:1], y[:1])[0]), 0
         for b, r in zip(blocks, own):
             mine = place[at:at + len(r[0])]
             at += len(r[0])
-            yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([part]), pa.array([pack(code[mine], n[mine], ident[mine])], pa.binary())], ["block", "part", "reply"])
+            many = n[mine] >= REPEATED
+            reply = _joined(pack(code[mine])) if counts is None else _joined(pack(code[mine], many), pack(n[mine][many], ident[mine][many]))
+            yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([part]), pa.array([reply], pa.binary())], ["block", "part", "reply"])
 
     merge.done = 0
     return merge
 
 
-def _answered(run_rows: DataFrame, parts: int, prior: float, name: str) -> DataFrame:
-    merge = _answer(prior)
-    merge.part = lambda x, y: parts_of(x, y, parts)
-    return materialise(merged_parts(run_rows, parts, merge, "block long, part long, reply binary"), name).groupBy("block").agg(F.collect_list(F.struct("part", "reply")).alias(name))
+def _answered(run_rows: DataFrame, parts: int, prior: float, counts: Counts | None, name: str) -> DataFrame:
+    merge = _answer(prior, counts, lambda x, y: parts_of(x, y, parts))
+    return materialise(merged_parts(run_rows, parts, merge, "block long, part long, reply binary"), name)
+
+
+def _by_block(replies: DataFrame, name: str) -> DataFrame:
+    return replies.groupBy("block").agg(F.collect_list(F.struct("part", "reply")).alias(name))
 
 
 def _replies(column: pa.Array, i: int) -> list[tuple[int, bytes]]:
@@ -201,13 +259,10 @@ def text_scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, i
     blocks = materialise(_blocks(docs, folds, held_out, id_col, text_col), "text_blocks")
     parts = n_parts(blocks.agg(F.sum("tokens")).first()[0] or 0)
     with wide_rows(spark):
-        totals = materialise(word_totals(blocks, 1), "word_totals")
-        words, tokens = totals.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-        known = materialise(with_totals(blocks, totals, "ids", "doc_ids", "lengths", "training"), "known_blocks")
-        discard(blocks, totals)
-
-        def floor(c: np.ndarray) -> np.ndarray:
-            return (c + ADDED) / (tokens + ADDED * (words + 1))
+        ranked, counts = ranked_words(blocks, parts)
+        found = occurrences(blocks).join(ranked, "word").groupBy("block").agg(F.collect_list(F.struct("pos", "gid")).alias("vocab"))
+        known = materialise(blocks.select("block", "ids", "doc_ids", "lengths", "training").join(found, "block", "left"), "known_blocks")
+        discard(blocks)
 
         def rows(block: int, dealt_out: Iterator[tuple[int, bytes]]) -> pa.RecordBatch:
             out = list(dealt_out)
@@ -215,34 +270,36 @@ def text_scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, i
 
         def opened(batch: pa.RecordBatch) -> Iterator[tuple[int, Block]]:
             for i in range(batch.num_rows):
-                yield i, Block(batch.column(1)[i].as_py(), *(batch.column(k)[i] for k in (2, 3, 4)))
+                yield i, Block(batch.column(1)[i].as_py(), *(batch.column(k)[i] for k in (2, 3, 4)), counts)
 
         def pair_level(batches):
             for batch in batches:
                 for i, own in opened(batch):
-                    yield rows(batch.column(0)[i].as_py(), own.pair_runs(parts, floor))
+                    yield rows(batch.column(0)[i].as_py(), own.pair_runs(parts))
 
         columns, kind = ["block", "ids", "vocab", "lengths", "training"], "part long, block long, run binary"
-        pairs = _answered(known.select(*columns).mapInArrow(pair_level, kind), parts, PRIOR2, "pair_replies")
+        pair_table = _answered(known.select(*columns).mapInArrow(pair_level, kind), parts, PRIOR2, counts, "pair_replies")
+        pairs = _by_block(pair_table, "pair_replies")
 
         def triple_level(batches):
             for batch in batches:
                 for i, own in opened(batch):
-                    own.take_pairs(_replies(batch.column(5), i), parts, floor)
+                    own.take_pairs(_replies(batch.column(5), i), parts)
                     yield rows(batch.column(0)[i].as_py(), own.triple_runs(parts))
 
-        triples = _answered(known.join(pairs, "block", "left").select(*columns, "pair_replies").mapInArrow(triple_level, kind), parts, PRIOR3, "triple_replies")
+        triple_table = _answered(known.join(pairs, "block", "left").select(*columns, "pair_replies").mapInArrow(triple_level, kind), parts, PRIOR3, None, "triple_replies")
+        triples = _by_block(triple_table, "triple_replies")
 
         def score(batches):
             for batch in batches:
                 for i, own in opened(batch):
-                    own.take_pairs(_replies(batch.column(5), i), parts, floor)
+                    own.take_pairs(_replies(batch.column(5), i), parts)
                     own.take_triples(_replies(batch.column(6), i), parts)
                     c = own.c[own.t]
                     per_text = lambda v, at=own.start: np.add.reduceat(v, at)
-                    yield pa.RecordBatch.from_arrays([batch.column(7)[i].values, batch.column(4)[i].values, pa.array(per_text(np.ones(len(c), dtype=np.int64))), pa.array(per_text((c > 0).astype(np.int64))), pa.array(per_text(np.log10(floor(c)))), pa.array(per_text(np.log10(own.p)))], ["doc_id", "training", "n_tokens", "n_known", "base_score", "score"])
+                    yield pa.RecordBatch.from_arrays([batch.column(7)[i].values, batch.column(4)[i].values, pa.array(per_text(np.ones(len(c), dtype=np.int64))), pa.array(per_text((c > 0).astype(np.int64))), pa.array(per_text(np.log10(counts.floor(c)))), pa.array(per_text(np.log10(own.p)))], ["doc_id", "training", "n_tokens", "n_known", "base_score", "score"])
 
         found = known.join(pairs, "block", "left").join(triples, "block", "left").select(*columns, "pair_replies", "triple_replies", "doc_ids")
         done = materialise(found.mapInArrow(score, "doc_id long, training boolean, n_tokens long, n_known long, base_score double, score double"), "text_scores")
-    discard(known)
-    return done.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    discard(known, pair_table, triple_table)
+    return done.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", F.lit(counts.tokens).cast("long").alias("train_tokens"), "base_score", "score")
