@@ -167,7 +167,7 @@ class Block:
         before[self.at + 1] = self.pair
         before = before[:-1]
         before[self.start] = -1
-        self.context = np.where(before >= 0, n[before], 0)
+        self.context = np.append(n, 0)[before]
         self.triple_at = np.flatnonzero((self.context >= REPEATED) & (self.c[self.t] > 0))
         number = np.cumsum(n >= REPEATED) - 1  # of the repeated pairs
         keys, first, self.triple = np.unique(number[before[self.triple_at]] << SHIFT | self.t[self.triple_at], return_index=True, return_inverse=True)
