@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 
 from ..functions import pvalues as P
 from ..functions.hashing import FOLD_MULTIPLIER, FOLD_SHIFT, MODULUS, POISSON_CDF, ROUND_DIVISOR, ROUND_MULTIPLIER, ROUND_OFFSETS, START, row_key
-from ..functions.quantiles import exact_quantiles, quantile_values
+from ..functions.quantiles import exact_quantiles, quantile_values, select_ranks
 from ..functions.ranking import running_totals
+from ..functions.resample import replicate_auc, replicate_medians, replicate_sums
 
 
 def _num(c: str) -> Column:
@@ -287,17 +288,17 @@ def bootstrap_regression(df: DataFrame, id_col: str, y: str = "y", pred: str = "
     """(by..., replicate, rmse, mae, r2).  ``centre`` near the mean of y keeps the sums of squares accurate."""
     by = list(by)
     e = _num(y) - _num(pred)
-    work = df.select(*by, id_col, e.alias("_e"), (_num(y) - F.lit(centre)).alias("_y"))
-    rows = with_replicates(work, id_col, replicates)
-    w = F.col("w")
-    sums = rows.groupBy(*by, "replicate").agg(F.sum("w").alias("sw"), F.sum(w * F.col("_e") * F.col("_e")).alias("see"), F.sum(w * F.abs("_e")).alias("sae"),
-                                             F.sum(w * F.col("_y")).alias("sy"), F.sum(w * F.col("_y") * F.col("_y")).alias("syy"))
+    c = _num(y) - F.lit(centre)
+    sums = replicate_sums(df, row_key(df, id_col), [F.lit(1.0), e * e, F.abs(e), c, c * c], replicates, by).withColumnsRenamed({f"s{i}": n for i, n in enumerate(("sw", "see", "sae", "sy", "syy"))})
     return _regression_from_sums(sums, [*by, "replicate"])
 
 
 def bootstrap_median_ae(df: DataFrame, id_col: str, y: str = "y", pred: str = "pred", replicates: int = 200, by: Sequence[str] = ()) -> DataFrame:
     """(by..., replicate, median_ae): weighted median of absolute errors."""
     by = list(by)
+    if not by:
+        values = replicate_medians(df, row_key(df, id_col), F.abs(_num(y) - _num(pred)), replicates)
+        return df.sparkSession.createDataFrame([(b, None if v != v else float(v)) for b, v in enumerate(values)], "replicate int, median_ae double")
     rows = with_replicates(df.select(*by, id_col, F.abs(_num(y) - _num(pred)).alias("_a")), id_col, replicates)
     keys = [*by, "replicate"]
     cum = running_totals(rows.groupBy(*keys, "_a").agg(F.sum("w").alias("n")), "_a", ["n"], keys)
@@ -312,9 +313,9 @@ def bootstrap_median_ae(df: DataFrame, id_col: str, y: str = "y", pred: str = "p
 def bootstrap_classification(df: DataFrame, id_col: str, y: str = "y", pred: str = "pred", replicates: int = 200, by: Sequence[str] = ()) -> DataFrame:
     """(by..., replicate, accuracy, f1): weighted confusion counts per replicate."""
     by = list(by)
-    rows = with_replicates(df.select(*by, id_col, F.col(y).cast("string").alias("a"), F.col(pred).cast("string").alias("p")), id_col, replicates)
+    rows = df.select(*by, row_key(df, id_col).alias("_key"), F.col(y).cast("string").alias("a"), F.col(pred).cast("string").alias("p"))
     keys = [*by, "replicate"]
-    cells = rows.groupBy(*keys, "a", "p").agg(F.sum("w").alias("n"))
+    cells = replicate_sums(rows, F.col("_key"), [F.lit(1.0)], replicates, [*by, "a", "p"]).select(*keys, "a", "p", F.col("s0").cast("bigint").alias("n"))
     sides = F.array(F.struct(F.col("a").alias("label"), F.when(F.col("a") == F.col("p"), F.col("n")).otherwise(0).alias("hit"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("called")),
                     F.struct(F.col("p").alias("label"), F.lit(0).cast("bigint").alias("hit"), F.lit(0).cast("bigint").alias("support"), F.col("n").alias("called")))
     per = cells.select(*keys, F.explode(sides).alias("s")).select(*keys, "s.*").groupBy(*keys, "label").agg(*[F.sum(c).cast("double").alias(c) for c in ("hit", "support", "called")])
@@ -323,30 +324,51 @@ def bootstrap_classification(df: DataFrame, id_col: str, y: str = "y", pred: str
 
 
 def bootstrap_auc(df: DataFrame, id_col: str, y: str = "y", score: str = "proba", replicates: int = 200, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., replicate, auc)."""
+    if not by:
+        values = replicate_auc(df, row_key(df, id_col), y, score, replicates)
+        return df.sparkSession.createDataFrame([(b, None if v != v else float(v)) for b, v in enumerate(values)], "replicate int, auc double")
     rows = with_replicates(df.select(*by, id_col, y, score), id_col, replicates)
     return ranking_metrics(rows, y, score, [*by, "replicate"], "w").select(*by, "replicate", "auc")
 
 
-# Fixed value: the corrected quantiles are kept this far from 0 and 1.
-QUANTILE_FLOOR = 0.001
-
-
 def bca_interval(estimate: float, boots: Sequence[float], a: float, level: float = 0.95) -> tuple[float, float]:
-    """Bias-corrected and accelerated interval from replicate values and the acceleration ``a``."""
-    b = np.asarray([x for x in boots if x is not None and x == x])
-    z0 = P.normal_ppf(float(np.mean(b < estimate)))
-    z0 = 0.0 if math.isinf(z0) else z0
-
-    def share(z):
-        s = z0 + z
-        return P.normal_cdf(z0 + s / (1 - a * s)) if 1 - a * s else 0.5
-
-    alpha = 1 - level
-    cuts = [min(1 - QUANTILE_FLOOR, max(QUANTILE_FLOOR, share(P.normal_ppf(q)))) for q in (alpha / 2, 1 - alpha / 2)]
-    low, high = np.percentile(b, [c * 100 for c in cuts])
+    """Interval between two quantiles of the replicates, each moved by the bias and the acceleration ``a``.
+
+    The bias is the normal score of the share of replicates below the estimate, ties counted half. Where it is infinite, or a moved
+    score has passed the pole of the transform, the quantile is the end that it tends to.
+    """
+    b = np.array([x for x in boots if x is not None and x == x], dtype=float)
+    if not len(b):
+        return math.nan, math.nan
+    bias = P.normal_ppf(below_share(estimate, b))
+
+    def place(q: float) -> float:
+        moved = bias + P.normal_ppf(q)
+        if math.isinf(moved):
+            return 0.0 if moved < 0 else 1.0
+        room = 1 - a * moved
+        return P.normal_cdf(bias + moved / room) if room > 0 else float(moved > 0)
+
+    low, high = np.quantile(b, [place((1 - level) / 2), place((1 + level) / 2)])
     return float(low), float(high)
 
 
+def below_share(estimate: float, boots: np.ndarray) -> float:
+    """Share of replicates below the estimate, those equal to it counted half."""
+    return float((np.sum(boots < estimate) + np.sum(boots == estimate) / 2) / len(boots))
+
+
+def acceleration(left_out: Sequence[tuple[float, float]]) -> float:
+    """From (leave-one-out value, number of rows that have it)."""
+    value, n = (np.array(v, dtype=float) for v in zip(*left_out)) if left_out else (np.zeros(0), np.zeros(0))
+    if not n.sum():
+        return 0.0
+    d = (value * n).sum() / n.sum() - value
+    spread = (n * d * d).sum()
+    return float((n * d ** 3).sum() / (6 * spread ** 1.5)) if spread > 0 else 0.0
+
+
 def accelerations(df: DataFrame, left_out: Mapping[str, Column]) -> dict[str, float]:
     """Acceleration of each metric from its leave-one-out values of all rows, given as expressions on a row and the totals."""
     means = df.agg(*[F.avg(c).alias(m) for m, c in left_out.items()]).first()
@@ -355,28 +377,102 @@ def accelerations(df: DataFrame, left_out: Mapping[str, Column]) -> dict[str, fl
     return {m: sums[m].d3 / (6.0 * sums[m].d2 ** 1.5) if sums[m].d2 else 0.0 for m in left_out}
 
 
-def bootstrap_intervals(df: DataFrame, id_col: str, y: str = "y", pred: str = "pred", replicates: int = 1000, level: float = 0.95) -> DataFrame:
-    """(metric, estimate, ci_lower, ci_upper) of rmse, mae and r2.
-
-    The acceleration uses the leave-one-out values of all rows, each the totals minus one row.
+def _median_left_out(df: DataFrame, value: Column) -> tuple[float, list[tuple[float, float]]]:
+    """Median, and its leave-one-out values: they are means of the order statistics around the middle."""
+    long = df.select(F.lit("v").alias("column"), value.cast("double").alias("value")).where("value is not null and not isnan(value)")
+    n = long.count()
+    if n < 2:
+        return (long.first()["value"] if n else math.nan), []
+    m = n // 2
+    ranks = {r for r in (m - 1, m, m + 1) if 0 <= r < n}
+    x = select_ranks(long, {("v",): ranks}, [])[("v",)]
+    if n % 2 == 0:
+        return (x[m - 1] + x[m]) / 2, [(x[m], m), (x[m - 1], m)]
+    return x[m], [((x[m] + x[m + 1]) / 2, m), ((x[m - 1] + x[m + 1]) / 2, 1), ((x[m - 1] + x[m]) / 2, m)]
+
+
+def _class_scores(cells: dict[tuple, float]) -> dict[str, float]:
+    """Accuracy and support-weighted F1 of counts by (actual, predicted)."""
+    n = sum(cells.values())
+    labels = {x for pair in cells for x in pair}
+    support = {v: sum(k for (a, _), k in cells.items() if a == v) for v in labels}
+    called = {v: sum(k for (_, p), k in cells.items() if p == v) for v in labels}
+    f1 = sum(2 * cells.get((v, v), 0) / (support[v] + called[v]) * support[v] for v in labels if support[v] + called[v])
+    return {"accuracy": sum(cells.get((v, v), 0) for v in labels) / n, "f1": f1 / n}
+
+
+def _class_left_out(df: DataFrame, y: str, pred: str) -> tuple[dict[str, float], dict[str, float]]:
+    """Accuracy and F1, and their accelerations: every row of a cell leaves the same counts behind."""
+    rows = df.groupBy(F.col(y).cast("string").alias("a"), F.col(pred).cast("string").alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+    cells = {(r.a, r.p): r.n for r in rows}
+    if sum(cells.values()) < 2:
+        return (_class_scores(cells) if cells else {}), {"accuracy": 0.0, "f1": 0.0}
+    without = {c: _class_scores({**cells, c: n - 1}) for c, n in cells.items()}
+    return _class_scores(cells), {m: acceleration([(without[c][m], n) for c, n in cells.items()]) for m in ("accuracy", "f1")}
+
+
+def _auc_left_out(df: DataFrame, y: str, score: str) -> tuple[float, float]:
+    """AUC and its acceleration from placement values: a row leaves with the pairs that it wins or loses."""
+    cells = df.where(F.col(y).isNotNull() & F.col(score).isNotNull()).groupBy(_num(score).alias("s")).agg(F.sum(_num(y)).alias("pos"), F.count(F.lit(1)).cast("double").alias("n"))
+    cells = cells.withColumn("neg", F.col("n") - F.col("pos")).select("s", "pos", "neg")
+    p, n = cells.agg(F.sum("pos"), F.sum("neg")).first()
+    if not p or not n or p < 2 or n < 2:
+        return math.nan, 0.0
+    cum = running_totals(cells, "s", ["pos", "neg"])
+    won = F.col("cum_neg") - F.col("neg") / 2  # negatives below a positive
+    lost = F.lit(p) - F.col("cum_pos") + F.col("pos") / 2  # positives above a negative
+    pairs = cum.agg(F.sum(F.col("pos") * won)).first()[0]
+    auc = pairs / (p * n)
+    dp, dn = (pairs - won) / ((p - 1) * n) - F.lit(auc), (pairs - lost) / (p * (n - 1)) - F.lit(auc)
+    m = cum.agg(*[F.sum(F.col("pos") * dp ** k + F.col("neg") * dn ** k).alias(f"m{k}") for k in (1, 2, 3)]).first()
+    total = p + n
+    mean = m.m1 / total
+    spread = m.m2 - total * mean ** 2
+    third = -(m.m3 - 3 * mean * m.m2 + 2 * total * mean ** 3)
+    return auc, (third / (6 * spread ** 1.5) if spread > 0 else 0.0)
+
+
+def bootstrap_intervals(df: DataFrame, id_col: str, y: str = "y", pred: str = "pred", replicates: int = 1000, level: float = 0.95, task: str = "regression", score: str | None = None) -> DataFrame:
+    """(metric, estimate, ci_lower, ci_upper, below, acceleration): rmse, mae, r2, median_ae; for classes accuracy, f1, and auc where ``score`` is given (0/1 classes).
+
+    below is the share of replicates below the estimate. The acceleration uses the leave-one-out values of all rows, none of which is refitted:
+    they are totals minus a row, order statistics next to the median, cells less one, and placement values.
     """
+    if task == "regression":
+        estimate, bend, boots = _regression_parts(df, id_col, y, pred, replicates)
+    else:
+        estimate, bend = _class_left_out(df, y, pred)
+        table = bootstrap_classification(df, id_col, y, pred, replicates).collect()
+        boots = {m: [r[m] for r in table] for m in ("accuracy", "f1")}
+        if score is not None:
+            estimate["auc"], bend["auc"] = _auc_left_out(df, y, score)
+            boots["auc"] = list(replicate_auc(df, row_key(df, id_col), y, score, replicates))
+    rows = []
+    for m, value in estimate.items():
+        known = np.array([b for b in boots[m] if b is not None and b == b], dtype=float)
+        rows.append((m, float(value), *bca_interval(value, known, bend[m], level), below_share(value, known) if len(known) else None, float(bend[m])))
+    return df.sparkSession.createDataFrame(rows, "metric string, estimate double, ci_lower double, ci_upper double, below double, acceleration double")
+
+
+def _regression_parts(df: DataFrame, id_col: str, y: str, pred: str, replicates: int) -> tuple[dict, dict, dict]:
+    """Estimates, accelerations and replicate values of the regression metrics."""
+    df = df.where(_num(y).isNotNull() & _num(pred).isNotNull())
     n_y = df.agg(F.avg(_num(y))).first()[0] or 0.0
     e, c = _num(y) - _num(pred), _num(y) - F.lit(n_y)
     t = df.agg(F.count(e).alias("n"), F.sum(e * e).alias("see"), F.sum(F.abs(e)).alias("sae"), F.sum(c).alias("sy"), F.sum(c * c).alias("syy")).first()
-
-    def metrics(n, see, sae, sy, syy):
-        return {"rmse": math.sqrt(see / n), "mae": sae / n, "r2": 1 - see / (syy - sy * sy / n)}
-
-    estimate = metrics(t.n, t.see, t.sae, t.sy, t.syy)
+    if not t.n:
+        return {}, {}, {}
+    spread = t.syy - t.sy * t.sy / t.n
+    estimate = {"rmse": math.sqrt(t.see / t.n), "mae": t.sae / t.n, "r2": 1 - t.see / spread if spread else math.nan}
     n1, see = F.lit(float(max(t.n - 1, 1))), F.lit(t.see) - e * e
-    left_out = {"rmse": F.sqrt(F.greatest(see, F.lit(0.0)) / n1), "mae": (F.lit(t.sae) - F.abs(e)) / n1,
-                "r2": 1 - F.try_divide(see, F.lit(t.syy) - c * c - (F.lit(t.sy) - c) * (F.lit(t.sy) - c) / n1)}
-    bend = accelerations(df, left_out)
-    boots = bootstrap_regression(df, id_col, y, pred, replicates, centre=n_y).collect()
-    rows = []
-    for m, value in estimate.items():
-        rows.append((m, value, *bca_interval(value, [b[m] for b in boots], bend[m], level)))
-    return df.sparkSession.createDataFrame(rows, "metric string, estimate double, ci_lower double, ci_upper double")
+    bend = accelerations(df, {"rmse": F.sqrt(F.greatest(see, F.lit(0.0)) / n1), "mae": (F.lit(t.sae) - F.abs(e)) / n1,
+                              "r2": 1 - F.try_divide(see, F.lit(t.syy) - c * c - (F.lit(t.sy) - c) * (F.lit(t.sy) - c) / n1)})
+    estimate["median_ae"], left_out = _median_left_out(df, F.abs(e))
+    bend["median_ae"] = acceleration(left_out)
+    table = bootstrap_regression(df, id_col, y, pred, replicates, centre=n_y).collect()
+    boots = {m: [r[m] for r in table] for m in ("rmse", "mae", "r2")}
+    boots["median_ae"] = list(replicate_medians(df, row_key(df, id_col), F.abs(e), replicates))
+    return estimate, bend, boots
 
 
 def percentile_intervals(boots: DataFrame, metrics: Sequence[str], by: Sequence[str] = (), level: float = 0.95) -> DataFrame:

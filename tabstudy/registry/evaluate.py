@@ -194,6 +194,52 @@ def _(t):
     return E.bootstrap_intervals(scores(t), "id", replicates=200)
 
 
+# What the intervals are made of: estimate, share of replicates below it, acceleration from leave-one-out values.
+def _bend(metric, value, source):
+    return f"SELECT '{metric}' AS metric, sum((m - {value}) ** 3) / (6 * sum((m - {value}) ** 2) ** 1.5) AS bend FROM (SELECT *, avg({value}) OVER () AS m FROM {source})"
+
+
+def _below(metric, estimate, boots):
+    return f"SELECT '{metric}' AS metric, (SELECT {metric} FROM {estimate}) AS estimate, avg(CASE WHEN {metric} < (SELECT {metric} FROM {estimate}) THEN 1.0 WHEN {metric} = (SELECT {metric} FROM {estimate}) THEN 0.5 ELSE 0 END) AS below FROM {boots}"
+
+
+REG = f"""{S}, {boot_cte()}, e AS (SELECT abs(y - pred) AS a, y - pred AS e, y FROM s), t AS (SELECT count(*) AS n, sum(e * e) AS see, sum(a) AS sae, sum(y - 250000) AS sy, sum((y - 250000) ** 2) AS syy FROM e),
+  est AS (SELECT sqrt(see / n) AS rmse, sae / n AS mae, 1 - see / (syy - sy * sy / n) AS r2, (SELECT quantile_cont(a, 0.5) FROM e) AS median_ae FROM t),
+  o AS (SELECT a, e, y, row_number() OVER (ORDER BY a) AS k FROM e), x AS (SELECT n, max(a) FILTER (k = n // 2) AS lo, max(a) FILTER (k = n // 2 + 1) AS mid, max(a) FILTER (k = n // 2 + 2) AS hi FROM o, t GROUP BY n),
+  l AS (SELECT sqrt((see - e * e) / (n - 1)) AS rmse, (sae - a) / (n - 1) AS mae, 1 - (see - e * e) / (syy - (y - 250000) ** 2 - (sy - (y - 250000)) ** 2 / (n - 1)) AS r2,
+    CASE WHEN n % 2 = 0 THEN CASE WHEN k <= n // 2 THEN mid ELSE lo END WHEN k <= n // 2 THEN (mid + hi) / 2 WHEN k = n // 2 + 1 THEN (lo + hi) / 2 ELSE (lo + mid) / 2 END AS median_ae FROM o, t JOIN x USING (n)),
+  rb AS (SELECT replicate, sqrt(sum(w * (y - pred) ** 2) / sum(w)) AS rmse, sum(w * abs(y - pred)) / sum(w) AS mae, 1 - sum(w * (y - pred) ** 2) / (sum(w * (y - 250000) ** 2) - sum(w * (y - 250000)) ** 2 / sum(w)) AS r2 FROM w GROUP BY 1),
+  q AS (SELECT replicate, abs(y - pred) AS a, sum(w) AS n FROM w WHERE w > 0 GROUP BY 1, 2), c AS (SELECT *, sum(n) OVER (PARTITION BY replicate ORDER BY a ROWS UNBOUNDED PRECEDING) AS e, sum(n) OVER (PARTITION BY replicate) AS t FROM q),
+  mb AS (SELECT replicate, (max(a) FILTER (e - n <= floor((t - 1) / 2.0) AND floor((t - 1) / 2.0) < e) + max(a) FILTER (e - n <= ceil((t - 1) / 2.0) AND ceil((t - 1) / 2.0) < e)) / 2 AS median_ae FROM c GROUP BY 1)"""
+
+
+@query("ev_boot_bca", f"WITH {REG}, share AS (" + union_sql(["rmse", "mae", "r2", "median_ae"], lambda m: _below(m, "est", "mb" if m == "median_ae" else "rb")) + "), curve AS (" + union_sql(["rmse", "mae", "r2", "median_ae"], lambda m: _bend(m, m, "l"))
+       + f") SELECT metric, {r('estimate', 4)} AS estimate, {r('below', 4)} AS below, {r('bend', 6)} AS acceleration FROM share JOIN curve USING (metric)")
+def _(t):
+    return rounded(E.bootstrap_intervals(scores(t), "id", replicates=B).select("metric", "estimate", "below", "acceleration"), {"estimate": 4, "below": 4, "acceleration": 6})
+
+
+def _weighted_f1(hit, sup, cal):
+    return f"(coalesce(2 * {hit}1 / nullif({sup}1 + {cal}1, 0)::DOUBLE, 0) * {sup}1 + coalesce(2 * {hit}0 / nullif({sup}0 + {cal}0, 0)::DOUBLE, 0) * {sup}0) / ({sup}1 + {sup}0)"
+
+
+CLS = f"""{S}, {boot_cte()}, e AS (SELECT id, b, (proba >= 0.5)::INTEGER AS p, proba FROM s), k AS (SELECT count(*) AS n, count(*) FILTER (b = 1 AND p = 1) AS h1, count(*) FILTER (b = 0 AND p = 0) AS h0, count(*) FILTER (b = 1) AS s1, count(*) FILTER (b = 0) AS s0, count(*) FILTER (p = 1) AS c1, count(*) FILTER (p = 0) AS c0 FROM e),
+  d AS (SELECT proba, sum(b) AS pos, count(*) - sum(b) AS neg FROM e GROUP BY 1), u AS (SELECT *, sum(pos) OVER (ORDER BY proba) AS cp, sum(neg) OVER (ORDER BY proba) AS cn FROM d), g AS (SELECT sum(pos * (cn - neg / 2.0)) AS pairs, sum(pos) AS p, sum(neg) AS n FROM u),
+  est AS (SELECT (h1 + h0) / k.n::DOUBLE AS accuracy, {_weighted_f1('h', 's', 'c')} AS f1, (SELECT pairs / (p * n) FROM g) AS auc FROM k),
+  m AS (SELECT e.b, e.p, proba, h1 - (b = 1 AND e.p = 1)::INTEGER AS h1, h0 - (b = 0 AND e.p = 0)::INTEGER AS h0, s1 - (b = 1)::INTEGER AS s1, s0 - (b = 0)::INTEGER AS s0, c1 - (e.p = 1)::INTEGER AS c1, c0 - (e.p = 0)::INTEGER AS c0 FROM e, k),
+  l AS (SELECT (h1 + h0) / (s1 + s0)::DOUBLE AS accuracy, {_weighted_f1('h', 's', 'c')} AS f1, CASE WHEN m.b = 1 THEN (pairs - (cn - neg / 2.0)) / ((g.p - 1) * g.n) ELSE (pairs - (g.p - cp + pos / 2.0)) / (g.p * (g.n - 1)) END AS auc FROM m JOIN u USING (proba), g),
+  z AS (SELECT replicate, sum(w) FILTER (b = 1 AND proba >= 0.5) AS h1, sum(w) FILTER (b = 0 AND proba < 0.5) AS h0, sum(w) FILTER (b = 1) AS s1, sum(w) FILTER (b = 0) AS s0, sum(w) FILTER (proba >= 0.5) AS c1, sum(w) FILTER (proba < 0.5) AS c0 FROM w GROUP BY 1),
+  rb AS (SELECT replicate, (h1 + h0) / (s1 + s0)::DOUBLE AS accuracy, {_weighted_f1('h', 's', 'c')} AS f1 FROM z),
+  q AS (SELECT replicate, proba, sum(w * b) AS pos, sum(w) AS n FROM w WHERE w > 0 GROUP BY 1, 2), c AS (SELECT *, sum(pos) OVER (PARTITION BY replicate ORDER BY proba DESC ROWS UNBOUNDED PRECEDING) AS cp FROM q), ab AS (SELECT replicate, sum((n - pos) * (cp - pos / 2.0)) / (sum(pos) * sum(n - pos)) AS auc FROM c GROUP BY 1)"""
+
+
+@query("ev_boot_bca_class", f"WITH {CLS}, share AS (" + union_sql(["accuracy", "f1", "auc"], lambda m: _below(m, "est", "ab" if m == "auc" else "rb")) + "), curve AS (" + union_sql(["accuracy", "f1", "auc"], lambda m: _bend(m, m, "l"))
+       + f") SELECT metric, {r('estimate', 6)} AS estimate, {r('below', 4)} AS below, {r('bend', 6)} AS acceleration FROM share JOIN curve USING (metric)")
+def _(t):
+    df = scores(t).withColumn("label", (F.col("proba") >= 0.5).cast("int"))
+    return rounded(E.bootstrap_intervals(df, "id", "b", "label", B, task="classification", score="proba").select("metric", "estimate", "below", "acceleration"), {"estimate": 6, "below": 4, "acceleration": 6})
+
+
 @query("ev_boot_metric", f"WITH {S}, {boot_cte()} SELECT replicate::INTEGER AS replicate, {r('sum(w * abs(y - pred) / y) / sum(w)')} AS metric FROM w GROUP BY 1")
 def _(t):
     share = lambda y, p, w: F.sum(w * F.abs(y - p) / y) / F.sum(w)
