@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.gram import grams, means_of
+from ..functions.storage import written
 from ..functions.hashing import mix, row_key
 from .evaluate import class_metrics, join_groups, ranking_metrics, regression_metrics
 from .features import fit_kmeans
@@ -314,9 +315,10 @@ def probe(df: DataFrame, features: Sequence[str], target: str, task: str, id_col
     keys.append(("rf", {"trees": 10, "depth": 3}))
     try:
         fitted = in_parallel([lambda k=k, p=p: fit(k, train, features, target, task, seed, **p) for k, p in keys])
+        predictions = written(_stack(fitted, test, target, [id_col]), "predictions")[0]
     finally:
         split.unpersist()
-    return score_rows(_stack(fitted, test, target, [id_col]), task, ["model"])
+    return score_rows(predictions, task, ["model"])
 
 
 def with_probs(scored: DataFrame) -> DataFrame:
@@ -342,9 +344,11 @@ def cross_validate(key: str, df: DataFrame, features: Sequence[str], target: str
 
     try:
         parts = in_parallel([lambda i=i: run(i) for i in ids])
+        stacked = written(reduce(DataFrame.unionByName, parts), "fold_predictions")[0] if parts else None
     finally:
         rows.unpersist()
-    stacked = reduce(DataFrame.unionByName, parts)
+    if stacked is None:
+        return df.sparkSession.createDataFrame([], "model string, fold int, score double")
     gap = F.col("y") - F.col("pred")
     score = F.sqrt(F.avg(gap * gap)) if task == "regression" else F.avg((gap == 0).cast("double"))
     return stacked.groupBy("fold").agg(score.alias("score")).select(F.lit(key).alias("model"), "fold", "score")
@@ -384,7 +388,7 @@ def fit_all(df: DataFrame, recipe: Recipe, target: str, task: str, id_col: str,
     """Predictions (model, id, split, y, pred, proba, probs) of many models on a table with a ``split`` column.
 
     Preparation and target transform are learned on training rows only; models that need scaling get it.
-    The table is cached while the fits read it again and again, and released before scoring.
+    The table is cached while the fits and the scoring read it, and released when the predictions, a narrow table, are written.
     """
     held = not df.is_cached
     if held:
@@ -406,21 +410,25 @@ def fit_all(df: DataFrame, recipe: Recipe, target: str, task: str, id_col: str,
 
     try:
         results = in_parallel([lambda k=k: run(k) for k in keys])
+        predictions = written(reduce(DataFrame.unionByName, [r[0] for r in results]), "predictions")[0]
     finally:
         if held:
             df.unpersist()
-    return reduce(DataFrame.unionByName, [r[0] for r in results]), [r[1] for r in results]
+    return predictions, [r[1] for r in results]
 
 
-def external(model: Fitted, prep, table: DataFrame, target: str, id_col: str, replicates: int = 500) -> DataFrame:
-    """Bootstrap intervals of a model on another table, after checking that its columns are there."""
+def external(model: Fitted, prep, table: DataFrame, target: str, id_col: str, replicates: int = 500, task: str = "regression") -> DataFrame:
+    """Bootstrap intervals of a model on another table, after checking that its columns are there; with AUC where a 0/1 class model has a probability."""
     from .evaluate import bootstrap_intervals
 
     wanted = [*prep.recipe.numeric, *prep.recipe.categorical, *prep.recipe.passthrough, target]
     lost = [c for c in wanted if c not in table.columns]
     if lost:
         raise ValueError(f"missing columns: {', '.join(lost)}")
-    scored = model.predict(prep.apply(table)).select(id_col, F.col(target).cast("double").alias("y"), "pred")
-    return bootstrap_intervals(scored, id_col, replicates=replicates)
+    scored = model.predict(prep.apply(table))
+    two = task != "regression" and "proba" in scored.columns
+    scored = written(scored.select(id_col, F.col(target).cast("double").alias("y"), F.col("pred").cast("double").alias("pred"), *(["proba"] if two else [])), "external")[0]
+    has = two and scored.where("proba is not null and y not in (0, 1)").isEmpty() and not scored.where("proba is not null").isEmpty()
+    return bootstrap_intervals(scored, id_col, replicates=replicates, task=task, score="proba" if has else None)
 
 

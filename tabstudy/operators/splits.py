@@ -6,13 +6,14 @@ selection, so the table itself is never sorted or shuffled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.hashing import mix, row_key, uniform
+from ..functions.hashing import MODULUS, mix, row_key, uniform
 from ..functions.quantiles import cut_points
 
 SHARES = (0.7, 0.15, 0.15)
@@ -45,16 +46,50 @@ def random_split(df: DataFrame, id_col: str | None = None, shares: Sequence[floa
     work = df.withColumns({"_h": mix(key, seed), "_i": key})
     n = df.count()
     wanted = [r for r in _ranks(n, shares) if r >= 0]
-    edges = cut_points(work.select("_h", "_i"), ["_h", "_i"], {(): wanted})[()]
+    edges = _hash_edges(work.select("_h", "_i"), {(): wanted}, {(): n})[()]
     train, val = (edges.get(r) for r in _ranks(n, shares))
     return work.withColumn("split", _label(F.col("_h"), F.col("_i"), train, val)).drop("_h", "_i")
 
 
+DEVIATIONS = 8.0  # of the number of hashes below a value; a rank outside them is found by narrowing
+
+
+def _hash_edges(work: DataFrame, ranks: dict[tuple, Sequence[int]], sizes: dict[tuple, int], by: Sequence[str] = ()) -> dict[tuple, dict[int, tuple]]:
+    """Keys (_h, _i) at zero-based ranks of each group. The hash is uniform, so a rank's value is known but for a few standard deviations:
+
+    one scan counts the rows below that bracket and hands over the few in it, about the square root of the group.
+    """
+    by = list(by)
+    rows = []
+    for g, wanted in ranks.items():
+        n = max(sizes[g], 1)
+        for r in sorted(set(wanted)):
+            share, width = (r + 0.5) / n, DEVIATIONS * math.sqrt(max((r + 0.5) * (n - r - 0.5), 1.0)) / n + 2.0 / n
+            rows.append((*g, r, int(max(0.0, share - width) * MODULUS), int(min(1.0, share + width) * MODULUS)))
+    if not rows:
+        return {g: {} for g in ranks}
+    fields = [T.StructField(f"_g{i}", work.schema[c].dataType) for i, c in enumerate(by)] + [T.StructField(c, T.LongType()) for c in ("_rank", "_lo", "_hi")]
+    brackets = F.broadcast(work.sparkSession.createDataFrame(rows, T.StructType(fields)))  # a few rows for each class
+    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]
+    near = work.join(brackets, [*same, F.col("_h") <= F.col("_hi")])
+    inside = F.collect_list(F.when(F.col("_h") >= F.col("_lo"), F.struct("_h", "_i")))
+    found = near.groupBy(*[f"_g{i}" for i in range(len(by))], "_rank").agg(F.count_if(F.col("_h") < F.col("_lo")).alias("below"), inside.alias("inside")).collect()
+    out: dict[tuple, dict[int, tuple]] = {g: {} for g in ranks}
+    for row in found:
+        g, place = tuple(row[f"_g{i}"] for i in range(len(by))), row["_rank"] - row["below"]
+        if 0 <= place < len(row["inside"]):
+            out[g][row["_rank"]] = tuple(sorted((x["_h"], x["_i"]) for x in row["inside"])[place])
+    if lost := {g: [r for r in wanted if r not in out[g]] for g, wanted in ranks.items() if any(r not in out[g] for r in wanted)}:
+        for g, more in cut_points(work.select(*by, "_h", "_i"), ["_h", "_i"], lost, by).items():
+            out[g].update(more)
+    return out
+
+
 def _class_edges(work: DataFrame, target: str, ranks_of) -> DataFrame:
     """One row per class with the boundary keys for its ranks; bounded by the number of classes."""
     sizes = {(r[0],): r[1] for r in work.groupBy(target).agg(F.count(F.lit(1))).collect()}
     ranks = {g: ranks_of(n) for g, n in sizes.items()}
-    edges = cut_points(work.select(target, "_h", "_i"), ["_h", "_i"], {g: sorted({r for r in rs if r >= 0}) for g, rs in ranks.items()}, [target])
+    edges = _hash_edges(work.select(target, "_h", "_i"), {g: sorted({r for r in rs if r >= 0}) for g, rs in ranks.items()}, sizes, [target])
     width = max((len(r) for r in ranks.values()), default=0)
     rows = []
     for g, rs in ranks.items():

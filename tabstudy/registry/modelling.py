@@ -383,6 +383,14 @@ def _(t):
     return M.external(model, prep, rows.where("split = 'test'"), "amount", "id", replicates=100)
 
 
+@query("mdl_external_class")
+def _(t):
+    rows = class_rows(t)
+    prep = P.fit(rows.where("split = 'train'"), P.Recipe(numeric=MF))
+    model = M.fit("logit", prep.apply(rows.where("split = 'train'")), prep.names, "hot", "classification")
+    return M.external(model, prep, rows.where("split = 'test'"), "hot", "id", replicates=100, task="classification")
+
+
 # ---- explanation -------------------------------------------------------------------------------
 
 def linear(t, keep=False):
