@@ -171,8 +171,12 @@ class Block:
         self.triple_at = np.flatnonzero((self.context >= REPEATED) & (self.c[self.t] > 0))
         number = np.cumsum(n >= REPEATED) - 1  # of the repeated pairs
         keys, first, self.triple = np.unique(number[before[self.triple_at]] << SHIFT | self.t[self.triple_at], return_index=True, return_inverse=True)
-        self.triple_first = self.triple_at[first]  # a place of each triple
-        self.tx, self.ty = ident[before[self.triple_first]], self.gid[keys & ((1 << SHIFT) - 1)]
+        tx = ident[before[self.triple_at[first]]]
+        order = np.argsort(tx, kind="stable")  # ids that rise take few bytes
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        self.triple, self.triple_first = place[self.triple], self.triple_at[first[order]]  # a place of each triple
+        self.tx, self.ty = tx[order], self.gid[keys[order] & ((1 << SHIFT) - 1)]
 
     def triple_runs(self, parts: int) -> Iterator[tuple[int, bytes]]:
         n = np.bincount(self.triple[self.train[self.triple_at]], minlength=len(self.tx))
