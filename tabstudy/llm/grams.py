@@ -100,9 +100,14 @@ def parts_of(x: np.ndarray, y: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
 
 
+def by_part(part: np.ndarray) -> np.ndarray:
+    """Order of rows by part, stable; short numbers are sorted by digits instead of comparisons."""
+    return np.argsort(part.astype(np.uint16) if part.max(initial=0) < 1 << 16 else part, kind="stable")
+
+
 def dealt(part: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """(part, packed columns) of each part, in the given order of rows."""
-    order = np.argsort(part, kind="stable")
+    order = by_part(part)
     part = part[order]
     cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1)) if len(part) else np.zeros(0, dtype=np.int64)
     columns = tuple(c[order] for c in columns)
@@ -136,7 +141,9 @@ def merged_parts(runs: DataFrame, parts: int, merge: Callable[[list[int], list[l
 def summed(own: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs of runs (x, y, n, ...) in order with their sums, and for each row of all runs the place of its pair."""
     x, y, n = (np.concatenate([r[k] for r in own]) for k in range(3))
-    order = np.lexsort((y, x))
+    bits = int(y.max(initial=0)).bit_length()
+    fits = len(x) and min(x.min(), y.min()) >= 0 and int(x.max()).bit_length() + bits < 64
+    order = np.argsort(x << bits | y) if fits else np.lexsort((y, x))
     xs, ys = x[order], y[order]
     new = np.ones(len(x), dtype=bool)
     new[1:] = (xs[1:] != xs[:-1]) | (ys[1:] != ys[:-1])

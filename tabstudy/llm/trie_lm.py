@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import _Numbers, crc_remainder, discard, materialise, raw_texts, slices
 from .elias_fano import Trie
-from .grams import BLOCK, SHIFT, dealt, merged_parts, n_parts, occurrences, pack, parts_of, summed, unpack, wide_rows
+from .grams import BLOCK, SHIFT, by_part, dealt, merged_parts, n_parts, occurrences, pack, parts_of, summed, unpack, wide_rows
 
 FOLDS, HELD_OUT = 10, 0
 ADDED = 0.1  # to the count of each word
@@ -118,29 +118,42 @@ def ranked_words(blocks: DataFrame, parts: int) -> tuple[DataFrame, Counts]:
     return numbered.select("word", "gid"), Counts(np.array([g for g, _, _ in steps], dtype=np.int64), np.array([c for _, c, _ in steps], dtype=np.int64), sum(c * n for _, c, n in steps), before)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, a place of each, and for each row the number of its key."""
+    order = np.argsort(keys)
+    own = keys[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = own[1:] != own[:-1]
+    number = np.empty(len(keys), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    return own[new], order[new], number
+
+
+def renumbered(ids: bytes, vocab: pa.Scalar) -> tuple[bytes, bytes]:
+    """Tokens of a block numbered by the rising gid of their words, and those gids; all words without one share the next number."""
+    t = unpack(ids)[0]
+    pos, gid = (vocab.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)) if vocab.is_valid and len(vocab.values) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    order = np.argsort(gid)
+    number = np.full(int(t.max()) + 1, len(gid), dtype=np.int64)
+    number[pos[order]] = np.arange(len(gid))
+    return pack(number[t]), pack(gid[order])
+
+
 class Block:
-    """Tokens of a block with what is known of their words; words are renumbered in order of their gid, so that pairs are sorted by those too."""
-
-    def __init__(self, ids: bytes, vocab: pa.Scalar, lengths: pa.Scalar, training: pa.Scalar, counts: Counts):
-        t = unpack(ids)[0]
-        n = int(t.max()) + 1
-        gid = np.full(n, -1, dtype=np.int64)
-        if vocab.is_valid and len(vocab.values):
-            gid[vocab.values.field(0).to_numpy(zero_copy_only=False)] = vocab.values.field(1).to_numpy(zero_copy_only=False)
-        order = np.argsort(np.where(gid < 0, np.iinfo(np.int64).max, gid), kind="stable")
-        number = np.empty(n, dtype=np.int64)
-        number[order] = np.arange(n)
-        self.t, self.gid = number[t], gid[order]
+    """Tokens of a block with what is known of their words; words are numbered in order of their gid, so that pairs are sorted by those too."""
+
+    def __init__(self, ids: bytes, gids: bytes, lengths: pa.Scalar, training: pa.Scalar, counts: Counts):
+        self.t = unpack(ids)[0]
+        self.gid = np.append(unpack(gids)[0], -1)
+        known = len(self.gid) - 1
         self.c = counts.of(self.gid)
         self.floor = counts.floor(self.c)
-        self.before = np.concatenate([number[:1], self.t[:-1]])
+        self.before = np.concatenate([self.t[-1:], self.t[:-1]])  # the last token is an end, as the one before the first
         lengths = lengths.values.to_numpy(zero_copy_only=False).astype(np.int64)
         self.start = np.cumsum(lengths) - lengths
         self.train = np.repeat(training.values.to_numpy(zero_copy_only=False).astype(bool), lengths)
-        # pairs of known words: known ones have the least numbers
-        known = int((self.gid >= 0).sum())
         self.at = np.flatnonzero((self.t < known) & (self.before < known))
-        self.keys, self.pair = np.unique(self.before[self.at] << SHIFT | self.t[self.at], return_inverse=True)
+        self.keys, _, self.pair = distinct(self.before[self.at] << SHIFT | self.t[self.at])
         self.x, self.y = self.keys >> SHIFT, self.keys & ((1 << SHIFT) - 1)
 
     def pair_runs(self, parts: int) -> Iterator[tuple[int, bytes]]:
@@ -151,7 +164,7 @@ class Block:
     def take_pairs(self, replies: list[tuple[int, bytes]], parts: int) -> None:
         """Probability of each token after the word before it (p), and count and id of the pairs that training texts repeat."""
         part = parts_of(self.gid[self.x], self.gid[self.y], parts)
-        order = np.argsort(part, kind="stable")
+        order = by_part(part)
         columns = [_split(r) for _, r in sorted(replies)]
         code, n, ident = np.zeros(len(part), dtype=np.int64), np.zeros(len(part), dtype=np.int64), np.full(len(part), -1, dtype=np.int64)
         if columns:
@@ -170,7 +183,7 @@ class Block:
         self.context = np.append(n, 0)[before]
         self.triple_at = np.flatnonzero((self.context >= REPEATED) & (self.c[self.t] > 0))
         number = np.cumsum(n >= REPEATED) - 1  # of the repeated pairs
-        keys, first, self.triple = np.unique(number[before[self.triple_at]] << SHIFT | self.t[self.triple_at], return_index=True, return_inverse=True)
+        keys, first, self.triple = distinct(number[before[self.triple_at]] << SHIFT | self.t[self.triple_at])
         tx = ident[before[self.triple_at[first]]]
         order = np.argsort(tx, kind="stable")  # ids that rise take few bytes
         place = np.empty(len(order), dtype=np.int64)
@@ -185,7 +198,7 @@ class Block:
     def take_triples(self, replies: list[tuple[int, bytes]], parts: int) -> None:
         code = np.zeros(len(self.tx), dtype=np.int64)
         if replies:
-            code[np.argsort(parts_of(self.tx, self.ty, parts), kind="stable")] = np.concatenate([_split(r)[0][0] for _, r in sorted(replies)])
+            code[by_part(parts_of(self.tx, self.ty, parts))] = np.concatenate([_split(r)[0][0] for _, r in sorted(replies)])
         unknown = np.flatnonzero((self.context >= REPEATED) & (self.c[self.t] == 0))
         self.p[unknown] *= PRIOR3 / (self.context[unknown] + PRIOR3)
         prior = PRIOR3 / (self.context[self.triple_at] + PRIOR3)
@@ -223,7 +236,7 @@ def _answer(prior: float, counts: Counts | None, part_of: Callable[[np.ndarray,
         known = n > 0
         levels = Trie.build(x[known], y[known], quantised((n[known] + prior * shorter[known]) / (of_x[known] + prior)))
         code = Trie.mapped(levels).find(x, y)
-        ident = (TaskContext.get().partitionId() << 40) + merge.done + np.arange(len(x))
+        ident = (TaskContext.get().partitionId() << 30) + merge.done + np.arange(len(x))
         merge.done += len(x)
         part, at = int(part_of(x[:1], y[:1])[0]), 0
         for b, r in zip(blocks, own):
@@ -265,7 +278,15 @@ def text_scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, i
     with wide_rows(spark):
         ranked, counts = ranked_words(blocks, parts)
         found = occurrences(blocks).join(ranked, "word").groupBy("block").agg(F.collect_list(F.struct("pos", "gid")).alias("vocab"))
-        known = materialise(blocks.select("block", "ids", "doc_ids", "lengths", "training").join(found, "block", "left"), "known_blocks")
+
+        def numbered(batches):
+            for batch in batches:
+                own = [renumbered(batch.column(1)[i].as_py(), batch.column(2)[i]) for i in range(batch.num_rows)]
+                ids, gids = (pa.array([o[k] for o in own], pa.binary()) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), ids, gids, *(batch.column(k) for k in (3, 4, 5))], ["block", "ids", "gids", "lengths", "training", "doc_ids"])
+
+        joined = blocks.select("block", "ids", "doc_ids", "lengths", "training").join(found, "block", "left").select("block", "ids", "vocab", "lengths", "training", "doc_ids")
+        known = materialise(joined.mapInArrow(numbered, "block long, ids binary, gids binary, lengths array<bigint>, training array<boolean>, doc_ids array<bigint>"), "known_blocks")
         discard(blocks)
 
         def rows(block: int, dealt_out: Iterator[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -274,14 +295,14 @@ def text_scores(docs: DataFrame, folds: int = FOLDS, held_out: int = HELD_OUT, i
 
         def opened(batch: pa.RecordBatch) -> Iterator[tuple[int, Block]]:
             for i in range(batch.num_rows):
-                yield i, Block(batch.column(1)[i].as_py(), *(batch.column(k)[i] for k in (2, 3, 4)), counts)
+                yield i, Block(batch.column(1)[i].as_py(), batch.column(2)[i].as_py(), batch.column(3)[i], batch.column(4)[i], counts)
 
         def pair_level(batches):
             for batch in batches:
                 for i, own in opened(batch):
                     yield rows(batch.column(0)[i].as_py(), own.pair_runs(parts))
 
-        columns, kind = ["block", "ids", "vocab", "lengths", "training"], "part long, block long, run binary"
+        columns, kind = ["block", "ids", "gids", "lengths", "training"], "part long, block long, run binary"
         pair_table = _answered(known.select(*columns).mapInArrow(pair_level, kind), parts, PRIOR2, counts, "pair_replies")
         pairs = _by_block(pair_table, "pair_replies")
 
