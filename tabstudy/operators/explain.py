@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.hashing import mix, row_key
+from ..functions.hashing import mix, mixed, row_key
 from ..functions.quantiles import quantile_values
 from .models import Fitted
 
@@ -23,21 +25,33 @@ def _loss(task: str) -> Column:
 def permutation(model: Fitted, df: DataFrame, target: str, id_col: str, repeats: int = 5, seed: int = 42) -> DataFrame:
     """(feature, importance, std): growth of the loss when a feature is shuffled.
 
-    Rows are dealt into random buckets of bounded size and every row takes the feature from the next
-    row of its bucket in a second random order, which shuffles without a global sort.  All (feature,
-    repeat) copies are then scored in one pass.
+    Rows are dealt once into random buckets of bounded size and stand there in a ring of random order. Each
+    repeat turns the rings by its own shift, so that every row takes the feature from another row; all
+    repeats come from one pass over a bucket, and all (feature, repeat) copies are scored in one pass.
     """
     n = df.count()
     buckets = max(1, -(-n // ROWS_PER_BUCKET))
     features = model.features
-    base = df.select(row_key(df, id_col).alias("_k"), F.col(target).cast("double").alias("_y"), F.struct(*features).alias("_own"))
-    copies = base.withColumn("_repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    copies = copies.withColumn("_b", mix(F.col("_k"), F.col("_repeat") + seed) % buckets).withColumn("_o", mix(F.col("_k"), F.col("_repeat") + (seed + 1000)))
-    ring = Window.partitionBy("_repeat", "_b")
-    order = ring.orderBy("_o", "_k")
-    first = F.first("_own").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    partnered = copies.withColumn("_other", F.coalesce(F.lead("_own").over(order), first))
-    variants = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), *[(F.col(f"_other.{c}") if c == f else F.col(f"_own.{c}")).alias(c) for c in features]) for f in features]))
+    types = {f.name: f.dataType.simpleString() for f in df.select(*features).schema}
+    base = df.select(row_key(df, id_col).alias("_k"), F.col(target).cast("double").alias("_y"), *[F.col(f).alias(f"_own{i}") for i, f in enumerate(features)])
+    dealt = base.withColumns({"_b": mix(F.col("_k"), seed) % buckets, "_o": mix(F.col("_k"), seed + 1000)})
+    shifts = [mixed(i, seed) for i in range(repeats)]
+    names = ["_repeat", "_y", *[f"_own{i}" for i in range(len(features))], *[f"_other{i}" for i in range(len(features))]]
+
+    def turned(ring: pa.Table) -> pa.Table:
+        ring = ring.sort_by([("_o", "ascending"), ("_k", "ascending")])
+        own, m = [ring.column(f"_own{i}") for i in range(len(features))], ring.num_rows
+        parts = []
+        for i, shift in enumerate(shifts):
+            shift = 1 + shift % (m - 1) if m > 1 else 0
+            other = [pa.chunked_array([*c.slice(shift).chunks, *c.slice(0, shift).chunks], c.type) for c in own]
+            parts.append(pa.Table.from_arrays([pa.chunked_array([pa.array(np.full(m, i, dtype=np.int32))]), ring.column("_y"), *own, *other], names))
+        return pa.concat_tables(parts)
+
+    kinds = [types[f] for f in features]
+    schema = ", ".join(f"{c} {k}" for c, k in zip(names, ["int", "double", *kinds, *kinds]))
+    partnered = dealt.groupBy("_b").applyInArrow(turned, schema)
+    variants = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), *[F.col(f"_other{i}" if c == f else f"_own{i}").alias(c) for i, c in enumerate(features)]) for f in features]))
     rows = partnered.select("_repeat", "_y", variants.alias("_r")).select("_repeat", "_y", "_r.*")
     # Both prediction passes read the same expressions, so the unshuffled loss needs no extra copy.
     shuffled = model.predict(rows).groupBy("feature", "_repeat").agg(_loss(model.task).alias("loss"))
