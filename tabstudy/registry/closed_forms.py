@@ -19,8 +19,6 @@ from .modelling import HOT, PR, hot
 # ---- one feature -------------------------------------------------------------------------------
 
 XY = "x AS (SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem)"
-
-
 LINE = f"{PR}, d AS (SELECT id, l_quantity AS x, l_quantity * p_retailprice * (1 - l_discount) + l_tax * 10000 AS y FROM pr)"
 
 
