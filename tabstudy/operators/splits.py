@@ -57,14 +57,14 @@ DEVIATIONS = 8.0  # of the number of hashes below a value; a rank outside them i
 def _hash_edges(work: DataFrame, ranks: dict[tuple, Sequence[int]], sizes: dict[tuple, int], by: Sequence[str] = ()) -> dict[tuple, dict[int, tuple]]:
     """Keys (_h, _i) at zero-based ranks of each group. The hash is uniform, so a rank's value is known but for a few standard deviations:
 
-    one scan counts the rows below that bracket and hands over the few in it, about the square root of the group.
+    one scan counts the rows below that bracket and hands over the distinct keys in it, about the square root of the group.
     """
     by = list(by)
     rows = []
     for g, wanted in ranks.items():
         n = max(sizes[g], 1)
         for r in sorted(set(wanted)):
-            share, width = (r + 0.5) / n, DEVIATIONS * math.sqrt(max((r + 0.5) * (n - r - 0.5), 1.0)) / n + 2.0 / n
+            share, width = (r + 0.5) / n, DEVIATIONS * math.sqrt(max((r + 0.5) * (n - r - 0.5) / n, 1.0)) / n + 2.0 / n
             rows.append((*g, r, int(max(0.0, share - width) * MODULUS), int(min(1.0, share + width) * MODULUS)))
     if not rows:
         return {g: {} for g in ranks}
@@ -72,13 +72,19 @@ def _hash_edges(work: DataFrame, ranks: dict[tuple, Sequence[int]], sizes: dict[
     brackets = F.broadcast(work.sparkSession.createDataFrame(rows, T.StructType(fields)))  # a few rows for each class
     same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)]
     near = work.join(brackets, [*same, F.col("_h") <= F.col("_hi")])
-    inside = F.collect_list(F.when(F.col("_h") >= F.col("_lo"), F.struct("_h", "_i")))
-    found = near.groupBy(*[f"_g{i}" for i in range(len(by))], "_rank").agg(F.count_if(F.col("_h") < F.col("_lo")).alias("below"), inside.alias("inside")).collect()
+    groups = [f"_g{i}" for i in range(len(by))]
+    inside = F.when(F.col("_h") >= F.col("_lo"), F.struct("_h", "_i"))  # null below the bracket
+    counts: dict[tuple, dict] = {}
+    for row in near.groupBy(*groups, "_rank", inside.alias("_key")).agg(F.count(F.lit(1)).alias("n")).collect():
+        counts.setdefault((tuple(row[g] for g in groups), row["_rank"]), {})[row["_key"] and tuple(row["_key"])] = row["n"]
     out: dict[tuple, dict[int, tuple]] = {g: {} for g in ranks}
-    for row in found:
-        g, place = tuple(row[f"_g{i}"] for i in range(len(by))), row["_rank"] - row["below"]
-        if 0 <= place < len(row["inside"]):
-            out[g][row["_rank"]] = tuple(sorted((x["_h"], x["_i"]) for x in row["inside"])[place])
+    for (g, rank), keys in counts.items():
+        passed = keys.pop(None, 0)
+        for key in sorted(keys) if passed <= rank else ():
+            passed += keys[key]
+            if rank < passed:
+                out[g][rank] = key
+                break
     if lost := {g: [r for r in wanted if r not in out[g]] for g, wanted in ranks.items() if any(r not in out[g] for r in wanted)}:
         for g, more in cut_points(work.select(*by, "_h", "_i"), ["_h", "_i"], lost, by).items():
             out[g].update(more)

@@ -433,3 +433,25 @@ def test_training_rows_are_encoded_by_other_folds(spark):
     fitted = prep.fit(df, prep.Recipe(categorical=["c"], encode="target"), "y")
     rows = {r.id: r.c for r in fitted.apply_to_training(df, "id").collect()}
     assert len(rows) == 100 and rows[0] < 10  # a category's only row tells nothing of its own target
+
+
+def test_split_edges_look_at_a_narrow_bracket_of_hashes(spark, monkeypatch):
+    fits = []
+    frame = spark.createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, rows, *a, **k: (fits.append(rows), frame(rows, *a, **k))[1])
+    df = spark.range(20_000)
+    got = {r.fold: r["count"] for r in SP.folds(df, 5, "id").groupBy("fold").count().collect()}
+    assert got == {f: 4000 for f in range(5)}
+    spans = [r[-1] - r[-2] for r in fits[0]]
+    assert len(spans) == 4 and max(spans) < 0.08 * SP.MODULUS  # 16 deviations of the number of hashes below
+
+
+def test_split_edges_with_one_key_on_most_rows(spark):
+    df = spark.range(3000).select(F.when(F.col("id") < 2500, 7).otherwise(F.col("id")).alias("id"))
+    whole = SP.random_split(df, "id", exact=True).groupBy("id").agg(F.count_distinct("split").alias("parts")).where("parts > 1")
+    assert whole.count() == 0
+    keyed = sorted((hashing.mixed(r.id, 42), r.id) for r in df.collect())
+    n = len(keyed)
+    edge = keyed[int(n * 0.7) - 1]
+    want = sum(k <= edge for k in keyed)
+    assert SP.random_split(df, "id", exact=True).where("split = 'train'").count() == want
