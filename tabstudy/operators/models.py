@@ -194,26 +194,53 @@ def discriminant(train: DataFrame, features: Sequence[str], target: str) -> Fitt
 
 CHUNK_ROWS = 20_000
 QUERY_ROWS = 50_000
+PAIRS = 1_000_000  # distances that a task holds at once
+PIVOTS = (16, 1024)  # fewest and most cells
+CELL_ROWS = 8_000  # training rows of a cell, between those
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Matrix of distances, added up column by column."""
+    total = np.zeros((len(x), len(y)))
+    for a, b in zip(x.T, y.T):
+        gap = a[:, None] - b[None]
+        gap *= gap
+        total += gap
+    return np.sqrt(total)
+
+
+def _first(distances: np.ndarray, tid: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k least (distance, id), without a sort of the whole row."""
+    near = np.flatnonzero(distances <= np.partition(distances, k - 1)[k - 1]) if k < len(distances) else np.arange(len(distances))
+    # A sorted copy: a slice of the order of all rows would hold all of it for each query.
+    return near[np.lexsort((tid[near], distances[near]))[:k]].copy()
 
 
 def nearest_neighbours(train: DataFrame, queries: DataFrame, features: Sequence[str], k: int, train_id: str, query_id: str, carry: Sequence[str] = (),
-                       pivots: int = 16, seed: int = 42, chunk: int = CHUNK_ROWS) -> DataFrame:
+                       pivots: int | None = None, seed: int = 42, chunk: int = CHUNK_ROWS) -> DataFrame:
     """(query, neighbour, distance, rank, carry...): exact k nearest training rows of every query.
 
     Training rows belong to the cell of their closest pivot.  A query's k-th distance is bounded by
     pivot distances and cell radii alone, and the triangle inequality then rules out most cells, so
-    a query visits only cells that can hold a neighbour.  Cells are cut into chunks, so a dense cell
-    spreads over tasks; a chunk returns at most k rows per query and pairs are never written out.
+    a query visits only cells that can hold a neighbour.  Pivots grow with the training rows, so cells
+    stay small; a dense cell is cut into chunks and spreads over tasks.  A task holds ``PAIRS`` distances
+    at once; a chunk returns at most k rows per query and pairs are never written out.
     """
     features, carry = list(features), list(carry)
+    if pivots is None:
+        pivots = max(PIVOTS[0], min(PIVOTS[1], train.count() // CELL_ROWS))
     centres = np.array(fit_kmeans(train, features, pivots, seed))
     vector = F.array(*[F.col(f).cast("double") for f in features])
 
     @F.pandas_udf("cell int, gap double")
     def assign(v: pd.Series) -> pd.DataFrame:
-        x = np.stack(v.to_numpy()) if len(v) else np.zeros((0, len(features)))
-        d = np.sqrt(((x[:, None, :] - centres[None]) ** 2).sum(2)) if len(x) else np.zeros((0, len(centres)))
-        return pd.DataFrame({"cell": d.argmin(1).astype("int32") if len(x) else [], "gap": d.min(1) if len(x) else []})
+        cell, gap = [np.zeros(0, dtype="int32")], [np.zeros(0)]
+        step = max(1, PAIRS // len(centres))
+        for start in range(0, len(v), step):
+            d = _distances(np.stack(v.iloc[start:start + step].to_numpy()), centres)
+            cell.append(d.argmin(1).astype("int32"))
+            gap.append(d.min(1))
+        return pd.DataFrame({"cell": np.concatenate(cell), "gap": np.concatenate(gap)})
 
     placed = train.select(F.col(train_id).alias("_t"), *carry, vector.alias("_x")).withColumn("_a", assign("_x")).select("_t", *carry, "_x", "_a.cell", "_a.gap")
     cells = {r.cell: (r.n, r.r) for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("r")).collect()}
@@ -234,35 +261,30 @@ def nearest_neighbours(train: DataFrame, queries: DataFrame, features: Sequence[
             out.append([ids[i] for i in np.nonzero(d - radii <= reach * (1 + 1e-12) + 1e-12)[0]])
         return pd.Series(out)
 
-    chunks = F.create_map(*[F.lit(int(x)) for c in ids for x in (c, -(-cells[c][0] // chunk))])
-    many = F.element_at(chunks, F.col("cell"))
-    left = placed.withColumn("chunk", F.pmod(F.xxhash64("_t"), many).cast("int"))
     right = queries.select(F.col(query_id).alias("_q"), vector.alias("_x")).withColumn("cell", F.explode(visit("_x")))
     # Training rows are repeated only for cells visited by more queries than one task should hold.
     visits = {r.cell: r.n for r in right.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    parts = F.element_at(F.create_map(*[F.lit(int(x)) for c in ids for x in (c, max(1, -(-visits.get(c, 0) // QUERY_ROWS)))]), F.col("cell"))
-    right = right.withColumn("chunk", F.explode(F.sequence(F.lit(0), many - 1))).withColumn("part", F.pmod(F.xxhash64("_q"), parts).cast("int"))
-    left = left.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    plan = [(int(c), -(-cells[c][0] // chunk), max(1, -(-visits.get(c, 0) // QUERY_ROWS))) for c in ids]
+    plan = F.broadcast(train.sparkSession.createDataFrame(plan, "cell int, many int, parts int"))  # a row for each cell
+    left = placed.join(plan, "cell").withColumn("chunk", F.pmod(F.xxhash64("_t"), "many").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    right = right.join(plan, "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("many") - 1))).withColumn("part", F.pmod(F.xxhash64("_q"), "parts").cast("int"))
+    left, right = left.select("_t", *carry, "_x", "cell", "chunk", "part"), right.select("_q", "_x", "cell", "chunk", "part")
     schema = ", ".join(["_q bigint", "_t bigint", "distance double", *[f"{c} {dict(train.dtypes)[c]}" for c in carry]])
 
     def closest(ts: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         names = ["_q", "_t", "distance", *carry]
         if not len(ts) or not len(qs):
             return pd.DataFrame({n: [] for n in names})
-        x = np.stack(ts["_x"].to_numpy())
-        tid = ts["_t"].to_numpy()
-        qid, where, far = [], [], []
-        for start in range(0, len(qs), 64):
-            block = qs.iloc[start:start + 64]
-            q = np.stack(block["_x"].to_numpy())
-            d = np.sqrt(((q[:, None, :] - x[None]) ** 2).sum(2))
-            for row, one in zip(d, block["_q"].to_numpy()):
-                keep = np.lexsort((tid, row))[:k]
-                qid.append(np.full(len(keep), one))
-                where.append(keep)
-                far.append(row[keep])
-        at = np.concatenate(where)
-        columns = {"_q": np.concatenate(qid), "_t": tid[at], "distance": np.concatenate(far), **{c: ts[c].to_numpy()[at] for c in carry}}
+        x, q = np.stack(ts["_x"].to_numpy()), np.stack(qs["_x"].to_numpy())
+        tid, kept = ts["_t"].to_numpy(), min(k, len(ts))
+        at, far = np.empty((len(q), kept), dtype=np.int64), np.empty((len(q), kept))
+        step = max(1, PAIRS // len(x))
+        for start in range(0, len(q), step):
+            for i, row in enumerate(_distances(q[start:start + step], x), start):
+                at[i] = _first(row, tid, kept)
+                far[i] = row[at[i]]
+        at = at.ravel()
+        columns = {"_q": np.repeat(qs["_q"].to_numpy(), kept), "_t": tid[at], "distance": far.ravel(), **{c: ts[c].to_numpy()[at] for c in carry}}
         return pd.DataFrame(columns)[names]
 
     keys = ["cell", "chunk", "part"]
