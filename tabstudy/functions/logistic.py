@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from .gram import doubles, summed_matrices
 
 SCANS = 60
+FITS = 64  # that share the matrix products of a slice of rows
 TOLERANCE = 1e-8  # largest departure from the optimality conditions, of the mean loss
 
 
@@ -74,21 +75,32 @@ def logistic_fits(rows: DataFrame, names: Sequence[str], target: str, group: str
     frame = rows.select(F.col(group).cast("double").alias("_g"), F.col(target).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(names)])
     width = max(p + 2, 4)
 
+    pairs = np.triu_indices(p + 1)
+
     def scan(which: np.ndarray, at: np.ndarray) -> dict:
+        """All fits' sums of a slice of rows come from a few matrix products, with a weight of zero on the rows outside a fit's groups."""
+        taken = uses[which].T.astype(float)  # groups x fits
+
         def of(batch: pa.RecordBatch):
             for _, x in doubles(batch):
                 x = x[~np.isnan(x).any(axis=1)]
-                z, y, g = np.column_stack([np.ones(len(x)), x[:, 2:]]), x[:, 1], x[:, 0].astype(np.int64)
-                for k, b in zip(which, at):
-                    inside = uses[k][g]
-                    eta = z @ b
-                    loss = np.logaddexp(0, eta) - y * eta
-                    zi, mean = z[inside], 0.5 * (1 + np.tanh(eta[inside] / 2))
-                    out = np.zeros((p + 2, width))
-                    out[:p + 1, :p + 1] = (zi * (mean * (1 - mean))[:, None]).T @ zi
-                    out[:p + 1, p + 1] = zi.T @ (y[inside] - mean)
-                    out[p + 1, :4] = loss[inside].sum(), inside.sum(), loss[~inside].sum(), (~inside).sum()
-                    yield int(k), out
+                z, y, g = np.column_stack([np.ones(len(x)), x[:, 2:]]), x[:, 1:2], x[:, 0].astype(np.int64)
+                products = z[:, pairs[0]] * z[:, pairs[1]]
+                for start in range(0, len(which), FITS):
+                    own = slice(start, start + FITS)
+                    inside, eta = taken[g, own], z @ at[own].T
+                    small = np.exp(-np.abs(eta))
+                    mean = np.where(eta >= 0, 1.0, small) / (1 + small)
+                    loss = np.maximum(eta, 0) + np.log1p(small) - y * eta
+                    curves = (inside * (small / (1 + small) ** 2)).T @ products
+                    slopes = (inside * (y - mean)).T @ z
+                    outside = 1 - inside
+                    totals = [(loss * inside).sum(0), inside.sum(0), (loss * outside).sum(0), outside.sum(0)]
+                    out = np.zeros((len(slopes), p + 2, width))
+                    out[:, pairs[0], pairs[1]] = out[:, pairs[1], pairs[0]] = curves
+                    out[:, :p + 1, p + 1] = slopes
+                    out[:, p + 1, :4] = np.stack(totals, axis=1)
+                    yield from zip(which[own].tolist(), out)
 
         return summed_matrices(frame, of, "int")
 
