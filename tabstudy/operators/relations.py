@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.gram import covariance, doubles, grams, means_of, pairwise_correlations, solve_ols
 from ..functions.pvalues import normal_ppf
 from ..functions.quantiles import exact_quantiles, quantile_values
+from ..functions.storage import written
 from . import features as FE
 from . import hypothesis as H
 from .audit import box_by_tertile, box_summary
@@ -90,7 +91,11 @@ def _information(df: DataFrame, bins_of: dict[str, Column], label: Column) -> Da
 
 def target_label(df: DataFrame, target: str, task: str, bins: int = 10) -> Column:
     """Class of the target: itself, or its quantile bin for a numeric target."""
-    return F.col(target).cast("string") if task == "classification" else _right_closed(F.col(target), _edges(df, [target], bins)[target]).cast("string")
+    return _class_of(target, task, {} if task == "classification" else _edges(df, [target], bins))
+
+
+def _class_of(target: str, task: str, edges: dict[str, list[float]]) -> Column:
+    return F.col(target).cast("string") if task == "classification" else _right_closed(F.col(target), edges[target]).cast("string")
 
 
 def mutual_information(df: DataFrame, target: str, features: Sequence[str], task: str = "classification", bins: int = 10, top: int | None = None) -> DataFrame:
@@ -106,10 +111,16 @@ def interactions(df: DataFrame, target: str, features: Sequence[str], task: str
 
     Products are made of the ``singles`` most telling features, and the ``top`` best are returned; None takes all.
     """
-    single = {r.feature: r.mi for r in mutual_information(df, target, features, task, bins, singles).collect()}
+    # Quantiles take many scans: of the columns at hand, not of what made the table; the target's are found along with the features'.
+    rows, _path = written(df.select(*dict.fromkeys([target, *features])), "interactions")
+    edges = _edges(rows, list(dict.fromkeys([*features, *([] if task == "classification" else [target])])), bins)
+    label = _class_of(target, task, edges)
+    table = _information(rows, {c: _right_closed(F.col(c), edges[c]) for c in features}, label).orderBy(F.desc("mi"), "feature")
+    single = {r.feature: r.mi for r in (table.limit(singles) if singles else table).collect()}
     pairs = list(combinations(single, 2))
-    products = df.select(target, *[(_d(a) * _d(b)).alias(f"{a}|{b}") for a, b in pairs])
-    table = mutual_information(products, target, [f"{a}|{b}" for a, b in pairs], task, bins)
+    products = rows.select(target, *[(_d(a) * _d(b)).alias(f"{a}|{b}") for a, b in pairs])
+    cuts = _edges(products, [f"{a}|{b}" for a, b in pairs], bins)
+    table = _information(products, {c: _right_closed(F.col(c), e) for c, e in cuts.items()}, label)
     base = df.sparkSession.createDataFrame([(f"{a}|{b}", a, b, max(single[a], single[b])) for a, b in pairs], "feature string, a string, b string, best double")
     return table.join(F.broadcast(base), "feature").select("a", "b", (F.col("mi") - F.col("best")).alias("gain")).where("gain > 0").orderBy(F.desc("gain"), "a", "b").limit(top if top is not None else max(1, len(pairs)))
 

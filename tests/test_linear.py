@@ -97,3 +97,27 @@ def test_class_selection(spark):
 def test_hash_on_the_driver(spark):
     rows = spark.range(50).select("id", mix(F.col("id") * 10**9 + 7, 3).alias("h")).collect()
     assert all(r.h == mixed(r.id * 10**9 + 7, 3) for r in rows)
+
+
+def test_logistic_scans_are_the_same_for_any_number_of_fits_at_once(spark, monkeypatch):
+    from tabstudy.functions import logistic
+
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i % 3, int(x + e > 0), float(x)) for i, (x, e) in enumerate(rng.normal(size=(300, 2)))], "g int, y int, x double")
+    uses = np.vstack([np.ones((1, 3), dtype=bool), ~np.eye(3, dtype=bool)])
+    fits = []
+    for n in (logistic.FITS, 3):
+        monkeypatch.setattr(logistic, "FITS", n)
+        fits.append(logistic.logistic_fits(rows, ["x"], "y", "g", uses, np.zeros(4), np.full(4, 0.01)))
+    assert np.allclose(fits[0].coefficients, fits[1].coefficients, rtol=1e-10) and np.allclose(fits[0].held_out_loss, fits[1].held_out_loss, equal_nan=True)
+    assert max(fits[0].departure) < logistic.TOLERANCE and np.isnan(fits[0].held_out_loss[0])
+
+
+def test_interactions_take_quantiles_twice_and_from_a_written_table(spark, monkeypatch):
+    from tabstudy.operators import relations as R
+
+    calls, edges = [], R._edges
+    monkeypatch.setattr(R, "_edges", lambda df, cols, bins: (calls.append(df.inputFiles()), edges(df, cols, bins))[1])
+    df = spark.range(500).selectExpr("id % 11 as a", "id % 13 as b", "(id % 11) * (id % 13) as y")
+    assert [(r.a, r.b) for r in R.interactions(df, "y", ["a", "b"]).collect()] in ([("a", "b")], [("b", "a")])
+    assert len(calls) == 2 and all(calls)
