@@ -69,30 +69,34 @@ def grid_values(df: DataFrame, features: Sequence[str], size: int) -> dict[str,
     return out
 
 
+def _mean_at(model: Fitted, df: DataFrame, points: Sequence[Mapping[str, float]]) -> DataFrame:
+    """(_p, m): mean prediction when all rows take the values of point ``_p``. A row is repeated for the number of a point alone; its values are looked up."""
+    own = lambda f: F.get(F.array(*[F.lit(x.get(f)).cast("double") for x in points]), F.col("_p"))
+    named = {f for x in points for f in x}
+    rows = df.select(*model.features, F.explode(F.array(*[F.lit(i) for i in range(len(points))])).alias("_p")).select(
+        "_p", *[F.coalesce(own(f), F.col(f).cast("double")).alias(f) if f in named else F.col(f) for f in model.features])
+    target = F.coalesce("proba", "pred") if model.task == "classification" else F.col("pred")
+    return model.predict(rows).groupBy("_p").agg(F.avg(target).alias("m"))
+
+
 def partial_dependence(model: Fitted, df: DataFrame, features: Sequence[str], size: int = 20) -> DataFrame:
     """(feature, value, mean_prediction): rows are repeated per grid value by explode and scored once."""
     grids = grid_values(df, features, size)
-    points = F.array(*[F.struct(F.lit(f).alias("_f"), F.lit(float(v)).alias("_g")) for f in features for v in grids[f]])
-    rows = df.select(*model.features).withColumn("_p", F.explode(points)).select(
-        F.col("_p._f").alias("_f"), F.col("_p._g").alias("_g"),
-        *[F.when(F.col("_p._f") == f, F.col("_p._g")).otherwise(F.col(f).cast("double")).alias(f) if f in features else F.col(f) for f in model.features])
-    target = F.coalesce("proba", "pred") if model.task == "classification" else F.col("pred")
-    return model.predict(rows).groupBy(F.col("_f").alias("feature"), F.col("_g").alias("value")).agg(F.avg(target).alias("mean_prediction")).orderBy("feature", "value")
+    points = [(f, float(v)) for f in features for v in grids[f]]
+    names = df.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(points)], "_p int, feature string, value double")
+    cells = _mean_at(model, df, [{f: v} for f, v in points])
+    return cells.join(F.broadcast(names), "_p").select("feature", "value", F.col("m").alias("mean_prediction")).orderBy("feature", "value")
 
 
 def partial_dependence_2d(model: Fitted, df: DataFrame, features: Sequence[str], size: int = 15) -> DataFrame:
     """(a, b, value_a, value_b, mean_prediction, interaction): interaction is what the two main effects leave over."""
     grids = grid_values(df, features, size)
-    points = F.array(*[F.struct(F.lit(f"{a}|{b}").alias("p"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(float(u)).alias("u"), F.lit(float(v)).alias("v"))
-                       for a, b in combinations(features, 2) for u in grids[a] for v in grids[b]])
-    swap = lambda f: F.when(F.col("_p.a") == f, F.col("_p.u")).when(F.col("_p.b") == f, F.col("_p.v")).otherwise(F.col(f).cast("double"))
-    rows = df.select(*model.features).withColumn("_p", F.explode(points)).select(
-        *[F.col(f"_p.{k}").alias(f"_{k}") for k in "abuv"], *[swap(f).alias(f) if f in features else F.col(f) for f in model.features])
-    target = F.coalesce("proba", "pred") if model.task == "classification" else F.col("pred")
-    cells = model.predict(rows).groupBy(*[F.col(f"_{k}") for k in "abuv"]).agg(F.avg(target).alias("m"))
-    mean = lambda *k: F.avg("m").over(Window.partitionBy("_a", "_b", *k))
-    return cells.select(F.col("_a").alias("a"), F.col("_b").alias("b"), F.col("_u").alias("value_a"), F.col("_v").alias("value_b"), F.col("m").alias("mean_prediction"),
-                        (F.col("m") - mean("_u") - mean("_v") + mean()).alias("interaction"))
+    points = [(a, b, float(u), float(v)) for a, b in combinations(features, 2) for u in grids[a] for v in grids[b]]
+    names = df.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(points)], "_p int, a string, b string, value_a double, value_b double")
+    cells = _mean_at(model, df, [{a: u, b: v} for a, b, u, v in points]).join(F.broadcast(names), "_p")
+    mean = lambda *k: F.avg("m").over(Window.partitionBy("a", "b", *k))
+    return cells.select("a", "b", "value_a", "value_b", F.col("m").alias("mean_prediction"),
+                        (F.col("m") - mean("value_a") - mean("value_b") + mean()).alias("interaction"))
 
 
 def interaction_strength(surface: DataFrame) -> DataFrame:
@@ -112,9 +116,10 @@ def shapley_linear(coefficients: Mapping[str, float], df: DataFrame, background:
 def shapley_sampled(model: Fitted, df: DataFrame, id_col: str, background: DataFrame, orderings: int = 16, background_rows: int = 8, seed: int = 42) -> DataFrame:
     """(id, feature, value): Shapley values from sampled feature orderings and background rows.
 
-    Every (row, ordering) walks from a background row to the row itself, one feature at a time; the
-    steps are exploded, scored in one pass and averaged.  Steps of a walk add up to prediction minus
-    background prediction.
+    Every (row, ordering) walks from a background row to the row itself, one feature at a time. A step has
+    the row before and after it, so its gain needs no other row; both are scored and the gains of a row's id
+    are added up before they travel. Steps of a walk add up to prediction minus background prediction.
+    Rows that share an id share its walks, so their mean gain is divided among them.
     """
     import random
 
@@ -126,17 +131,17 @@ def shapley_sampled(model: Fitted, df: DataFrame, id_col: str, background: DataF
     for o in range(orderings):
         order = rng.sample(range(len(features)), len(features))
         ref = refs[o % len(refs)]
-        for s in range(len(features) + 1):
-            have = set(order[:s])
-            steps.append(F.struct(F.lit(o).alias("o"), F.lit(s).alias("s"), F.lit(features[order[s - 1]] if s else None).cast("string").alias("f"),
-                                  *[(F.col(f).cast("double") if i in have else F.lit(ref[i])).alias(f"_{i}") for i, f in enumerate(features)]))
-    rows = df.select(F.col(id_col).alias("_id"), *features).select("_id", F.inline(F.array(*steps))).select(
-        "_id", "o", "s", "f", *[F.col(f"_{i}").alias(f) for i, f in enumerate(features)])
+        point = lambda have: F.struct(*[(F.col(f).cast("double") if i in have else F.lit(ref[i])).alias(f"_{i}") for i, f in enumerate(features)])
+        for s, i in enumerate(order):
+            steps.append(F.struct(F.lit(i).alias("_step"), point(set(order[:s])).alias("_from"), point(set(order[:s + 1])).alias("_to")))
+    walks = df.select(F.col(id_col).alias("_id"), *features).select("_id", F.inline(F.array(*steps)))
+    at = lambda end: [F.col(f"{end}._{i}").alias(f) for i, f in enumerate(features)]
     target = F.coalesce("proba", "pred") if model.task == "classification" else F.col("pred")
-    scored = model.predict(rows).select("_id", "o", "s", "f", target.alias("p"))
-    # A walk has one row per feature, so this window is that long.
-    before = F.lag("p").over(Window.partitionBy("_id", "o").orderBy("s"))
-    return scored.withColumn("d", F.col("p") - before).where("f is not null").groupBy(F.col("_id").alias("id"), F.col("f").alias("feature")).agg(F.avg("d").alias("value"))
+    before = model.predict(walks.select("_id", "_step", "_to", *at("_from"))).select("_id", "_step", "_to", target.alias("_base"))
+    after = model.predict(before.select("_id", "_step", "_base", *at("_to"))).select("_id", "_step", (target - F.col("_base")).alias("_gain"))
+    sums = after.groupBy("_id").agg(F.count(F.lit(1)).alias("_n"), *[F.avg(F.when(F.col("_step") == i, F.col("_gain"))).alias(f"_m{i}") for i in range(len(features))])
+    rows = F.col("_n") / (orderings * len(features))
+    return sums.select(F.col("_id").alias("id"), F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), (F.col(f"_m{i}") / rows).alias("value")) for i, f in enumerate(features)])))
 
 
 def shapley_rank(values: DataFrame, source: Mapping[str, str] | None = None) -> DataFrame:

@@ -20,3 +20,27 @@ def test_a_feature_without_use_costs_nothing_and_the_other_does(spark, monkeypat
 def test_one_row_has_no_partner_but_itself(spark):
     df = spark.range(1).select("id", F.lit(3.0).alias("a"), F.lit(1).alias("b"), F.lit(5.0).alias("y"))
     assert {r.feature: r.importance for r in X.permutation(MODEL, df, "y", "id", repeats=2).collect()} == {"a": 0.0, "b": 0.0}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_sampled_shapley_adds_up_without_an_exchange_of_steps(spark):
+    df = spark.range(60).select("id", F.col("id").cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"))
+    both = M.Fitted("fixed", "regression", ["a", "b"], lambda d: d.withColumn("pred", F.col("a") * F.col("b")))
+    values = X.shapley_sampled(both, df, "id", df.where("id = 20"), orderings=4)
+    assert "Window" not in _plan(values)  # steps of a walk met in one, after an exchange of all of them
+    total = {r.id: r.v for r in values.groupBy("id").agg(F.sum("value").alias("v")).collect()}
+    assert len(total) == 60 and all(abs(v - (i * (i % 7) - 20 * 6)) < 1e-9 for i, v in total.items())
+
+
+def test_partial_dependence_repeats_rows_for_numbers_of_points(spark):
+    df = spark.range(1, 101).select("id", F.col("id").cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"))
+    both = M.Fitted("fixed", "regression", ["a", "b"], lambda d: d.withColumn("pred", F.col("a") + 2 * F.col("b")))
+    one = X.partial_dependence(both, df, ["a", "b"], size=3)
+    two = X.partial_dependence_2d(both, df, ["a", "b"], size=3)
+    assert all("Generate explode([0,1,2" in _plan(x) for x in (one, two))
+    assert all(abs(r.mean_prediction - (r.value + 4 if r.feature == "a" else 50.5 + 2 * r.value)) < 1e-9 for r in one.collect())
+    rows = two.collect()
+    assert len(rows) == 9 and all(abs(r.mean_prediction - r.value_a - 2 * r.value_b) < 1e-9 and abs(r.interaction) < 1e-9 for r in rows)
