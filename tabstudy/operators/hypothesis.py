@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pvalues as P
 from ..functions.ranking import add_ranks, rows_per_range, running_totals
+from ..functions.storage import written
 
 
 def _d(c: str | Column) -> Column:
@@ -38,25 +39,39 @@ def pearson(df: DataFrame, a: str, b: str) -> DataFrame:
     return _corr_row(df, a, b, "pearson")
 
 
+def rank_tests(rows: DataFrame, cols: Sequence[str], y: str) -> DataFrame:
+    """(column, test, statistic r, n, p, effect): Spearman correlation of each column with ``y``; none of them has nulls.
+
+    Ranks of the columns are looked up by value. Rows then collapse to the distinct values of ``y`` with sums of those ranks, once for
+    all columns: the same table gives the ranks of ``y``, and pairs of values are never formed.
+    """
+    ranked, sums = rows, [F.count(F.lit(1)).alias("n")]
+    for i, c in enumerate(cols):
+        # Written, so that neither the count of ranges nor the look-up counts the rows again, and a short list of values is known to be short.
+        counts, _path = written(rows.groupBy(_d(c).alias("value")).agg(F.count(F.lit(1)).alias("n")), "values")
+        ranks = running_totals(counts, "value", ["n"]).select(F.col("value").alias(f"_v{i}"), (F.col("cum_n") - (F.col("n") - 1) / 2).alias(f"_r{i}"))
+        ranks, _path = written(ranks, "ranks")
+        ranked = ranked.join(ranks, _d(c) == F.col(f"_v{i}"))
+        sums += [F.sum(f"_r{i}").alias(f"x{i}"), F.sum(F.col(f"_r{i}") * F.col(f"_r{i}")).alias(f"xx{i}")]
+    cells, _path = written(ranked.groupBy(_d(y).alias("_y")).agg(*sums), "cells")
+    w, rank = F.col("n").cast("double"), F.col("cum_n") - (F.col("n") - 1) / 2
+    each = [e for i in range(len(cols)) for e in (F.sum(f"x{i}").alias(f"sx{i}"), F.sum(f"xx{i}").alias(f"sxx{i}"), F.sum(F.col(f"x{i}") * rank).alias(f"sxy{i}"))]
+    s = running_totals(cells, "_y", ["n"]).agg(F.sum("n").alias("n"), F.sum(w * rank).alias("sy"), F.sum(w * rank * rank).alias("syy"), *each)
+    n = F.col("n").cast("double")
+
+    def r(i: int) -> Column:
+        cov = F.col(f"sxy{i}") - F.col(f"sx{i}") * F.col("sy") / n
+        return F.try_divide(cov, F.sqrt((F.col(f"sxx{i}") - F.col(f"sx{i}") ** 2 / n) * (F.col("syy") - F.col("sy") ** 2 / n)))
+
+    results = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.when(F.col("n") >= 3, r(i)).alias("statistic"), F.coalesce("n", F.lit(0)).alias("n")) for i, c in enumerate(cols)]))
+    statistic = F.col("statistic")
+    return s.select(results).select("column", F.lit("spearman").alias("test"), "statistic", "n", P.p_corr(statistic, F.col("n")).alias("p"), (statistic * statistic).alias("effect"))
+
+
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """Pearson correlation of average ranks over complete pairs."""
     pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(_d(a).alias("a"), _d(b).alias("b"))
-    ranked = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
-    # Ranks belong to values: look them up on the distinct pairs and weight by multiplicity.
-    for c in ("a", "b"):
-        counts = ranked.groupBy(F.col(c).alias("value")).agg(F.sum("w").alias("n"))
-        cum = running_totals(counts, "value", ["n"])
-        ranks = cum.select(F.col("value").alias(f"_v{c}"), (F.col("cum_n") - (F.col("n") - 1) / 2).alias(f"r{c}"))
-        ranked = ranked.join(ranks, F.col(c) == F.col(f"_v{c}")).drop(f"_v{c}")
-    w, x, y = F.col("w").cast("double"), F.col("ra"), F.col("rb")
-    s = ranked.agg(F.sum("w").alias("n"), *[F.sum(w * e).alias(k) for k, e in
-                                           (("sx", x), ("sy", y), ("sxx", x * x), ("syy", y * y), ("sxy", x * y))])
-    n = F.col("n").cast("double")
-    cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
-    r = F.try_divide(cov, F.sqrt((F.col("sxx") - F.col("sx") ** 2 / n) * (F.col("syy") - F.col("sy") ** 2 / n)))
-    r = F.when(F.col("n") >= 3, r)
-    return s.select(F.lit("spearman").alias("test"), r.alias("statistic"), F.coalesce("n", F.lit(0)).alias("n"),
-                    P.p_corr(r, F.col("n")).alias("p"), (r * r).alias("effect"))
+    return rank_tests(pairs, ["a"], "b").drop("column")
 
 
 def rank_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

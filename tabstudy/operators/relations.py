@@ -58,9 +58,18 @@ def leakage(df: DataFrame, target: str, features: Sequence[str], threshold: floa
 
 def linearity(df: DataFrame, target: str, features: Sequence[str], top: int | None = 6) -> DataFrame:
     """(feature, test, statistic, n, p): rank or linear correlation of the ``top`` strongest features (None: all), by the target's normality."""
-    names = [r.feature for r in target_correlations(df, target, features, top).collect()]
-    test = H.pearson if H.normality(df, target).first().normal else H.spearman
-    return H.union_tests([test(df, c, target).select(F.lit(c).alias("feature"), "test", "statistic", "n", "p") for c in names])
+    rows, _path = written(df.select(*dict.fromkeys([target, *features])), "linearity")  # several scans: of the columns at hand, not of what made the table
+    names = [r.feature for r in target_correlations(rows, target, features, top).collect()]
+    out = ["feature", "test", "statistic", "n", "p"]
+    if H.normality(rows, target).first().normal:
+        return H.union_tests([H.pearson(rows, c, target).select(F.lit(c).alias("feature"), *out[1:]) for c in names])
+    # Features without nulls, where the target has none either, share one table of the target's values; the others are ranked on their own complete rows.
+    found = rows.agg(F.count(F.lit(1)), F.count(target), *[F.count(c) for c in names]).first()
+    full = [c for i, c in enumerate(names) if found[0] == found[1] == found[2 + i]]
+    tests = [H.rank_tests(rows, full, target).withColumnRenamed("column", "feature").select(*out)] if full else []
+    tests += [H.spearman(rows, c, target).select(F.lit(c).alias("feature"), *out[1:]) for c in names if c not in full]
+    place = F.array_position(F.array(*[F.lit(c) for c in names]), F.col("feature"))
+    return H.union_tests(tests).orderBy(place)
 
 
 # ---- binned information ------------------------------------------------------------------------
