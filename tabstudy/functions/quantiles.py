@@ -5,7 +5,8 @@ combined), keeps the slice that holds the wanted rank, and stops when that slice
 magnitudes or zero is sliced by magnitude, any other by width, so a handful of passes closes it whatever the distribution.
 State per pass is ``slices x open intervals`` numbers for the columns at hand; nothing is sorted or shuffled.
 
-Quantiles within groups stay on the executors: distinct values are counted, and running totals over them give the ranks.
+Quantiles within groups stay on the executors: distinct values are counted, and running totals over them give the ranks. Many rows
+in few groups are narrowed like whole columns, with an interval for each group and rank.
 Nulls and NaN are left out; infinities are values.
 """
 
@@ -17,12 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ranking import running_totals
+from .ranking import rows_per_range, running_totals
 
 SLICES = 4096
 CASE_LIMIT = 48
 WIDE = 4096.0  # an interval whose ends differ by more than this factor is sliced by magnitude
 TINY = 1e-290  # magnitudes below it count as one
+FEW = 32  # quantiles of all groups and columns together that are found by narrowing: slices for each of them reach the driver
+PLAIN = ("string", "boolean", "byte", "short", "integer", "long", "date")  # types of group keys that can be told apart in the driver
 
 
 def _long(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
@@ -174,15 +177,23 @@ def _grouped_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float
     return joined.select(*[F.col(f"s.{k}").alias(k) for k in keys], F.col("s.n").alias("n"), F.when(F.col("s.n") > 0, F.array(*[value(i, p) for i, p in enumerate(probs)])).alias("q"))
 
 
+def _few_groups(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str]) -> bool:
+    """Whether there are more rows than one task should order, in so few groups that intervals for each of them are a small state."""
+    if not by or any(df.schema[k].dataType.typeName() not in PLAIN for k in by):
+        return False
+    rows, groups = df.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(*by))).first()
+    return rows > rows_per_range(df) and groups * len(cols) * len(probs) <= FEW
+
+
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """(by..., column, n, q array<double>) with linear interpolation; nulls and NaN are ignored, and n = 0 has no q."""
     cols, by, probs = list(cols), list(by), [float(p) for p in probs]
-    if by:
+    if by and not _few_groups(df, cols, probs, by):
         return _grouped_quantiles(df, cols, probs, by)
     long = _long(df, cols, by)
     clean = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
-    row = df.agg(*[F.struct(*_range_exprs(v)).alias(str(i)) for i, v in enumerate(clean.values())]).first()
-    ranges = {(c,): tuple(row[i]) for i, c in enumerate(cols) if row[i][0]}
+    every = {(*r[:len(by)], c): tuple(r[len(by) + i]) for r in df.groupBy(*by).agg(*[F.struct(*_range_exprs(v)).alias(f"_{i}") for i, v in enumerate(clean.values())]).collect() for i, c in enumerate(cols)}
+    ranges = {k: v for k, v in every.items() if v[0]}
     sizes = {k: r[0] for k, r in ranges.items()}
     wanted = {}
     for key, n in sizes.items():
@@ -193,8 +204,8 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         wanted[key] = ranks
     found = select_ranks(long, wanted, by, ranges=ranges)
     rows = [(*key, n, [_interpolate(found[key], n, p) for p in probs]) for key, n in sizes.items()]
-    rows += [(c, 0, None) for c in cols if (c,) not in sizes]
-    schema = T.StructType([T.StructField("column", T.StringType()), T.StructField("n", T.LongType()), T.StructField("q", T.ArrayType(T.DoubleType()))])
+    rows += [(*key, 0, None) for key in every if key not in sizes]
+    schema = T.StructType([*[T.StructField(k, df.schema[k].dataType) for k in by], T.StructField("column", T.StringType()), T.StructField("n", T.LongType()), T.StructField("q", T.ArrayType(T.DoubleType()))])
     return df.sparkSession.createDataFrame(rows, schema)
 
 

@@ -418,8 +418,11 @@ def fit_all(df: DataFrame, recipe: Recipe, target: str, task: str, id_col: str,
     train = df.where("split = 'train'")
     change = fit_target_transform(train, target, method) if task == "regression" else TargetTransform("none")
 
-    def run(key):
-        prep = fit_prep(train, recipe_for_model(recipe, key), target)
+    recipes = [recipe_for_model(recipe, key) for key in keys]
+    distinct = [r for i, r in enumerate(recipes) if r not in recipes[:i]]
+
+    def run(key, own):
+        prep = preps[distinct.index(own)]
         if any(op == "target" for op, _ in prep.steps):
             ready = prep.apply_to_training(train, id_col).unionByName(prep.apply(df.where(F.col("split").isNull() | (F.col("split") != "train"))))
         else:
@@ -431,7 +434,9 @@ def fit_all(df: DataFrame, recipe: Recipe, target: str, task: str, id_col: str,
         return rows, model
 
     try:
-        results = in_parallel([lambda k=k: run(k) for k in keys])
+        # Models with equal recipes share what was learned for one of them.
+        preps = in_parallel([lambda r=r: fit_prep(train, r, target) for r in distinct])
+        results = in_parallel([lambda k=k, r=r: run(k, r) for k, r in zip(keys, recipes)])
         predictions = written(reduce(DataFrame.unionByName, [r[0] for r in results]), "predictions")[0]
     finally:
         if held:

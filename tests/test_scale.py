@@ -5,8 +5,11 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tabstudy.functions import quantiles as Q
 from tabstudy.operators import hypothesis as H
+from tabstudy.operators import models as M
 from tabstudy.operators import relations as R
+from tabstudy.operators.prep import Recipe
 
 
 def test_linearity_makes_its_table_once(spark):
@@ -36,3 +39,30 @@ def test_rank_tests_of_many_columns(spark, many_ranges):
         assert (alone.statistic, alone.p, alone.effect) == pytest.approx((found[c].statistic, found[c].p, found[c].effect))
     assert found["c"].statistic is None
     assert H.spearman(df.limit(0), "a", "y").first()[:3] == ("spearman", None, 0)
+
+
+def test_quantiles_of_few_groups_move_no_rows(spark, many_ranges, monkeypatch):
+    data = [(("u", "v", None)[i % 3], i % 2, float("nan") if i % 17 == 0 else float("inf") if i % 29 == 0 else (i * 7919 % 1009) ** 3 - 5e8) for i in range(900)] + [("empty", 0, None)]
+    df = spark.createDataFrame(data, "g string, h int, v double").repartition(3)
+    key = lambda r: str((r.g, r.h))
+    want = sorted((key(r), r.n, r.q) for r in Q._grouped_quantiles(df, ["v"], [0.1, 0.5, 0.99], ["g", "h"]).collect())
+
+    def never(*_):
+        raise AssertionError("all distinct values are shuffled")
+
+    monkeypatch.setattr(Q, "_grouped_quantiles", never)
+    got = Q.exact_quantiles(df, ["v"], [0.1, 0.5, 0.99], ["g", "h"])
+    assert got.columns == ["g", "h", "column", "n", "q"]
+    assert sorted((key(r), r.n, r.q) for r in got.collect()) == want
+    with pytest.raises(AssertionError):  # many groups are no state for the driver
+        Q.exact_quantiles(spark.range(200).selectExpr("id % 100 AS g", "id AS v"), ["v"], [0.5], ["g"])
+
+
+def test_models_of_equal_recipes_share_their_preparation(spark, monkeypatch):
+    made, learn = [], M.fit_prep
+    monkeypatch.setattr(M, "fit_prep", lambda train, recipe, target: made.append(recipe) or learn(train, recipe, target))
+    df = spark.range(200).selectExpr("id", "id % 13 AS x", "2.0 * (id % 13) + 1 AS y", "CASE WHEN id % 5 > 0 THEN 'train' ELSE 'test' END AS split")
+    predictions, fitted = M.fit_all(df, Recipe(numeric=["x"], scale="none"), "y", "regression", "id", ["ols", "base_mean", "ridge"])
+    assert [m.key for m in fitted] == ["ols", "base_mean", "ridge"] and predictions.count() == 600
+    assert len(made) == len({r.scale for r in made}) < 3
+    assert predictions.where("model = 'ols' and abs(pred - y) > 1e-6").isEmpty()
