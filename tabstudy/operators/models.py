@@ -27,6 +27,8 @@ from .features import fit_kmeans
 from .prep import Recipe, TargetTransform, fit as fit_prep, fit_target_transform, recipe_for_model
 
 PARALLEL_FITS = 4
+TREES = ("rf", "gbt")  # fits that keep every row as objects and read them once a level
+PART_CELLS = 8_000_000  # numbers that a task of such a fit keeps: the features of a row and some sixteen more that go with it
 
 
 @dataclass
@@ -96,6 +98,14 @@ def _estimator(key: str, task: str, n: int, spread: float, n_features: int, n_cl
     raise ValueError(key)
 
 
+def dealt(train: DataFrame, cols: Sequence[str], n: int) -> DataFrame:
+    """The columns of a tree fit in parts of bounded size: the rows that a task keeps and reads do not grow with the table."""
+    parts = -(-n // max(1, PART_CELLS // (16 + len(cols))))
+    if parts < 2:
+        return train
+    return train.select(*dict.fromkeys(cols)).repartition(max(parts, train.sparkSession.sparkContext.defaultParallelism))
+
+
 def hidden_layers(width: int = 32, depth: int = 2, shape: str = "constant") -> list[int]:
     """Layer widths: constant, pyramid (growing) or funnel (halving)."""
     if shape == "funnel":
@@ -127,7 +137,8 @@ def fit(key: str, train: DataFrame, features: Sequence[str], target: str, task:
     probabilistic = estimator.hasParam("probabilityCol")
     if probabilistic:
         estimator.set(estimator.getParam("probabilityCol"), "_prob")
-    model = estimator.fit(vec.transform(train))
+    rows = dealt(train, [*features, target, *([weight] if weight else [])], shape.n) if key in TREES else train
+    model = estimator.fit(vec.transform(rows))
     slopes = getattr(model, "coefficients", None) if classes <= 2 else None
     coefficients = {}
     if slopes is not None:

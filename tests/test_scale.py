@@ -66,3 +66,15 @@ def test_models_of_equal_recipes_share_their_preparation(spark, monkeypatch):
     assert [m.key for m in fitted] == ["ols", "base_mean", "ridge"] and predictions.count() == 600
     assert len(made) == len({r.scale for r in made}) < 3
     assert predictions.where("model = 'ols' and abs(pred - y) > 1e-6").isEmpty()
+
+
+def test_trees_read_parts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(M, "PART_CELLS", 18 * 25)
+    df = spark.range(0, 400, 1, 1).selectExpr("id", "CAST(id % 2 AS int) AS big", "IF(id % 2 = 0, 10.0, 30.0) + id % 4 AS y", "'wide' AS other")
+    parts = M.dealt(df, ["big", "y"], 400)
+    sizes = parts.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert len(sizes) == 16 and sizes.max() <= 25 + 1 and parts.columns == ["big", "y"]
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, df.select("big", "y").collect()))
+    assert M.dealt(df, ["big", "y"], 25) is df
+    model = M.fit("gbt", df, ["big"], "y", "regression", trees=3, depth=1)
+    assert {r.big: round(r.pred, 6) for r in model.predict(df.select("big").distinct()).collect()} == {0: 11.0, 1: 32.0}
