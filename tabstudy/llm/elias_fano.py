@@ -13,7 +13,9 @@ for _i in range(256):
 
 
 def _select(words: np.ndarray, before: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Place of the k-th one (from 0); ``before`` counts the ones in front of each word."""
+    """Place of the k-th one (from 0); ``before`` counts the ones in front of each word. Many are read off a list of all ones."""
+    if 4 * len(k) > len(words):
+        return np.flatnonzero(np.unpackbits(words.view(np.uint8), bitorder="little").view(bool))[k]
     word = np.searchsorted(before, k, "right") - 1
     left = k - before[word]
     byte = words[word].reshape(-1, 1).view(np.uint8).reshape(-1, 8)
@@ -55,6 +57,9 @@ class EliasFano:
         if not self.low_bits:
             return np.zeros(len(j), dtype=np.int64)
         at = j * self.low_bits
+        if self.low_bits <= 57:  # eight bytes from any place hold a number
+            at_byte = np.ndarray(8 * len(self.low) - 7, dtype="<u8", buffer=self.low, strides=(1,))
+            return (at_byte[at >> 3] >> (at & 7).astype(np.uint64) & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
         word, shift = at >> 6, (at & 63).astype(np.uint64)
         upper = np.where(shift > 0, self.low[word + 1] << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
         return ((self.low[word] >> shift | upper) & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
@@ -72,9 +77,10 @@ class EliasFano:
         h, want = h[some], v[some] & ((1 << self.low_bits) - 1)
         inverted = ~self.high
         low = np.zeros(len(h), dtype=np.int64)
-        later = h > 0
-        low[later] = _select(inverted, self.zeros, h[later] - 1) + 1 - h[later]
-        end = np.minimum(_select(inverted, self.zeros, h) - h, self.n)
+        later = np.flatnonzero(h > 0)
+        both = _select(inverted, self.zeros, np.concatenate([h, h[later] - 1]))
+        low[later] = both[len(h):] + 1 - h[later]
+        end = np.minimum(both[:len(h)] - h, self.n)
         high = end.copy()
         while (open_ := np.flatnonzero(low < high)).size:
             middle = (low[open_] + high[open_]) >> 1
@@ -87,6 +93,16 @@ class EliasFano:
         return out
 
 
+def _ranked(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct numbers in order, and the rank of each; by a table instead of a sort where it is short."""
+    top = int(v.max()) + 1 if len(v) and v.min() >= 0 else 0
+    if not 0 < top <= 4 * len(v):
+        return np.unique(v, return_inverse=True)
+    held = np.zeros(top, dtype=bool)
+    held[v] = True
+    return np.flatnonzero(held), (np.cumsum(held, dtype=np.int32) - 1)[v].astype(np.int64)
+
+
 class Trie:
     """Quantised values of pairs (context, word): levels of contexts, pointers to their successors, the successors, and the values.
 
@@ -112,7 +128,7 @@ class Trie:
     @staticmethod
     def build(context: np.ndarray, word: np.ndarray, value: np.ndarray) -> bytes:
         """Levels of distinct pairs in order of (context, word), as bytes."""
-        words, rank = np.unique(word, return_inverse=True)
+        words, rank = _ranked(word)
         new = np.flatnonzero(np.diff(context, prepend=-1)) if len(context) else np.zeros(0, dtype=np.int64)
         lengths = np.diff(np.append(new, len(context)))
         last = rank[new + lengths - 1] + 1 if len(new) else rank
@@ -124,14 +140,18 @@ class Trie:
         """Value of each pair, 0 where it is not there."""
         out = np.zeros(len(context), dtype=np.int64)
         # each context and word is looked up once, however many pairs hold it
-        contexts, which = np.unique(context, return_inverse=True)
+        if len(context) and (context[1:] >= context[:-1]).all():
+            new = np.append(True, context[1:] != context[:-1])
+            contexts, which = context[new], np.cumsum(new) - 1
+        else:
+            contexts, which = np.unique(context, return_inverse=True)
         c = self.contexts.find(contexts)
         known = np.flatnonzero(c >= 0)
         start, end, base = (np.zeros(len(contexts), dtype=np.int64) for _ in range(3))
         start[known], end[known] = self.pointers.access(c[known]), self.pointers.access(c[known] + 1)
         later = start > 0
         base[later] = self.successors.access(start[later] - 1) + 1
-        words, of = np.unique(word, return_inverse=True)
+        words, of = _ranked(word)
         w = self.words.find(words)[of]
         some = np.flatnonzero((end[which] > 0) & (w >= 0))
         start, end, base = (v[which[some]] for v in (start, end, base))

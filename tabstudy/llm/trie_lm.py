@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import _Numbers, crc_remainder, discard, materialise, raw_texts, slices
 from .elias_fano import Trie
-from .grams import BLOCK, SHIFT, by_part, dealt, merged_parts, n_parts, occurrences, pack, parts_of, summed, unpack, wide_rows
+from .grams import BLOCK, by_part, dealt, merged_parts, n_parts, occurrences, pack, parts_of, summed, unpack, wide_rows
 
 FOLDS, HELD_OUT = 10, 0
 ADDED = 0.1  # to the count of each word
@@ -35,7 +35,10 @@ def quantised(p: np.ndarray) -> np.ndarray:
 
 
 def probability(code: np.ndarray) -> np.ndarray:
-    return 10.0 ** (-(code - 1) / STEPS)
+    return _PROBABILITY[code]
+
+
+_PROBABILITY = 10.0 ** (-(np.arange(1 << 16) - 1) / STEPS)
 
 
 def _blocks(docs: DataFrame, folds: int, held_out: int, id_col: str, text_col: str) -> DataFrame:
@@ -120,8 +123,13 @@ def ranked_words(blocks: DataFrame, parts: int) -> tuple[DataFrame, Counts]:
 
 def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys in order, a place of each, and for each row the number of its key."""
-    order = np.argsort(keys)
-    own = keys[order]
+    bits = len(keys).bit_length()
+    if len(keys) and keys.min() >= 0 and int(keys.max()).bit_length() + bits < 64:  # numbers are sorted faster than their places
+        both = np.sort(keys << bits | np.arange(len(keys)))
+        own, order = both >> bits, both & ((1 << bits) - 1)
+    else:
+        order = np.argsort(keys)
+        own = keys[order]
     new = np.ones(len(keys), dtype=bool)
     new[1:] = own[1:] != own[:-1]
     number = np.empty(len(keys), dtype=np.int64)
@@ -153,8 +161,9 @@ class Block:
         self.start = np.cumsum(lengths) - lengths
         self.train = np.repeat(training.values.to_numpy(zero_copy_only=False).astype(bool), lengths)
         self.at = np.flatnonzero((self.t < known) & (self.before < known))
-        self.keys, _, self.pair = distinct(self.before[self.at] << SHIFT | self.t[self.at])
-        self.x, self.y = self.keys >> SHIFT, self.keys & ((1 << SHIFT) - 1)
+        bits = known.bit_length()
+        self.keys, _, self.pair = distinct(self.before[self.at] << bits | self.t[self.at])
+        self.x, self.y = self.keys >> bits, self.keys & ((1 << bits) - 1)
 
     def pair_runs(self, parts: int) -> Iterator[tuple[int, bytes]]:
         n = np.bincount(self.pair[self.train[self.at]], minlength=len(self.keys))
@@ -183,13 +192,14 @@ class Block:
         self.context = np.append(n, 0)[before]
         self.triple_at = np.flatnonzero((self.context >= REPEATED) & (self.c[self.t] > 0))
         number = np.cumsum(n >= REPEATED) - 1  # of the repeated pairs
-        keys, first, self.triple = distinct(number[before[self.triple_at]] << SHIFT | self.t[self.triple_at])
+        bits = len(self.gid).bit_length()
+        keys, first, self.triple = distinct(number[before[self.triple_at]] << bits | self.t[self.triple_at])
         tx = ident[before[self.triple_at[first]]]
         order = np.argsort(tx, kind="stable")  # ids that rise take few bytes
         place = np.empty(len(order), dtype=np.int64)
         place[order] = np.arange(len(order))
         self.triple, self.triple_first = place[self.triple], self.triple_at[first[order]]  # a place of each triple
-        self.tx, self.ty = tx[order], self.gid[keys[order] & ((1 << SHIFT) - 1)]
+        self.tx, self.ty = tx[order], self.gid[keys[order] & ((1 << bits) - 1)]
 
     def triple_runs(self, parts: int) -> Iterator[tuple[int, bytes]]:
         n = np.bincount(self.triple[self.train[self.triple_at]], minlength=len(self.tx))

@@ -1,11 +1,12 @@
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from tabstudy.llm import QUERIES, trie_lm
+from tabstudy.llm import QUERIES, elias_fano, trie_lm
 from tabstudy.llm.elias_fano import EliasFano, Trie
 
 END = b"\n"
@@ -107,3 +108,31 @@ def test_trie_finds_its_pairs_alone():
     q = rng.integers(0, 2200, 5000), rng.integers(0, 2500, 5000)
     assert trie.find(*q).tolist() == [table.get(p, 0) for p in zip(q[0].tolist(), q[1].tolist())]
     assert Trie.mapped(Trie.build(*[np.zeros(0, dtype=np.int64)] * 3)).find(np.array([1]), np.array([2])).tolist() == [0]
+
+
+def test_many_places_at_once_take_little_memory():
+    rng = np.random.default_rng(2)
+    v = np.sort(rng.integers(0, 10**7, 200_000))
+    head, low, high = elias_fano.EliasFano.encode(v)
+    levels = EliasFano(len(v), int(head[1]), low, high)
+    few = np.concatenate([levels.access(np.arange(k, min(k + 1000, len(v)))) for k in range(0, len(v), 1000)])
+    tracemalloc.start()
+    place = elias_fano._select(levels.high, levels.ones, np.arange(len(v)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(place) == len(v) and peak < 40 * len(v)
+    assert (levels.access(np.arange(len(v))) == v).all() and (few == v).all()
+
+
+def test_ranks_by_table_and_by_sort():
+    rng = np.random.default_rng(3)
+    for v in (rng.integers(0, 300, 1000), rng.integers(0, 10**12, 1000), np.array([-1, 5, 5]), np.zeros(0, dtype=np.int64)):
+        words, rank = elias_fano._ranked(v)
+        assert words.tolist() == sorted(set(v.tolist())) and (words[rank] == v).all()
+
+
+@pytest.mark.parametrize("bits", [1, 20, 60])
+def test_distinct(bits):
+    v = np.random.default_rng(bits).integers(0, 1 << bits, 500) * np.int64(1 if bits > 1 else -1)
+    keys, place, number = trie_lm.distinct(v)
+    assert keys.tolist() == sorted(set(v.tolist())) and (v[place] == keys).all() and (keys[number] == v).all()
