@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_remainder, map_batches, materialise, raw_texts
+from .common import crc_remainder, lean, map_batches, materialise, raw_texts
 
 FEATURES = 256  # random Fourier features
 WIDTH = 2.0  # of the kernel, in standard deviations of a statistic
@@ -92,7 +92,7 @@ def _normal_equations(rows: DataFrame, model: Model) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.list_(pa.float64()))], ["i", "sums"])
 
     out = np.zeros((size, size))
-    for r in rows.select("stats", F.col("label").cast("double")).mapInArrow(add, "i long, sums array<double>").repartition("i").mapInArrow(merge, "i long, sums array<double>").collect():
+    for r in rows.select("stats", F.col("label").cast("double")).mapInArrow(lean(add), "i long, sums array<double>").repartition("i").mapInArrow(lean(merge), "i long, sums array<double>").collect():
         out[r.i] = r.sums
     return out
 

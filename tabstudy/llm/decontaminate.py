@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, raw_texts, slices
+from .common import lean, map_batches, raw_texts, slices
 
 WINDOW = 13
 BLOCK_WORDS = 200_000  # words of items in one broadcast automaton
@@ -186,7 +186,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
                                                  ["doc_id", "key", "n_words", "spans", "items"])
 
-        parts.append(base.mapInArrow(run, "doc_id long, key long, n_words long, spans array<long>, items array<string>"))
+        parts.append(base.mapInArrow(lean(run), "doc_id long, key long, n_words long, spans array<long>, items array<string>"))
     if len(parts) == 1:
         return parts[0]
     # Equal rows have equal hits: of those of all blocks, the documents without any are told by one block alone.
@@ -255,7 +255,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     clean = joined.where(F.col("_hit_key").isNull()).select(*columns_of)
     some = joined.where(F.col("_hit_key").isNotNull() & (COVERAGE * _covered(F.col("_hit_spans")) < F.col("_hit_words"))).select(*columns_of, "_hit_spans")
-    return clean.union(some.mapInArrow(cut, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)))
+    return clean.union(some.mapInArrow(lean(cut), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)))
 
 
 SQL = """

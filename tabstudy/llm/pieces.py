@@ -11,7 +11,6 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Ragged, map_batches, slices
+from .common import Ragged, kept, lean, map_batches, slices
 
 SPACE = "▁"
 UNKNOWN = 10.0  # a character without a piece scores so much less than the least piece
@@ -272,11 +271,6 @@ class Encoder:
         return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", n: int = NBEST, paths: bool = True, decoded: bool = False) -> DataFrame:
     """Rows (doc_id, ids, scores[, nbest][, text]), one for each row of ``docs``: ids of the best path, scores of the ``n`` best, with ``paths`` their ids, best first, and with ``decoded`` the text decoded from the best.
 
@@ -287,7 +281,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
-        own = encoder(model)
+        own = kept(Encoder, model)
         for batch in slices(batches, 200):
             found = own.encode([t or "" for t in batch.column(1).to_pylist()], n)
             columns = [batch.column(0), _lists([f[0] for f in found], pa.int32()), pa.array([[s for s, _ in f[1]] for f in found], pa.list_(pa.float64()))]
@@ -297,7 +291,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 columns.append(pa.array([own.decode(f[0]) for f in found], pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), schema)
 
 
 def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -309,7 +303,7 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
     """Rows (doc_id, text): the texts that lists of ids stand for; null ids give a null text."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = encoder(model)
+        own = kept(Encoder, model)
         texts = [None if x is None else own.decode(np.array(x, dtype=np.int64)) for x in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
@@ -319,7 +313,7 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
 def round_trips(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", n: int = NBEST) -> DataFrame:
     """Rows (doc_id, n_pieces, ids_crc32, score, scores, n_paths, decoded), one for each row of ``docs``: decoded tells whether decoding the best path and the last of the ``n`` best give the text back."""
     def run(batches):
-        own = encoder(model)
+        own = kept(Encoder, model)
         for batch in slices(batches, 200):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             rows = []
@@ -330,4 +324,4 @@ def round_trips(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: s
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.int32(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(zip(*rows), kinds))], ["doc_id", "n_pieces", "ids_crc32", "score", "scores", "n_paths", "decoded"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, score double, scores array<double>, n_paths int, decoded boolean")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "doc_id long, n_pieces long, ids_crc32 long, score double, scores array<double>, n_paths int, decoded boolean")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialise, raw_texts
+from .common import lean, map_batches, materialise, raw_texts
 from .components import connected_components
 
 SEED = 42
@@ -197,7 +197,7 @@ def links(fps: DataFrame, radius: int = 3, tree: int = TREE) -> DataFrame:
         trees = F.ceil(F.coalesce("n", F.lit(1)) / tree).cast("int")
         work = work.withColumn("own", F.pmod(F.xxhash64("fp"), trees)).withColumn("tree", F.explode(F.sequence(F.lit(0), trees - 1)))
         work = work.select("mask", "value", "tree", "fp", (F.col("own") == F.col("tree")).alias("member"))
-        part = work.repartition("mask", "value", "tree").sortWithinPartitions("mask", "value", "tree", "fp").mapInArrow(_search(radius), "a long, b long")
+        part = work.repartition("mask", "value", "tree").sortWithinPartitions("mask", "value", "tree", "fp").mapInArrow(lean(_search(radius)), "a long, b long")
         found = part if found is None else found.union(part)
         if last or not some:
             return found
