@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import mix, mixed, row_key
 from ..functions.quantiles import quantile_values
+from ..functions.storage import written
 from .models import Fitted
 
 ROWS_PER_BUCKET = 50_000
+POINTS_PER_TASK = 10_000_000  # predictions of a task for pairs of features
 
 
 def _loss(task: str) -> Column:
@@ -79,6 +81,34 @@ def _mean_at(model: Fitted, df: DataFrame, points: Sequence[Mapping[str, float]]
     return model.predict(rows).groupBy("_p").agg(F.avg(target).alias("m"))
 
 
+def _mean_at_pairs(model: Fitted, df: DataFrame, pairs: Sequence[tuple[str, str]], grids: Mapping[str, Sequence[float]]) -> DataFrame:
+    """(_pair, _i, m): mean prediction when all rows take the values of grid point ``_i`` of pair ``_pair``.
+
+    A point replaces both features of its pair, so rows alike in all others are scored once and count as many.
+    """
+    types = dict(df.dtypes)
+    held = lambda f, pair: (F.lit(None).cast(types[f]) if f in pair else F.col(f)).alias(f)
+    alike = df.select(F.inline(F.array(*[F.struct(F.lit(k).alias("_pair"), *[held(f, pair) for f in model.features]) for k, pair in enumerate(pairs)])))
+    alike, _path = written(alike.groupBy("_pair", *model.features).agg(F.count(F.lit(1)).alias("_n")), "alike")
+    of_pair = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("_pair"))
+    counts = [len(grids[a]) * len(grids[b]) for a, b in pairs]
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-alike.count() * max(counts) // POINTS_PER_TASK))
+    repeated = alike.repartition(tasks, "_pair", *model.features).withColumn("_i", F.explode(F.array(*[F.lit(i) for i in range(max(counts))])))
+    repeated = repeated.where(F.col("_i") < of_pair(counts)).withColumn("_width", of_pair([len(grids[b]) for _, b in pairs]))
+
+    def value(f: str) -> Column:
+        if f not in grids:
+            return F.col(f)
+        at = lambda i: F.get(F.array(*[F.lit(float(v)) for v in grids[f]]), i.cast("int"))
+        first, second = of_pair([a == f for a, _ in pairs]), of_pair([b == f for _, b in pairs])
+        return F.when(first, at(F.floor(F.col("_i") / F.col("_width")))).when(second, at(F.col("_i") % F.col("_width"))).otherwise(F.col(f).cast("double")).alias(f)
+
+    target = F.coalesce("proba", "pred") if model.task == "classification" else F.col("pred")
+    scored = model.predict(repeated.select("_pair", "_i", "_n", *[value(f) for f in model.features])).select("_pair", "_i", "_n", target.alias("_m"))
+    mean = F.try_divide(F.sum(F.col("_m") * F.col("_n")), F.sum(F.when(F.col("_m").isNotNull(), F.col("_n"))))
+    return scored.groupBy("_pair", "_i").agg(mean.alias("m"))
+
+
 def partial_dependence(model: Fitted, df: DataFrame, features: Sequence[str], size: int = 20) -> DataFrame:
     """(feature, value, mean_prediction): rows are repeated per grid value by explode and scored once."""
     grids = grid_values(df, features, size)
@@ -90,10 +120,15 @@ def partial_dependence(model: Fitted, df: DataFrame, features: Sequence[str], si
 
 def partial_dependence_2d(model: Fitted, df: DataFrame, features: Sequence[str], size: int = 15) -> DataFrame:
     """(a, b, value_a, value_b, mean_prediction, interaction): interaction is what the two main effects leave over."""
-    grids = grid_values(df, features, size)
-    points = [(a, b, float(u), float(v)) for a, b in combinations(features, 2) for u in grids[a] for v in grids[b]]
-    names = df.sparkSession.createDataFrame([(i, *x) for i, x in enumerate(points)], "_p int, a string, b string, value_a double, value_b double")
-    cells = _mean_at(model, df, [{a: u, b: v} for a, b, u, v in points]).join(F.broadcast(names), "_p")
+    if len(features) < 2:
+        return df.sparkSession.createDataFrame([], "a string, b string, value_a double, value_b double, mean_prediction double, interaction double")
+    # Quantiles take many scans: of the columns at hand, not of what made the table.
+    rows, _path = written(df.select(*dict.fromkeys([*features, *model.features])), "dependence")
+    grids, pairs = grid_values(rows, features, size), list(combinations(features, 2))
+    spark = df.sparkSession
+    points = [(k, i, a, b, float(u), float(v)) for k, (a, b) in enumerate(pairs) for i, (u, v) in enumerate(product(grids[a], grids[b]))]
+    names = spark.createDataFrame(points, "_pair int, _i int, a string, b string, value_a double, value_b double")
+    cells = _mean_at_pairs(model, rows, pairs, grids).join(F.broadcast(names), ["_pair", "_i"])
     mean = lambda *k: F.avg("m").over(Window.partitionBy("a", "b", *k))
     return cells.select("a", "b", "value_a", "value_b", F.col("m").alias("mean_prediction"),
                         (F.col("m") - mean("value_a") - mean("value_b") + mean()).alias("interaction"))

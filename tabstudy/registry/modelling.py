@@ -419,7 +419,7 @@ def _(t):
 @query("ex_pdp2")
 def _(t):
     df, model = linear(t)
-    return X.interaction_strength(X.partial_dependence_2d(model, df, MF[:2], size=8))
+    return X.interaction_strength(X.partial_dependence_2d(model, df, MF))
 
 
 @query("ex_shap_linear", f"WITH {PR} SELECT id, {r('1500 * (l_quantity - (SELECT avg(l_quantity) FROM pr))', 3)} AS shap_l_quantity, {r('-20000 * (l_discount - (SELECT avg(l_discount) FROM pr))', 3)} AS shap_l_discount FROM pr")

@@ -44,3 +44,37 @@ def test_partial_dependence_repeats_rows_for_numbers_of_points(spark):
     assert all(abs(r.mean_prediction - (r.value + 4 if r.feature == "a" else 50.5 + 2 * r.value)) < 1e-9 for r in one.collect())
     rows = two.collect()
     assert len(rows) == 9 and all(abs(r.mean_prediction - r.value_a - 2 * r.value_b) < 1e-9 and abs(r.interaction) < 1e-9 for r in rows)
+
+
+def test_pairs_score_rows_alike_in_other_features_once_and_by_their_number(spark):
+    rows = [(a, b, c) for a in (1.0, 2.0, 4.0) for b in (0.0, 3.0) for c in (1.0, 1.0, 5.0, 9.0)]
+    df = spark.createDataFrame([*rows, (1.0, 3.0, 9.0), (None, 0.0, 1.0)], "a double, b double, c double")
+    scored = []
+
+    def predict(d):
+        scored.append(d)
+        return d.withColumn("pred", F.col("a") * F.col("b") + F.col("c") * F.col("c") * F.col("b"))
+
+    out = X.partial_dependence_2d(M.Fitted("fixed", "regression", ["a", "b", "c"], predict), df.where("a is not null"), ["a", "b", "c"], size=4).collect()
+    mean = lambda f: sum(f(*r) for r in [*rows, (1.0, 3.0, 9.0)]) / 25
+    want = {("a", "b"): lambda u, v: mean(lambda a, b, c: u * v + c * c * v), ("a", "c"): lambda u, v: mean(lambda a, b, c: u * b + v * v * b),
+            ("b", "c"): lambda u, v: mean(lambda a, b, c: a * u + v * v * u)}
+    assert len(out) == 3 * 4 * 4
+    assert all(abs(r.mean_prediction - want[r.a, r.b](r.value_a, r.value_b)) < 1e-9 for r in out)
+    # 3 values of c, 2 of b, 3 of a are left beside the pairs: 8 rows at 16 points, of 25 rows at 48
+    assert scored[0].count() == 8 * 16
+
+
+def test_one_feature_has_no_pairs(spark):
+    df = spark.range(9).select(F.col("id").cast("double").alias("a"), F.lit(1.0).alias("b"))
+    assert X.partial_dependence_2d(MODEL, df, ["a"]).collect() == []
+
+
+def test_the_pair_query_takes_all_pairs_on_whole_grids(spark, folder, monkeypatch):
+    from __spark_entry__ import queries
+
+    sizes, grid = [], X.grid_values
+    monkeypatch.setattr(X, "grid_values", lambda df, features, size: sizes.append((len(features), size)) or grid(df, features, size))
+    rows = queries()["ex_pdp2"](spark, folder).collect()
+    assert sizes == [(4, 15)]
+    assert len({(r.a, r.b) for r in rows}) == 6 == len(rows)
