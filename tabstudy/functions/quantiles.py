@@ -1,9 +1,11 @@
 """Exact quantiles and order statistics that never gather a column in one place.
 
 Whole columns are narrowed: every pass counts the rows of the current value interval in a fixed number of slices (map-side
-combined), keeps the slice that holds the wanted rank, and stops when that slice holds a single value. An interval that spans
-magnitudes or zero is sliced by magnitude, any other by width, so a handful of passes closes it whatever the distribution.
-State per pass is ``slices x open intervals`` numbers for the columns at hand; nothing is sorted or shuffled.
+combined), keeps the slice that holds the wanted rank, and stops when that slice holds a single value. Slices are of equal
+length in the order of the doubles' bits, and tasks count Arrow batches; once the open intervals hold few rows, these are listed.
+So a handful of passes closes them whatever the distribution. State per pass is ``slices x open intervals`` numbers for the columns
+at hand; nothing is sorted or shuffled. Long frames are narrowed in SQL: an interval that spans magnitudes or zero is sliced by
+magnitude, any other by width.
 
 Quantiles within groups stay on the executors: distinct values are counted, and running totals over them give the ranks. Many rows
 in few groups are narrowed like whole columns, with an interval for each group and rank.
@@ -14,6 +16,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +29,9 @@ CASE_LIMIT = 48
 WIDE = 4096.0  # an interval whose ends differ by more than this factor is sliced by magnitude
 TINY = 1e-290  # magnitudes below it count as one
 FEW = 32  # quantiles of all groups and columns together that are found by narrowing: slices for each of them reach the driver
+CELLS = 65_536  # slices of all open intervals of whole columns together, but LEAST_SLICES of each
+LEAST_SLICES = 64
+LISTED = 262_144  # rows of all open intervals together that are listed instead of sliced
 PLAIN = ("string", "boolean", "byte", "short", "integer", "long", "date")  # types of group keys that can be told apart in the driver
 
 
@@ -144,6 +151,92 @@ def select_ranks(long: DataFrame, wanted: dict[tuple, set[int]], by: Sequence[st
     return found
 
 
+def _bits(v: np.ndarray) -> np.ndarray:
+    """Integers in the order of the doubles; both zeros are one."""
+    b = (v + 0.0).view(np.int64)
+    return np.where(b < 0, b ^ np.int64(0x7FFFFFFFFFFFFFFF), b)
+
+
+def _values(bits: np.ndarray) -> np.ndarray:
+    return np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits).view(np.float64)
+
+
+def _counted(df: DataFrame, open_: Sequence[tuple], listed: bool) -> pa.Table:
+    """(part, n, lo, hi) of the slices of open intervals (column number, lo, hi, ...), or of their single values; bits as ``_bits`` gives them."""
+    slices = max(LEAST_SLICES, min(SLICES, CELLS // len(open_)))
+    places: dict[int, list[int]] = {}
+    for part, x in enumerate(open_):
+        places.setdefault(x[0], []).append(part)
+    # By column: its intervals, ascending, their ends and the length of their slices.
+    spec = [(j, np.array(p), np.array([open_[i][1] for i in p], dtype=np.int64), np.array([open_[i][2] for i in p], dtype=np.int64),
+             np.array([(open_[i][2] - open_[i][1]) // slices + 1 for i in p], dtype=np.uint64)) for j, p in places.items()]
+
+    def count(batches):
+        n, lo = np.zeros(len(open_) * slices, dtype=np.int64), np.full(len(open_) * slices, np.iinfo(np.int64).max)
+        hi, some = np.full(len(open_) * slices, np.iinfo(np.int64).min), []
+        for batch in batches:
+            for j, parts, low, high, step in spec:
+                v = batch.column(j).to_numpy(zero_copy_only=False)
+                bits = _bits(v[v == v])
+                at = np.searchsorted(low, bits, "right") - 1
+                inside = (at >= 0) & (bits <= high[at])
+                at, bits = at[inside], bits[inside]
+                if listed:
+                    some.append((parts[at], bits))
+                    continue
+                cell = parts[at] * slices + ((bits.view(np.uint64) - low.view(np.uint64)[at]) // step[at]).astype(np.int64)
+                n += np.bincount(cell, minlength=len(n))
+                np.minimum.at(lo, cell, bits)
+                np.maximum.at(hi, cell, bits)
+        if listed and some:
+            pairs, n = np.unique(np.column_stack([np.concatenate([x[i] for x in some]) for i in (0, 1)]), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (pairs[:, 0], n, pairs[:, 1], pairs[:, 1])], ["part", "n", "lo", "hi"])
+        elif not listed:
+            full = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (full, n[full], lo[full], hi[full])], ["part", "n", "lo", "hi"])
+
+    cells = df.mapInArrow(count, "part bigint, n bigint, lo bigint, hi bigint")
+    if listed:
+        return cells.groupBy("part", "lo", "hi").agg(F.sum("n").alias("n")).toArrow()
+    cells = cells.groupBy("part").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return cells.withColumn("part", F.floor(F.col("part") / slices).cast("bigint")).toArrow()
+
+
+def _select_whole(df: DataFrame, cols: Sequence[str], wanted: dict[tuple, set[int]], ranges: dict[tuple, tuple]) -> dict[tuple, dict[int, float]]:
+    """Values at zero-based ranks of whole columns: ``select_ranks`` without a long frame."""
+    doubles = df.select(*[F.col(c).cast("double").alias(f"_{j}") for j, c in enumerate(cols)])
+    found: dict[tuple, dict[int, float]] = {k: {} for k in wanted}
+    open_ = []  # (column number, least, largest bits, rows below, ranks), rows
+    for j, c in enumerate(cols):
+        if (c,) not in ranges:
+            continue
+        n, low, high, lo, hi = ranges[(c,)]
+        found[(c,)] = {r: -INF if r < low else INF if r >= n - high else lo for r in wanted[(c,)]}
+        inside = {r for r in wanted[(c,)] if low <= r < n - high}
+        if inside and lo != hi:
+            a, b = (int(x) for x in _bits(np.array([lo, hi])))
+            open_.append((j, a, b, low, inside, n - low - high))
+    while open_:
+        table = _counted(doubles, open_, sum(x[5] for x in open_) <= LISTED)
+        part, n, lo, hi = (table.column(c).to_numpy() for c in ("part", "n", "lo", "hi"))
+        following = []
+        for i, (j, _, _, below, ranks, _) in enumerate(open_):
+            own = np.flatnonzero(part == i)
+            own = own[np.argsort(lo[own])]
+            stops = below + np.cumsum(n[own])
+            inner: dict[int, set[int]] = {}
+            for r in ranks:
+                k = int(np.searchsorted(stops, r, "right"))
+                first, last = int(stops[k] - n[own[k]]), int(stops[k]) - 1
+                if r in (first, last) or lo[own[k]] == hi[own[k]]:  # both ends of a slice are already known
+                    found[(cols[j],)][r] = float(_values(lo[own[k:k + 1]] if r != last else hi[own[k:k + 1]])[0])
+                else:
+                    inner.setdefault(k, set()).add(r)
+            following += [(j, int(lo[own[k]]), int(hi[own[k]]), int(stops[k] - n[own[k]]), rs, int(n[own[k]])) for k, rs in sorted(inner.items())]
+        open_ = following
+    return found
+
+
 def _interpolate(values: dict[int, float], n: int, p: float) -> float:
     exact = (n - 1) * p
     low = int(exact)
@@ -190,7 +283,6 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     cols, by, probs = list(cols), list(by), [float(p) for p in probs]
     if by and not _few_groups(df, cols, probs, by):
         return _grouped_quantiles(df, cols, probs, by)
-    long = _long(df, cols, by)
     clean = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in cols}
     every = {(*r[:len(by)], c): tuple(r[len(by) + i]) for r in df.groupBy(*by).agg(*[F.struct(*_range_exprs(v)).alias(f"_{i}") for i, v in enumerate(clean.values())]).collect() for i, c in enumerate(cols)}
     ranges = {k: v for k, v in every.items() if v[0]}
@@ -202,7 +294,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
             low = int((n - 1) * p)
             ranks |= {low, min(low + 1, n - 1)}
         wanted[key] = ranks
-    found = select_ranks(long, wanted, by, ranges=ranges)
+    found = select_ranks(_long(df, cols, by), wanted, by, ranges=ranges) if by else _select_whole(df, cols, wanted, ranges)
     rows = [(*key, n, [_interpolate(found[key], n, p) for p in probs]) for key, n in sizes.items()]
     rows += [(*key, 0, None) for key in every if key not in sizes]
     schema = T.StructType([*[T.StructField(k, df.schema[k].dataType) for k in by], T.StructField("column", T.StringType()), T.StructField("n", T.LongType()), T.StructField("q", T.ArrayType(T.DoubleType()))])

@@ -86,11 +86,48 @@ def _right_closed(v: Column, edges: Sequence[float]) -> Column:
     return F.when(v.isNotNull(), index)
 
 
-def _information(df: DataFrame, bins_of: dict[str, Column], label: Column) -> DataFrame:
-    """(feature, mi) from one grouping by (feature, bin, class)."""
-    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), b.alias("bin")) for c, b in bins_of.items()]))
-    counts = df.select(cells.alias("_c"), label.alias("class")).select("_c.*", "class").where("bin is not null and class is not null").groupBy("feature", "bin", "class").agg(
-        F.count(F.lit(1)).alias("n"))
+CLASSES = 4096  # classes whose counts a task holds at once
+
+
+def _information(df: DataFrame, values: dict[str, Column], edges: dict[str, Sequence[float]], label: Column, label_edges: Sequence[float] | None = None) -> DataFrame:
+    """(feature, mi) from one grouping by (feature, bin, class), with bins closed on the right; classes are labels, or their bins where edges are given."""
+    names = list(values)
+    cuts = [np.array(edges[c], dtype=float) for c in names]
+    width = max((len(e) for e in cuts), default=0) + 1
+    kind = "int" if label_edges is not None else "string"
+
+    def count(batches):
+        held: dict = {}
+
+        def out():
+            n = np.stack(list(held.values()))
+            k, j, bin_ = np.nonzero(n)
+            classes = pa.array(list(held), of.type).take(pa.array(k))
+            return pa.RecordBatch.from_arrays([pa.array(j.astype(np.int32)), pa.array(bin_.astype(np.int32)), classes, pa.array(n[k, j, bin_])], ["at", "bin", "class", "n"])
+
+        for batch in batches:
+            y = batch.column(0)
+            if label_edges is not None:
+                y = pa.array(np.searchsorted(label_edges, y.to_numpy(zero_copy_only=False), "left").astype(np.int32))
+            codes = y.dictionary_encode()
+            of, at = codes.dictionary, codes.indices.to_numpy(zero_copy_only=False)
+            n = np.zeros((len(of), len(cuts), width), dtype=np.int64)
+            for j, e in enumerate(cuts):
+                v = batch.column(1 + j)
+                there = v.is_valid().to_numpy(zero_copy_only=False)
+                cell = at[there] * width + np.searchsorted(e, v.to_numpy(zero_copy_only=False)[there], "left")
+                n[:, j] = np.bincount(cell, minlength=len(of) * width).reshape(len(of), width)
+            for c, m in zip(of.to_pylist(), n):
+                held[c] = held[c] + m if c in held else m
+            if len(held) > CLASSES:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
+
+    rows = df.select(label.cast("double" if label_edges is not None else "string").alias("class"), *[v.cast("double").alias(f"_{j}") for j, v in enumerate(values.values())]).where("class is not null")
+    counts = rows.mapInArrow(count, f"at int, bin int, class {kind}, n bigint").groupBy("at", "bin", "class").agg(F.sum("n").alias("n"))
+    counts = counts.withColumn("feature", F.get(F.array(*[F.lit(c) for c in names]), F.col("at")))
     # The table of bin-by-class counts is tiny; margins come from windows over it.
     whole, rows, cols = (F.sum("n").over(Window.partitionBy("feature", *k)).cast("double") for k in ((), ("bin",), ("class",)))
     n = F.col("n").cast("double")
@@ -98,19 +135,10 @@ def _information(df: DataFrame, bins_of: dict[str, Column], label: Column) -> Da
     return terms.groupBy("feature").agg(F.sum("t").alias("mi"))
 
 
-def target_label(df: DataFrame, target: str, task: str, bins: int = 10) -> Column:
-    """Class of the target: itself, or its quantile bin for a numeric target."""
-    return _class_of(target, task, {} if task == "classification" else _edges(df, [target], bins))
-
-
-def _class_of(target: str, task: str, edges: dict[str, list[float]]) -> Column:
-    return F.col(target).cast("string") if task == "classification" else _right_closed(F.col(target), edges[target]).cast("string")
-
-
 def mutual_information(df: DataFrame, target: str, features: Sequence[str], task: str = "classification", bins: int = 10, top: int | None = None) -> DataFrame:
     """(feature, mi) in nats between quantile bins of each feature and the target, over all rows."""
     edges = _edges(df, list(features), bins)
-    table = _information(df, {c: _right_closed(F.col(c), edges[c]) for c in features}, target_label(df, target, task, bins))
+    table = _information(df, {c: F.col(c) for c in features}, edges, F.col(target), None if task == "classification" else _edges(df, [target], bins)[target])
     ordered = table.orderBy(F.desc("mi"), "feature")
     return ordered.limit(top) if top else ordered
 
@@ -123,13 +151,13 @@ def interactions(df: DataFrame, target: str, features: Sequence[str], task: str
     # Quantiles take many scans: of the columns at hand, not of what made the table; the target's are found along with the features'.
     rows, _path = written(df.select(*dict.fromkeys([target, *features])), "interactions")
     edges = _edges(rows, list(dict.fromkeys([*features, *([] if task == "classification" else [target])])), bins)
-    label = _class_of(target, task, edges)
-    table = _information(rows, {c: _right_closed(F.col(c), edges[c]) for c in features}, label).orderBy(F.desc("mi"), "feature")
+    label = (F.col(target), None if task == "classification" else edges[target])
+    table = _information(rows, {c: F.col(c) for c in features}, edges, *label).orderBy(F.desc("mi"), "feature")
     single = {r.feature: r.mi for r in (table.limit(singles) if singles else table).collect()}
     pairs = list(combinations(single, 2))
     products = rows.select(target, *[(_d(a) * _d(b)).alias(f"{a}|{b}") for a, b in pairs])
     cuts = _edges(products, [f"{a}|{b}" for a, b in pairs], bins)
-    table = _information(products, {c: _right_closed(F.col(c), e) for c, e in cuts.items()}, label)
+    table = _information(products, {c: F.col(f"`{c}`") for c in cuts}, cuts, *label)
     base = df.sparkSession.createDataFrame([(f"{a}|{b}", a, b, max(single[a], single[b])) for a, b in pairs], "feature string, a string, b string, best double")
     return table.join(F.broadcast(base), "feature").select("a", "b", (F.col("mi") - F.col("best")).alias("gain")).where("gain > 0").orderBy(F.desc("gain"), "a", "b").limit(top if top is not None else max(1, len(pairs)))
 
