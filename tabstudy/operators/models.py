@@ -11,6 +11,7 @@ from random import Random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
@@ -20,10 +21,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.gram import grams, means_of
+from ..functions.quantiles import quantile_values
 from ..functions.storage import written
 from ..functions.hashing import mix, row_key
 from .evaluate import class_metrics, join_groups, ranking_metrics, regression_metrics
-from .features import fit_kmeans
 from .prep import Recipe, TargetTransform, fit as fit_prep, fit_target_transform, recipe_for_model
 
 PARALLEL_FITS = 4
@@ -205,9 +206,10 @@ def discriminant(train: DataFrame, features: Sequence[str], target: str) -> Fitt
 
 CHUNK_ROWS = 20_000
 QUERY_ROWS = 50_000
-PAIRS = 1_000_000  # distances that a task holds at once
-PIVOTS = (16, 1024)  # fewest and most cells
-CELL_ROWS = 8_000  # training rows of a cell, between those
+CELLS = (16, 4096)  # fewest and most cells
+CELL_ROWS = 20_000  # training rows of a cell, between those
+LEAF_ROWS = 64  # training rows of a leaf within a cell
+BLOCK_ROWS = 16  # queries that look at leaves together
 
 
 def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -223,83 +225,187 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _first(distances: np.ndarray, tid: np.ndarray, k: int) -> np.ndarray:
     """Places of the k least (distance, id), without a sort of the whole row."""
     near = np.flatnonzero(distances <= np.partition(distances, k - 1)[k - 1]) if k < len(distances) else np.arange(len(distances))
-    # A sorted copy: a slice of the order of all rows would hold all of it for each query.
-    return near[np.lexsort((tid[near], distances[near]))[:k]].copy()
+    return near[np.lexsort((tid[near], distances[near]))[:k]]
+
+
+def _reach(low: np.ndarray, high: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest distances between two boxes, added up column by column like those of points, so that rounding keeps their order."""
+    near = far = 0.0
+    for a, b, c, d in zip(low.T, high.T, lo.T, hi.T):
+        near = near + np.maximum(np.maximum(c - b, a - d), 0.0) ** 2
+        far = far + np.maximum(d - a, b - c) ** 2
+    return np.sqrt(near), np.sqrt(far)
+
+
+def _blocks(x: np.ndarray, rows: int) -> list[np.ndarray]:
+    """Places of the rows in blocks of at most ``rows``, halved along their widest side."""
+    out, open_ = [], [np.arange(len(x))]
+    while open_:
+        at = open_.pop()
+        if len(at) <= rows:
+            out.append(at)
+            continue
+        own = x[at]
+        order = np.argpartition(own[:, np.argmax(own.max(0) - own.min(0))], len(at) // 2)
+        open_ += [at[order[:len(at) // 2]], at[order[len(at) // 2:]]]
+    return out
+
+
+def _nearest(x: np.ndarray, tid: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries and of their k nearest rows, the distances, and each query's k-th distance (infinite where there are fewer rows), within ``bound``.
+
+    Of equal rows the k least ids can be neighbours. The others stand in leaves; queries that lie together
+    take a bound from the closest leaves, and see the rows of those that reach into it.
+    """
+    order = np.lexsort((tid, *x.T))
+    rows = x[order]
+    start = np.maximum.accumulate(np.where(np.r_[True, (rows[1:] != rows[:-1]).any(1)], np.arange(len(rows)), 0))
+    order = order[np.arange(len(rows)) - start < k]
+    leaves = _blocks(x[order], LEAF_ROWS)
+    order, sizes = order[np.concatenate(leaves)], np.array([len(b) for b in leaves])
+    x, tid, ends = x[order], tid[order], np.cumsum(sizes)
+    lo, hi = (np.stack([f(x[e - n:e], axis=0) for e, n in zip(ends, sizes)]) for f in (np.min, np.max))
+    out, last = [], np.full(len(q), np.inf)
+    for b in _blocks(q, BLOCK_ROWS) if len(q) else []:
+        own = q[b]
+        near, far = _reach(own.min(0)[None], own.max(0)[None], lo, hi)
+        reach = bound[b].max()
+        if len(x) > k:
+            closest = np.zeros(len(sizes), dtype=bool)
+            by = np.argsort(far)
+            closest[by[:int(np.searchsorted(np.cumsum(sizes[by]), k)) + 1]] = True
+            reach = min(reach, np.partition(_distances(own, x[np.repeat(closest, sizes)]), k - 1, axis=1)[:, k - 1].max())
+        seen = np.flatnonzero(np.repeat(near <= reach * (1 + 1e-12) + 1e-12, sizes))
+        d = _distances(own, x[seen])
+        if len(seen) > k:
+            at = np.argpartition(d, k - 1, axis=1)[:, :k]
+            top = np.take_along_axis(d, at, 1).max(1)
+            for i in np.flatnonzero((d <= top[:, None]).sum(1) > k):
+                at[i] = _first(d[i], tid[seen], k)
+        else:
+            at = np.tile(np.arange(len(seen)), (len(b), 1))
+        if at.shape[1] == k:
+            last[b] = np.take_along_axis(d, at, 1).max(1)
+        d = np.take_along_axis(d, at, 1)
+        kept = d <= bound[b][:, None]
+        out.append((np.repeat(b, kept.sum(1)), order[seen[at[kept]]], d[kept]))
+    empty = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+    return *(np.concatenate([empty[i], *[o[i] for o in out]]) for i in range(3)), last
+
+
+def _cells(train: DataFrame, features: Sequence[str], many: int) -> tuple[list[int], list[np.ndarray], np.ndarray]:
+    """Cells of about equal numbers of rows, cut along the two widest features: these, their edges, and the cell of each pair of slices.
+
+    Strips of the first feature are cut by running totals of the second one's slices, so related features make no empty cells.
+    """
+    spread = [s if s and math.isfinite(s) else 0.0 for s in train.agg(*[F.stddev_pop(f) for f in features]).first()]
+    wide = sorted(range(len(features)), key=lambda i: -spread[i])[:2]
+    strips = many
+    if len(wide) == 2 and spread[wide[1]]:
+        strips = max(1, min(many, round(math.sqrt(many * spread[wide[0]] / spread[wide[1]]))))
+    each = -(-many // strips)
+    parts = (strips, 16 * each if each > 1 else 1)
+    wide = wide[:1] if each == 1 else wide
+    edges = [np.array(sorted(set(quantile_values(train, [features[j]], [i / n for i in range(1, n)])[features[j]])) if n > 1 else [], dtype=float) for j, n in zip(wide, parts)]
+    if len(wide) == 1:
+        return wide, edges, np.arange(len(edges[0]) + 1)[:, None]
+
+    def count(batches):
+        n = np.zeros((len(edges[0]) + 1, len(edges[1]) + 1), dtype=np.int64)
+        for batch in batches:
+            at = [np.searchsorted(e, batch.column(i).to_numpy(zero_copy_only=False), "right") for i, e in enumerate(edges)]
+            n += np.bincount(at[0] * n.shape[1] + at[1], minlength=n.size).reshape(n.shape)
+        a, b = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n[a, b])], ["a", "b", "n"])
+
+    total = np.zeros((len(edges[0]) + 1, len(edges[1]) + 1))
+    counted = train.select(*[features[j] for j in wide]).mapInArrow(count, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
+    total[counted.column("a").to_numpy(), counted.column("b").to_numpy()] = counted.column("n").to_numpy()
+    before = np.cumsum(total, axis=1) - total
+    return wide, edges, np.arange(len(total))[:, None] * each + np.minimum(before * each // np.maximum(total.sum(1, keepdims=True), 1), each - 1).astype(np.int64)
 
 
 def nearest_neighbours(train: DataFrame, queries: DataFrame, features: Sequence[str], k: int, train_id: str, query_id: str, carry: Sequence[str] = (),
-                       pivots: int | None = None, seed: int = 42, chunk: int = CHUNK_ROWS) -> DataFrame:
+                       pivots: int | None = None, chunk: int = CHUNK_ROWS) -> DataFrame:
     """(query, neighbour, distance, rank, carry...): exact k nearest training rows of every query.
 
-    Training rows belong to the cell of their closest pivot.  A query's k-th distance is bounded by
-    pivot distances and cell radii alone, and the triangle inequality then rules out most cells, so
-    a query visits only cells that can hold a neighbour.  Pivots grow with the training rows, so cells
-    stay small; a dense cell is cut into chunks and spreads over tasks.  A task holds ``PAIRS`` distances
-    at once; a chunk returns at most k rows per query and pairs are never written out.
+    Training rows lie in ``pivots`` cells that grow in number with them.  A query first meets the rows of its own
+    cell; its k-th distance there bounds the others, and only queries whose bound reaches out of their
+    cell visit further cells, those whose box it meets.  A dense cell is cut into chunks and spreads over tasks; a chunk
+    is searched through leaves and returns at most k rows per query, and pairs are never written out.
     """
-    features, carry = list(features), list(carry)
-    if pivots is None:
-        pivots = max(PIVOTS[0], min(PIVOTS[1], train.count() // CELL_ROWS))
-    centres = np.array(fit_kmeans(train, features, pivots, seed))
-    vector = F.array(*[F.col(f).cast("double") for f in features])
-
-    @F.pandas_udf("cell int, gap double")
-    def assign(v: pd.Series) -> pd.DataFrame:
-        cell, gap = [np.zeros(0, dtype="int32")], [np.zeros(0)]
-        step = max(1, PAIRS // len(centres))
-        for start in range(0, len(v), step):
-            d = _distances(np.stack(v.iloc[start:start + step].to_numpy()), centres)
-            cell.append(d.argmin(1).astype("int32"))
-            gap.append(d.min(1))
-        return pd.DataFrame({"cell": np.concatenate(cell), "gap": np.concatenate(gap)})
-
-    placed = train.select(F.col(train_id).alias("_t"), *carry, vector.alias("_x")).withColumn("_a", assign("_x")).select("_t", *carry, "_x", "_a.cell", "_a.gap")
-    cells = {r.cell: (r.n, r.r) for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("r")).collect()}
-    ids = sorted(cells)
-    sizes = np.array([cells[c][0] for c in ids])
-    radii = np.array([cells[c][1] for c in ids])
-    live = centres[ids]
-    need = min(k, int(sizes.sum()))
+    features, carry, types = list(features), list(carry), dict(train.dtypes)
+    axes = [f"_x{i}" for i in range(len(features))]
+    doubles = [F.col(f).cast("double").alias(x) for f, x in zip(features, axes)]
+    # Cells, boxes and both meetings read the rows.
+    rows, _path = written(train.select(F.col(train_id).cast("bigint").alias("_t"), *carry, *doubles), "neighbours")
+    lost = lambda x: F.col(x).isNull() | F.isnan(x)
+    n, holes = rows.agg(F.count(F.lit(1)), F.count_if(reduce(lambda a, b: a | b, [lost(x) for x in axes]))).first()
+    if holes:
+        raise ValueError(f"{holes} training rows lack a feature")
+    wide, edges, table = _cells(rows, axes, pivots or max(CELLS[0], min(CELLS[1], n // CELL_ROWS)))
+
+    @F.pandas_udf("int")
+    def cell_of(*v: pd.Series) -> pd.Series:
+        at = [np.searchsorted(e, x.to_numpy(), "right") for x, e in zip(v, edges)]
+        return pd.Series(table[at[0], at[1] if len(at) > 1 else 0].astype("int32"))
+
+    cell = cell_of(*[axes[j] for j in wide]).alias("cell")
+    placed = rows.select("*", cell)
+    boxes = sorted(tuple(r) for r in placed.groupBy("cell").agg(F.count(F.lit(1)), *[F.min(x) for x in axes], *[F.max(x) for x in axes]).collect())
+    ids, sizes = np.array([b[0] for b in boxes], dtype=np.int64), np.array([b[1] for b in boxes], dtype=np.int64)
+    low, high = (np.array([b[s:s + len(axes)] for b in boxes], dtype=float).reshape(len(boxes), len(axes)) for s in (2, 2 + len(axes)))
+    need = min(k, n)
+    # Where a cell ends: no row of another one lies inside.
+    walls = {int(c): [(float(np.r_[-np.inf, e, np.inf][s.min()]), float(np.r_[-np.inf, e, np.inf][s.max() + 1])) for e, s in zip(edges, np.nonzero(table == c))] for c in np.unique(table)}
+    walls = np.array([walls.get(c, [(0.0, 0.0)] * len(wide)) for c in range(int(table.max()) + 1)])
+
+    # Each row of queries has its own number, as ids may repeat.
+    probes = queries.select(F.col(query_id).cast("bigint").alias("_q"), *doubles).where(~reduce(lambda a, b: a | b, [lost(x) for x in axes]))
+    probes, _path = written(probes.select("_q", *axes, cell, F.monotonically_increasing_id().alias("_u")), "queries")
 
     @F.pandas_udf("array<int>")
-    def visit(v: pd.Series) -> pd.Series:
-        out = []
-        for x in v:
-            d = np.sqrt(((np.asarray(x) - live) ** 2).sum(1))
-            order = np.argsort(d + radii)
-            reach = (d + radii)[order][np.searchsorted(np.cumsum(sizes[order]), need)]
-            # A hair of slack keeps ties that rounding would cut.
-            out.append([ids[i] for i in np.nonzero(d - radii <= reach * (1 + 1e-12) + 1e-12)[0]])
+    def visit(home: pd.Series, bound: pd.Series, *v: pd.Series) -> pd.Series:
+        x, home, bound = np.column_stack([c.to_numpy() for c in v]), home.to_numpy(), bound.to_numpy()
+        inside = np.ones(len(x), dtype=bool)
+        for j, wall in zip(wide, walls[home].transpose(1, 2, 0)):
+            inside &= (x[:, j] - wall[0] > bound) & (wall[1] - x[:, j] > bound)
+        out = np.full(len(x), None, dtype=object)
+        for i in np.flatnonzero(~inside):
+            near, far = _reach(x[i][None], x[i][None], low, high)
+            r = bound[i]
+            if r == np.inf and len(ids):
+                by = np.argsort(far)
+                r = far[by][np.searchsorted(np.cumsum(sizes[by]), need)]
+            out[i] = ids[(near <= r * (1 + 1e-12) + 1e-12) & (ids != home[i])].astype("int32")
         return pd.Series(out)
 
-    right = queries.select(F.col(query_id).alias("_q"), vector.alias("_x")).withColumn("cell", F.explode(visit("_x")))
-    # Training rows are repeated only for cells visited by more queries than one task should hold.
-    visits = {r.cell: r.n for r in right.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = [(int(c), -(-cells[c][0] // chunk), max(1, -(-visits.get(c, 0) // QUERY_ROWS))) for c in ids]
-    plan = F.broadcast(train.sparkSession.createDataFrame(plan, "cell int, many int, parts int"))  # a row for each cell
-    left = placed.join(plan, "cell").withColumn("chunk", F.pmod(F.xxhash64("_t"), "many").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    right = right.join(plan, "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("many") - 1))).withColumn("part", F.pmod(F.xxhash64("_q"), "parts").cast("int"))
-    left, right = left.select("_t", *carry, "_x", "cell", "chunk", "part"), right.select("_q", "_x", "cell", "chunk", "part")
-    schema = ", ".join(["_q bigint", "_t bigint", "distance double", *[f"{c} {dict(train.dtypes)[c]}" for c in carry]])
-
-    def closest(ts: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        names = ["_q", "_t", "distance", *carry]
-        if not len(ts) or not len(qs):
-            return pd.DataFrame({n: [] for n in names})
-        x, q = np.stack(ts["_x"].to_numpy()), np.stack(qs["_x"].to_numpy())
-        tid, kept = ts["_t"].to_numpy(), min(k, len(ts))
-        at, far = np.empty((len(q), kept), dtype=np.int64), np.empty((len(q), kept))
-        step = max(1, PAIRS // len(x))
-        for start in range(0, len(q), step):
-            for i, row in enumerate(_distances(q[start:start + step], x), start):
-                at[i] = _first(row, tid, kept)
-                far[i] = row[at[i]]
-        at = at.ravel()
-        columns = {"_q": np.repeat(qs["_q"].to_numpy(), kept), "_t": tid[at], "distance": far.ravel(), **{c: ts[c].to_numpy()[at] for c in carry}}
-        return pd.DataFrame(columns)[names]
-
-    keys = ["cell", "chunk", "part"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(closest, schema)
+    def meet(right: DataFrame) -> DataFrame:
+        """(_u, _q, _t, distance, _last, carry...): neighbours of queries in one cell each, with the k-th distance there."""
+        # Training rows are repeated only for cells visited by more queries than one task should hold.
+        visits = {r.cell: r.n for r in right.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+        plan = [(int(c), int(-(-m // chunk)), -(-visits[c] // QUERY_ROWS)) for c, m in zip(ids, sizes) if c in visits]
+        plan = F.broadcast(train.sparkSession.createDataFrame(plan, "cell int, many int, parts int"))  # a row for each cell
+        left = placed.join(plan, "cell").withColumn("chunk", F.pmod(F.xxhash64("_t"), "many").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        right = right.join(plan, "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("many") - 1))).withColumn("part", F.pmod(F.xxhash64("_u"), "parts").cast("int"))
+        keys = ["cell", "chunk", "part"]
+        left, right = left.select("_t", *carry, *axes, *keys), right.select("_u", "_q", "_bound", *axes, *keys)
+        schema = ", ".join(["_u bigint, _q bigint, _t bigint, distance double, _last double", *[f"`{c}` {types[c]}" for c in carry]])
+
+        def closest(ts: pa.Table, qs: pa.Table) -> pa.Table:
+            at, of, far, last = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0)
+            if len(ts) and len(qs):
+                x, q = (np.column_stack([t.column(a).to_numpy() for a in axes]) for t in (ts, qs))
+                at, of, far, last = _nearest(x, ts.column("_t").to_numpy(), q, qs.column("_bound").to_numpy(), k)
+            columns = [qs.column("_u").take(pa.array(at)), qs.column("_q").take(pa.array(at)), ts.column("_t").take(pa.array(of)), pa.array(far), pa.array(last[at])]
+            return pa.Table.from_arrays([*columns, *[ts.column(c).take(pa.array(of)) for c in carry]], ["_u", "_q", "_t", "distance", "_last", *carry])
+
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(closest, schema)
+
+    own, _path = written(meet(probes.withColumn("_bound", F.lit(float("inf")))), "own_cells")
+    reached = probes.join(own.groupBy("_u").agg(F.min("_last").alias("_bound")), "_u", "left").withColumn("_bound", F.coalesce("_bound", F.lit(float("inf"))))
+    others, _path = written(reached.select("_u", "_q", "_bound", *axes, F.explode(visit("cell", "_bound", *axes)).alias("cell")), "visits")
+    found = own.unionByName(meet(others))
     # At most k rows per query and visited chunk reach this window.
     rank = F.row_number().over(Window.partitionBy("_q").orderBy("distance", "_t"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("_q").alias("query"), F.col("_t").alias("neighbour"), "distance", "rank", *carry)
